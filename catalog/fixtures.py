@@ -172,8 +172,7 @@ def resolve_ctes(name, source, base, ref, out, blog):
   regexp_extract({base}, '^[^#]*') as b_page, regexp_extract({base}, '^[a-z]+:') as b_scheme from {source}),
 {name}_2 as (
  select *, regexp_extract(r, '^[^?#]*([?#].*)?$', 1) as tail, regexp_extract(r, '^[^?#]*') as r_path,
-  case when r = '' then 'page' when regexp_matches(r, '^https?://') then 'web'
-   when regexp_matches(r, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then 'other' when r like '//%' then 'net'
+  case when r = '' then 'page' when regexp_matches(r, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then 'other' when r like '//%' then 'net'
    when r like '/%' then 'root' when r like '?%' then 'query' when r like '#%' then 'fragment'
    else 'relative' end as form from {name}_1),
 {name}_3 as (
@@ -183,8 +182,8 @@ def resolve_ctes(name, source, base, ref, out, blog):
   case form when 'web' then regexp_extract(r, '^https?://[^/?#]*')
    when 'net' then b_scheme || regexp_extract(r, '^//[^/?#]*') else b_root end as root from {name}_2),
 {name}_4 as (
- select *, case form when 'page' then b_page when 'other' then r when 'query' then b_root || b_path || r
-  when 'fragment' then b_page || r else root || {dots.format(p='long_path')} || tail end as full_url from {name}_3),
+ select *, case form when 'page' then b_page when 'other' then r when 'net' then b_scheme || r
+  when 'query' then b_root || b_path || r when 'fragment' then b_page || r else b_root || {dots.format(p='long_path')} || tail end as full_url from {name}_3),
 {name} as (
  select *, case when {ref} = '' then null {kept} else {strip} end as {out} from {name}_4)"""
 

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from weblake.config import LISTING_MONTHS
+from weblake.functions.text import let
 
-_NUMERIC = r"\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{4}/\d{1,2}/\d{1,2}\b"
-_MONTH = r"(?:" + "|".join(LISTING_MONTHS) + r")"
-_MENTION = rf"(?i){_NUMERIC}|\b\d{{1,2}} {_MONTH} \d{{4}}\b|\b{_MONTH} \d{{1,2}}, \d{{4}}\b"
+_MONTH = "(?:" + "|".join(LISTING_MONTHS) + ")"
+_MENTION = (r"(?i)\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{4}/\d{1,2}/\d{1,2}\b"
+            rf"|\b\d{{1,2}} {_MONTH} \d{{4}}\b|\b{_MONTH} \d{{1,2}}, \d{{4}}\b")
+_MONTHS = "array(" + ", ".join(f"'{m}'" for m in LISTING_MONTHS) + ")"
+_ISO = f"""p -> cast(try_cast(case
+  when p[0] rlike '^[0-9]{{4}}' then concat_ws('-', p[0], lpad(p[1], 2, '0'), lpad(p[2], 2, '0'))
+  when p[0] rlike '^[0-9]' then concat_ws('-', p[2], lpad(array_position({_MONTHS}, lower(p[1])), 2, '0'), lpad(p[0], 2, '0'))
+  when p[0] <> '' then concat_ws('-', p[2], lpad(array_position({_MONTHS}, lower(p[0])), 2, '0'), lpad(p[1], 2, '0'))
+  end as date) as string)"""
 
 
 def first_date(text: Column) -> Column:
@@ -17,19 +24,4 @@ def first_date(text: Column) -> Column:
     Forms: 2012-03-07, 2012/3/7, 7 March 2012, March 7, 2012 (month names in any case).
     """
     found = F.regexp_extract(text, _MENTION, 0)
-    parts = F.split(F.regexp_replace(found, r"[-/, ]+", " "), " ")
-    months = F.array(*(F.lit(m) for m in LISTING_MONTHS))
-
-    def part(i):
-        return F.get(parts, F.lit(i))
-
-    def month_number(name):
-        return F.array_position(months, F.lower(name)).cast("string")
-
-    def iso(year, month, day):
-        return F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-
-    written = (F.when(found.rlike(r"^\d{4}"), iso(part(0), part(1), part(2)))
-                .when(found.rlike(r"^\d"), iso(part(2), month_number(part(1)), part(0)))
-                .when(found != "", iso(part(2), month_number(part(0)), part(1))))
-    return written.try_cast("date").cast("string")
+    return let(F.split(F.regexp_replace(found, "[-/, ]+", " "), " "), _ISO)

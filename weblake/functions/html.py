@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from weblake.functions.text import decode_entities, let
+from weblake.functions.text import decode_all, decode_entities
 
 # Inside a tag a quote only counts after "="; ">" within a quoted value does not end the tag.
 _TAG_REST = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+>"""
@@ -50,7 +50,7 @@ def attributes(start_tags: Column, name: str) -> Column:
     raw = F.transform(start_tags, lambda t: F.regexp_extract(t, value, 1))
     bare = F.transform(raw, lambda v: F.when(v != "", F.regexp_replace(
         v, r"""(?s)^\s*=\s*(?:"(.*)"|'(.*)'|(.*))$""", "$1$2$3")))
-    return F.transform(bare, decode_entities)
+    return decode_all(bare)
 
 
 def title(html: Column) -> Column:
@@ -58,4 +58,4 @@ def title(html: Column) -> Column:
     pattern = rf"(?is)<(?:{_OPAQUE}|title(?=[\s/>]){_TAG_REST}[^<]++)"
     found = F.filter(F.regexp_extract_all(html, F.lit(pattern), 0), lambda t: t.rlike(r"(?i)^<title"))
     text = F.regexp_extract(F.get(found, F.lit(0)), rf"(?is)^<title{_TAG_REST}(.*)$", 1)
-    return F.coalesce(let(text, decode_entities), F.lit(""))
+    return F.coalesce(decode_entities(text), F.lit(""))

@@ -6,7 +6,7 @@ import re
 
 PATH_ATTRS = ("class", "id", "itemprop", "name", "property")
 
-_STEP = re.compile(r"(//?)(?:(text\(\))|@([\w:-]+)|([\w:-]+|\*))")
+_STEP = re.compile(r"(//?)(?:(text\(\))|@([\w:-]+)|([\w-]+(?::[\w-]+)*|\*))")
 _PREDICATE = re.compile(
     r"\[\s*(?:(\d+)|@([\w:-]+)\s*=\s*(?:'([^']*)'|\"([^\"]*)\")"
     r"|contains\(\s*@([\w:-]+)\s*,\s*(?:'([^']*)'|\"([^\"]*)\")\s*\))\s*\]")

@@ -10,13 +10,22 @@ from pyspark.sql import Column, functions as F
 MARKS = "`~!@#$%^&*()_+-={[}]|:;'\"<,>./\\•"
 
 _COMMON = ("amp", "lt", "gt", "quot", "nbsp")
-_ENTITY_MAP = "\x01".join(f"{n}\x02{chr(name2codepoint[n])}" for n in
-                         [*_COMMON, *(n for n in name2codepoint if n not in _COMMON)])
+_ENTITY_MAP = " ".join(f"{n}:{chr(name2codepoint[n])}" for n in
+                       [*_COMMON, *(n for n in name2codepoint if n not in _COMMON)])
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def each(items: Column, body: str) -> Column:
+    """``transform`` with its lambda as SQL text, such as "x -> upper(x)".
+
+    A long expression built from single function calls costs a JVM round trip per call; as text it
+    costs one. The lambda variable is computed once, however often the body uses it.
+    """
+    return F.call_function("transform", items, F.expr(body))
+
+
+def let(value: Column, body: str) -> Column:
+    """``body`` (SQL lambda text) applied to one value."""
+    return F.get(each(F.array(value), body), F.lit(0))
 
 
 def erase_marks(text: Column) -> Column:
@@ -52,22 +61,27 @@ def flat_distinct(lists: Column) -> Column:
     return ordered_distinct(F.flatten(F.filter(lists, lambda x: x.isNotNull())))
 
 
+def _code_point(digits: str, radix: int) -> str:
+    code = f"cast(conv({digits}, {radix}, 10) as bigint)"
+    return (f"case when {code} between 1 and 1114111 and {code} not between 55296 and 57343 "
+            f"then decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32') else p end")
+
+
+# Splits at references, replaces each once, left to right; unknown names stay as written.
+DECODE = rf"""t -> case when not contains(t, '&') then t else array_join(transform(
+  regexp_extract_all(t, r'&#?[a-zA-Z0-9]+;|[^&]+|&', 0), p -> case
+   when p rlike r'^&#[xX][0-9a-fA-F]{{1,6}};$' then {_code_point("substr(p, 4, length(p) - 4)", 16)}
+   when p rlike r'^&#[0-9]{{1,7}};$' then {_code_point("substr(p, 3, length(p) - 3)", 10)}
+   when p rlike r'^&[a-zA-Z][a-zA-Z0-9]*;$' then coalesce(try_element_at(
+     str_to_map('{_ENTITY_MAP}', ' ', ':'), substr(p, 2, length(p) - 2)), p)
+   else p end), '') end"""
+
+
+def decode_all(texts: Column) -> Column:
+    """:func:`decode_entities` for an array."""
+    return each(texts, DECODE)
+
+
 def decode_entities(text: Column) -> Column:
-    """Replace character references once, left to right; unknown names stay as written."""
-    names = F.str_to_map(F.lit(_ENTITY_MAP), F.lit("\x01"), F.lit("\x02"))
-
-    def char(digits, radix):
-        code = F.conv(digits, radix, 10).cast("bigint")
-        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-
-    def piece(p):
-        body = F.regexp_extract(p, r"^&#?[xX]?([0-9a-zA-Z]+);$", 1)
-        return (F.when(p.rlike(r"^&#[xX][0-9a-fA-F]{1,6};$"), F.coalesce(char(body, 16), p))
-                 .when(p.rlike(r"^&#[0-9]{1,7};$"), F.coalesce(char(body, 10), p))
-                 .when(p.rlike(r"^&[a-zA-Z][a-zA-Z0-9]*;$"),
-                       F.coalesce(F.try_element_at(names, F.regexp_extract(p, r"^&(.*);$", 1)), p))
-                 .otherwise(p))
-
-    pieces = F.regexp_extract_all(text, F.lit(r"&#?[a-zA-Z0-9]+;|[^&]+|&"), 0)
-    return F.when(text.contains("&"), F.array_join(F.transform(pieces, piece), "")).otherwise(text)
+    """Replace character references, named and numeric."""
+    return let(text, DECODE)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:"
+from weblake.functions.text import each
 
 
 def url_sha1(url: Column) -> Column:
@@ -31,44 +31,33 @@ def add_www(url: Column) -> Column:
     return F.when(done, url).otherwise(F.regexp_replace(url, r"^(.*?)//", "$1//www."))
 
 
-def remove_dots(path: Column) -> Column:
-    """Resolve "." and ".." in an absolute path; a surplus ".." is dropped."""
-    def step(done, segment):
-        return (F.when(segment == ".", done)
-                 .when(segment == "..", F.regexp_replace(done, r"/[^/]*$", ""))
-                 .otherwise(F.concat(done, F.lit("/"), segment)))
-
-    walked = F.aggregate(F.split(F.substring(path, 2, 2 ** 31 - 1), "/"), F.lit(""), step)
-    walked = F.when(path.rlike(r"/\.\.?$"), F.concat(walked, F.lit("/"))).otherwise(walked)
-    return F.when(path.rlike(r"/\.\.?(?:/|$)"), walked).otherwise(path)
+# x.b: URL of the page, x.r: link. The cases of RFC 3986, section 5.2.2, as head, path and tail; a link
+# that names its host stays as written.
+_SPLIT = r"""x -> case
+  when x.r = '' then named_struct('head', regexp_extract(x.b, '^[^#]*', 0), 'path', '', 'tail', '')
+  when x.r rlike '^[a-zA-Z][a-zA-Z0-9+.-]*:' then named_struct('head', x.r, 'path', '', 'tail', '')
+  when startswith(x.r, '//') then named_struct('head', concat(regexp_extract(x.b, '^[^:/?#]*:', 0), x.r),
+    'path', '', 'tail', '')
+  when startswith(x.r, '/') then named_struct('head', regexp_extract(x.b, '^[^:/?#]*://[^/?#]*', 0),
+    'path', regexp_extract(x.r, '^[^?#]*', 0), 'tail', regexp_extract(x.r, '^[^?#]*(.*)$', 1))
+  when startswith(x.r, '?') then named_struct('head', concat(regexp_extract(x.b, '^[^?#]*', 0), x.r),
+    'path', '', 'tail', '')
+  when startswith(x.r, '#') then named_struct('head', concat(regexp_extract(x.b, '^[^#]*', 0), x.r),
+    'path', '', 'tail', '')
+  else named_struct('head', regexp_extract(x.b, '^[^:/?#]*://[^/?#]*', 0),
+    'path', concat('/', regexp_extract(x.b, '^[^:/?#]*://[^/?#]*/([^?#]*/)?', 1), regexp_extract(x.r, '^[^?#]*', 0)),
+    'tail', regexp_extract(x.r, '^[^?#]*(.*)$', 1)) end"""
+# "." and ".." go, a surplus ".." is dropped.
+_JOIN = r"""u -> concat(u.head, case when u.path rlike r'/\.\.?(?:/|$)' then concat(aggregate(
+    split(substr(u.path, 2), '/'), '', (done, part) -> case part when '.' then done
+      when '..' then regexp_replace(done, '/[^/]*$', '') else concat(done, '/', part) end),
+    case when u.path rlike r'/\.\.?$' then '/' else '' end) else u.path end, u.tail)"""
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    """Resolve a link against the URL of its page (RFC 3986, section 5.2)."""
-    ref = F.regexp_replace(ref, r"#$", "")
-    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    base_path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    base_dir = F.concat(F.lit("/"), F.regexp_extract(base_path, r"^/(.*/)?", 1))
-    tail = F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
-
-    def with_clean_path(root, path):
-        return F.concat(root, F.when(path == "", path).otherwise(remove_dots(path)), tail)
-
-    web_root = F.regexp_extract(ref, r"^(https?://[^/?#]*)", 1)
-    web_path = F.regexp_extract(ref, r"^https?://[^/?#]*([^?#]*)", 1)
-    net_root = F.concat(F.regexp_extract(base, _SCHEME, 0), F.regexp_extract(ref, r"^(//[^/?#]*)", 1))
-    net_path = F.regexp_extract(ref, r"^//[^/?#]*([^?#]*)", 1)
-    path = F.regexp_extract(ref, r"^[^?#]*", 0)
-    return (
-        F.when(ref == "", F.regexp_extract(base, r"^[^#]*", 0))
-        .when(ref.rlike(r"^https?://"), with_clean_path(web_root, web_path))
-        .when(ref.rlike(_SCHEME), ref)
-        .when(ref.startswith("//"), with_clean_path(net_root, net_path))
-        .when(ref.startswith("/"), with_clean_path(origin, path))
-        .when(ref.startswith("?"), F.concat(origin, base_path, ref))
-        .when(ref.startswith("#"), F.concat(F.regexp_extract(base, r"^[^#]*", 0), ref))
-        .otherwise(with_clean_path(origin, F.concat(base_dir, path)))
-    )
+    """Resolve a link against the URL of its page; an empty fragment is removed."""
+    pair = F.array(F.struct(base.alias("b"), F.regexp_replace(ref, r"#$", "").alias("r")))
+    return F.get(each(each(pair, _SPLIT), _JOIN), F.lit(0))
 
 
 def image_url(base: Column, src: Column) -> Column:

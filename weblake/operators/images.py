@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weblake.functions import html as H, urls as U
 from weblake.functions.dates import first_date
-from weblake.functions.text import decode_entities
+from weblake.functions.text import decode_all, each
 from weblake.operators.frontier import first_seen
 from weblake.operators.nodes import NO_DATE
 
@@ -15,24 +15,23 @@ _COMMENT = r'@(?:class|id)="[^"]*(?:comment|feedback)'
 
 def dates_of(nodes: Column) -> Column:
     """Array of (node_no, date) of the elements whose own text holds a date, outside comment blocks."""
-    def candidate(n):
-        above = F.regexp_replace(n["path"], r"/[^/]*$", "")
-        return ((n["kind"] == "elem") & ~n["tag"].isin(*NO_DATE) & n["text"].rlike(r"\d{4}")
-                & ~above.rlike(_COMMENT))
-
-    dated = F.transform(F.filter(nodes, candidate), lambda n: F.struct(
+    excluded = ", ".join(f"'{tag}'" for tag in NO_DATE)
+    candidates = F.call_function("filter", nodes, F.expr(
+        f"n -> n.kind = 'elem' and n.tag not in ({excluded}) and n.text rlike '[0-9]{{4}}' "
+        f"and not regexp_replace(n.path, '/[^/]*$', '') rlike '{_COMMENT}'"))
+    dated = F.transform(candidates, lambda n: F.struct(
         n["node_no"].alias("node_no"), first_date(n["text"]).alias("date")))
     return F.filter(dated, lambda m: m["date"].isNotNull())
 
 
 def images_of(nodes: Column) -> Column:
     """Array of (node_no, raw_src, alt) of each img with a source."""
-    found = F.filter(nodes, lambda n: (n["kind"] == "elem") & (n["tag"] == "img")
-                     & (F.try_element_at(n["attrs"], F.lit("src")) != ""))
-    return F.transform(found, lambda n: F.struct(
-        n["node_no"].alias("node_no"),
-        decode_entities(F.try_element_at(n["attrs"], F.lit("src"))).alias("raw_src"),
-        F.coalesce(decode_entities(F.try_element_at(n["attrs"], F.lit("alt"))), F.lit("")).alias("alt")))
+    found = F.call_function("filter", nodes, F.expr(
+        "n -> n.kind = 'elem' and n.tag = 'img' and try_element_at(n.attrs, 'src') <> ''"))
+    return F.arrays_zip(
+        each(found, "n -> n.node_no").alias("node_no"),
+        decode_all(each(found, "n -> try_element_at(n.attrs, 'src')")).alias("raw_src"),
+        decode_all(each(found, "n -> coalesce(try_element_at(n.attrs, 'alt'), '')")).alias("alt"))
 
 
 def date_mentions(parsed: DataFrame, keep=("page_id",)) -> DataFrame:

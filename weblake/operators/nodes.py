@@ -48,8 +48,8 @@ def nodes(pages: DataFrame, path_attrs=("class", "id")) -> DataFrame:
 
 def texts_of(nodes: Column, excluded=()) -> Column:
     """Raw texts whose direct parent is not excluded, in document order."""
-    kept = F.filter(nodes, lambda n: (n["kind"] == "text") & ~n["tag"].isin(*excluded)
-                    if excluded else n["kind"] == "text")
+    test = f" and n.tag not in ({', '.join(repr(tag) for tag in excluded)})" if excluded else ""
+    kept = F.call_function("filter", nodes, F.expr(f"n -> n.kind = 'text'{test}"))
     return F.transform(kept, lambda n: n["text"])
 
 

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weblake.config import PRODUCT_DETAIL, PRODUCT_LIST
 from weblake.functions import selectors, urls as U
-from weblake.functions.text import (decode_entities, first_nonempty, first_quoted, let,
-                                    ordered_distinct, trim_space)
+from weblake.functions.text import decode_all, first_nonempty, first_quoted, let, ordered_distinct, trim_space
 from weblake.operators.links import canonicalize, filter_links
 
 cloudpickle.register_pickle_by_value(selectors)
@@ -65,45 +64,37 @@ def with_rules(parsed: DataFrame, by_seed: DataFrame) -> DataFrame:
     return parsed.join(by_seed, "seed_id", "left")
 
 
-def matches(nodes: Column, rules: Column, field: str) -> Column:
-    """What the selector of a field takes from a page, in document order.
+def matches(field: str) -> Column:
+    """What the selector of a field takes from a page (columns ``nodes``, ``rules``), in document order.
 
     All nodes of a page meet the same pattern in a row, so it is compiled once per page and field.
     """
-    rule = F.try_element_at(rules, F.lit(field))
-    attribute = rule["attribute"]
-
-    def hit(n):
-        right_kind = F.when(attribute == "", n["kind"] == "text").otherwise(
-            F.try_element_at(n["attrs"], attribute).isNotNull())
-        return right_kind & (F.call_function("regexp_extract", n["path"], rule["pattern"], F.lit(0)) != "")
-
-    def value(n):
-        return F.when(attribute == "", n["text"]).otherwise(F.try_element_at(n["attrs"], attribute))
-
-    found = F.transform(F.transform(F.filter(nodes, hit), value), decode_entities)
-    return F.when(rule.isNull(), F.array().cast("array<string>")).otherwise(found)
+    found = let(F.expr(f"try_element_at(rules, '{field}')"), """rule -> transform(
+      filter(nodes, n -> case rule.attribute when '' then n.kind = 'text'
+        else try_element_at(n.attrs, rule.attribute) is not null end
+        and regexp_extract(n.path, rule.pattern, 0) <> ''),
+      n -> case rule.attribute when '' then n.text else try_element_at(n.attrs, rule.attribute) end)""")
+    return F.coalesce(decode_all(found), F.array().cast("array<string>"))
 
 
 def clean_main_image(base: Column, values: Column) -> Column:
     """First non-empty value, trimmed, absolute, without one trailing "/": array of at most one."""
-    return F.transform(first_nonempty(values),
-                       lambda v: U.strip_slash(let(trim_space(v), lambda t: U.resolve(base, t))))
+    return F.transform(F.transform(first_nonempty(values), trim_space),
+                       lambda v: U.strip_slash(U.resolve(base, v)))
 
 
 def clean_image_list(base: Column, values: Column) -> Column:
     """Quoted part of each value, distinct in order, trimmed, absolute."""
     parts = F.array_distinct(F.transform(ordered_distinct(values), first_quoted))
-    return F.transform(parts, lambda v: U.strip_slash(let(trim_space(v), lambda t: U.resolve(base, t))))
+    return F.transform(F.transform(parts, trim_space), lambda v: U.strip_slash(U.resolve(base, v)))
 
 
 def extract_fields(ruled: DataFrame) -> DataFrame:
     """Product fields of detail pages (pages with ``nodes`` and ``rules``): a projection, no shuffle."""
-    nodes, rules = F.col("nodes"), F.col("rules")
     wanted = {**TEXT_FIELDS, "_main": "mainimageurl_xpath", "_images": "imageurl_xpath"}
     kept = [c for c in ruled.columns if c not in ("nodes", "rules")]
     found = ruled.select(*kept, F.explode(F.array(F.struct(*(
-        matches(nodes, rules, field).alias(name) for name, field in wanted.items())))).alias("m"))
+        matches(field).alias(name) for name, field in wanted.items())))).alias("m"))
     return found.select(
         *kept,
         *(F.array_join(ordered_distinct(F.col(f"m.{name}")), "").alias(name) for name in TEXT_FIELDS),
@@ -115,11 +106,10 @@ def extract_fields(ruled: DataFrame) -> DataFrame:
 
 def extract_list_links(ruled: DataFrame, deny_extensions=None, deny_hosts=None) -> DataFrame:
     """Links of list pages: detail links (pagetype 31) come before next-list links (pagetype 3)."""
-    nodes, rules = F.col("nodes"), F.col("rules")
     kept = [c for c in ruled.columns if c not in ("nodes", "rules", "pagetype")]
 
     def tagged(field, pagetype, priority):
-        return F.transform(matches(nodes, rules, field), lambda v, i: F.struct(
+        return F.transform(matches(field), lambda v, i: F.struct(
             F.lit(pagetype).alias("pagetype"), F.lit(priority).alias("priority"),
             i.alias("pos"), v.alias("href")))
 

@@ -14,7 +14,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     pages = (spark.read.parquet(path).select("page_id", "url", "html")
              .filter(F.col("html").isNotNull() & (F.col("html") != "")))
     cores = spark.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() < cores:
+    if pages.select("page_id")._jdf.rdd().getNumPartitions() < cores:
         pages = pages.repartition(cores, "page_id")
     return pages
 

@@ -8,6 +8,7 @@ from catalog import fixtures as fx, query
 from weblake.functions import html as H
 from weblake.functions.text import decode_entities, erase_marks, ordered_distinct
 from weblake.operators import images as I, links as L, nodes as N, rules as R
+from weblake.session import work_dir
 
 _KIND = """case when t like '<!--%' then 'comment' when regexp_matches(t, '(?i)^<script\\b') then 'script'
  when regexp_matches(t, '(?i)^<style\\b') then 'style' when regexp_matches(t, '^<[!?]') then 'declaration'
@@ -103,17 +104,17 @@ def text_clean(spark, d):
 
 # Detail pages: every page belongs to the seed of its host.
 
-def _parsed(spark, d):
-    return N.parse(fx.fx_web(spark, d).withColumn("seed_id", fx.seed_id(F.col("host"))),
-                   ("page_id", "url", "seed_id"), R.selectors.PATH_ATTRS)
-
-
 def _rules(spark, d):
     return R.rules_from_seeds(fx.fx_seeds(spark, d))
 
 
 def _ruled(spark, d):
-    return R.with_rules(_parsed(spark, d), R.seed_rules(_rules(spark, d)))
+    """Parsed pages with the rules of their seed. The compiled rules are a stored table: its size on disk
+    tells Spark whether to broadcast it."""
+    stored = f"{work_dir(spark, 'rules')}/by_seed"
+    R.seed_rules(_rules(spark, d)).write.parquet(stored)
+    pages = fx.fx_web(spark, d).withColumn("seed_id", fx.seed_id(F.col("host")))
+    return R.parse_for_rules(R.with_rules(pages, spark.read.parquet(stored)), ("page_id", "url", "seed_id", "rules"))
 
 
 _DISTINCT = "array_to_string(list_filter({l}, lambda x, i: x <> '' and list_position({l}, x) = i), '')"
@@ -231,7 +232,7 @@ select page_id, url, node_no, src, alt, coalesce((select d.date from fx_dates d
 from fx_shown i""", "fx_shown", "fx_dates"))
 def image_nearest_date(spark, d):
     parsed = N.parse(fx.fx_web(spark, d))
-    return I.nearest_date(I.images(parsed), I.date_mentions(parsed))
+    return I.dated_images(parsed, I.images_of(F.col("nodes")), I.dates_of(F.col("nodes")))
 
 
 @query("image_first_seen", fx.sql("""

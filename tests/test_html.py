@@ -156,7 +156,7 @@ def test_extract_fields(spark):
     rules = R.rules_from_seeds(seeds)
     assert [(r.seed_id, r.field) for r in R.rejected_rules(rules).collect()] == [(1, "brand_xpath")]
     df = pages(spark, html, html).withColumn("seed_id", F.col("page_id") + 1)
-    parsed = N.parse(df, ("page_id", "url", "seed_id"), R.selectors.PATH_ATTRS)
+    parsed = R.parse_for_rules(df, ("page_id", "url", "seed_id"))
     known, unknown = R.extract_fields(R.with_rules(parsed, R.seed_rules(rules))).orderBy("page_id").collect()
     assert (known.title, known.color, known.price, known.size, known.brand, known.productid) == (
         "Shoe", "blue", "9.90", "n", "", "")
@@ -169,7 +169,8 @@ def test_list_links(spark):
     seeds = spark.createDataFrame([(1, "//ul//a/@href", "//a[@class='next']/@href")],
                                   "id bigint, detailurl_xpath string, nextpage_xpath string")
     html = "<ul><a href='p1'>1</a><a href='p2.jpg'>2</a><a href='p1'>1</a></ul><a class='next' href='l2/'>n</a>"
-    parsed = N.parse(pages(spark, html).withColumn("seed_id", F.lit(1).cast("bigint")), ("page_id", "url", "seed_id"))
+    parsed = R.parse_for_rules(pages(spark, html).withColumn("seed_id", F.lit(1).cast("bigint")),
+                               ("page_id", "url", "seed_id"))
     got = R.extract_list_links(R.with_rules(parsed, R.seed_rules(R.rules_from_seeds(seeds)))).collect()
     assert [(r.pagetype, r.priority, r.pos, r.link) for r in got] == [
         (31, 0, 0, "http://h/0/p1"), (31, 0, 2, "http://h/0/p1"), (3, 1, 0, "http://h/0/l2/")]
@@ -180,3 +181,23 @@ def test_images_as_of(spark):
     got = I.images_as_of(df, F.lit("2012-01-01")).collect()
     assert [(r.src, r.alt, r.postdate) for r in got] == [
         ("http://h/0/a.png", "x", "2012-01-01"), ("http://h/0/b", "", "2012-01-01")]
+
+
+def test_broken_pages_stay_cheap(spark):
+    deep = "<div class='k'>" * 5000 + "<p>x" + "</div>" * 5000
+    unfinished = "<a" * 20000 + "<p>y</p>"
+    stray = "a < 1 " * 20000
+    rows = N.page_text(N.parse(pages(spark, deep, unfinished, stray))).select("page_id", F.length("pagetext")).collect()
+    assert {r[0]: r[1] for r in rows}[0] == 1 and {r[0]: r[1] for r in rows}[2] == 60000
+    elements = N.nodes(pages(spark, deep)).filter("kind = 'elem'")
+    assert elements.count() == 5001 and elements.agg(F.max("depth")).first()[0] == 256
+
+
+def test_output_batches_are_cut_by_size(monkeypatch):
+    import pyarrow as pa
+    from weblake.operators import treepass
+    monkeypatch.setattr(treepass, "BATCH_NODES", 3)
+    batch = pa.RecordBatch.from_pydict({"page_id": [1, 2, 3, 4], "tokens": [["<p>", "x"], ["<p>", "y", "<b>"], None, ["z"]]})
+    cut = list(treepass.node_arrays([batch], ()))
+    assert [b.column("page_id").to_pylist() for b in cut] == [[1, 2], [3, 4]]
+    assert [len(n) for b in cut for n in b.column("nodes").to_pylist()] == [2, 3, 0, 1]

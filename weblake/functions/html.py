@@ -6,11 +6,12 @@ from pyspark.sql import Column, functions as F
 
 from weblake.functions.text import decode_all, decode_entities
 
-# Inside a tag a quote only counts after "="; ">" within a quoted value does not end the tag.
-_TAG_REST = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+>"""
+# Inside a tag a quote only counts after "="; ">" within a quoted value does not end the tag. A "<" outside
+# quotes gives the tag up at once, so that a row of unfinished tags costs one look each.
+_TAG_REST = r"""(?:[^<>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+>"""
 _OPAQUE = (rf"!--.*?(?:-->|\z)|script\b{_TAG_REST}.*?(?:</script\s*>|\z)"
            rf"|style\b{_TAG_REST}.*?(?:</style\s*>|\z)")
-TOKEN = (rf"(?is)<(?:{_OPAQUE}|[!?][^>]*+>|/[a-z][^>]*+>|[a-z]{_TAG_REST})"
+TOKEN = (rf"(?is)<(?:{_OPAQUE}|[!?][^<>]*+>|/[a-z][^<>]*+>|[a-z]{_TAG_REST})"
          r"|(?:[^<]++|<(?![a-z/!?]))++")
 _ATTRIBUTE = r"""[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+"""
 

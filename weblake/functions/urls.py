@@ -39,14 +39,14 @@ _SPLIT = r"""x -> case
   when startswith(x.r, '//') then named_struct('head', concat(regexp_extract(x.b, '^[^:/?#]*:', 0), x.r),
     'path', '', 'tail', '')
   when startswith(x.r, '/') then named_struct('head', regexp_extract(x.b, '^[^:/?#]*://[^/?#]*', 0),
-    'path', regexp_extract(x.r, '^[^?#]*', 0), 'tail', regexp_extract(x.r, '^[^?#]*(.*)$', 1))
+    'path', regexp_extract(x.r, '^[^?#]*', 0), 'tail', regexp_extract(x.r, '(?s)^[^?#]*(.*)$', 1))
   when startswith(x.r, '?') then named_struct('head', concat(regexp_extract(x.b, '^[^?#]*', 0), x.r),
     'path', '', 'tail', '')
   when startswith(x.r, '#') then named_struct('head', concat(regexp_extract(x.b, '^[^#]*', 0), x.r),
     'path', '', 'tail', '')
   else named_struct('head', regexp_extract(x.b, '^[^:/?#]*://[^/?#]*', 0),
     'path', concat('/', regexp_extract(x.b, '^[^:/?#]*://[^/?#]*/([^?#]*/)?', 1), regexp_extract(x.r, '^[^?#]*', 0)),
-    'tail', regexp_extract(x.r, '^[^?#]*(.*)$', 1)) end"""
+    'tail', regexp_extract(x.r, '(?s)^[^?#]*(.*)$', 1)) end"""
 # "." and ".." go, a surplus ".." is dropped.
 _JOIN = r"""u -> concat(u.head, case when u.path rlike r'/\.\.?(?:/|$)' then concat(aggregate(
     split(substr(u.path, 2), '/'), '', (done, part) -> case part when '.' then done

@@ -10,15 +10,11 @@ from weblake.functions.text import decode_all, each
 from weblake.operators.frontier import first_seen
 from weblake.operators.nodes import NO_DATE
 
-_COMMENT = r'@(?:class|id)="[^"]*(?:comment|feedback)'
-
-
 def dates_of(nodes: Column) -> Column:
     """Array of (node_no, date) of the elements whose own text holds a date, outside comment blocks."""
     excluded = ", ".join(f"'{tag}'" for tag in NO_DATE)
     candidates = F.call_function("filter", nodes, F.expr(
-        f"n -> n.kind = 'elem' and n.tag not in ({excluded}) and n.text rlike '[0-9]{{4}}' "
-        f"and not regexp_replace(n.path, '/[^/]*$', '') rlike '{_COMMENT}'"))
+        f"n -> n.kind = 'elem' and not n.in_comment and n.tag not in ({excluded}) and n.text rlike '[0-9]{{4}}'"))
     dated = F.transform(candidates, lambda n: F.struct(
         n["node_no"].alias("node_no"), first_date(n["text"]).alias("date")))
     return F.filter(dated, lambda m: m["date"].isNotNull())
@@ -59,22 +55,40 @@ def images_as_of(pages: DataFrame, today: Column, keep=("page_id", "url")) -> Da
                     F.coalesce("i.alt", F.lit("")).alias("alt"), today.alias("postdate")))
 
 
-def nearest_date(images: DataFrame, dates: DataFrame, page: str = "page_id") -> DataFrame:
-    """postdate of each image: the date whose element is nearest; on a tie the earlier one; "" if none.
-
-    One sort per page over images and dates together, instead of pairing each image with each date.
-    """
-    marks = images.withColumn("_date", F.lit(None).cast("struct<node_no:int,date:string>")).unionByName(
-        dates.select(page, "node_no", F.struct("node_no", "date").alias("_date")), allowMissingColumns=True)
-    here = W.partitionBy(page).orderBy("node_no", F.col("_date").isNull())
-    before = F.last("_date", ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first("_date", ignorenulls=True).over(here.rowsBetween(0, W.unboundedFollowing))
-    marked = marks.withColumn("_before", before).withColumn("_after", after).filter(F.col("_date").isNull())
+def _nearest(marks: DataFrame, page: str) -> DataFrame:
+    """Image rows (``mark`` null) with the date of the nearest row that has a ``mark``(node_no, date)."""
+    is_image = F.col("mark").isNull()
+    rows = (W.unboundedPreceding, W.currentRow)
+    forward = W.partitionBy(page).orderBy("node_no", is_image).rowsBetween(*rows)
+    backward = W.partitionBy(page).orderBy(F.col("node_no").desc(), is_image).rowsBetween(*rows)
+    marked = (marks.withColumn("_before", F.last("mark", ignorenulls=True).over(forward))
+              .withColumn("_after", F.last("mark", ignorenulls=True).over(backward)).filter(is_image))
     closer = (F.col("_before.node_no").isNull()
               | (F.col("_after.node_no") - F.col("node_no") < F.col("node_no") - F.col("_before.node_no")))
     return (marked.withColumn("postdate", F.coalesce(
         F.when(closer, F.col("_after.date")), F.col("_before.date"), F.lit("")))
-        .drop("_date", "_before", "_after"))
+        .drop("mark", "_before", "_after"))
+
+
+def nearest_date(images: DataFrame, dates: DataFrame, page: str = "page_id") -> DataFrame:
+    """postdate of each image: the date whose element is nearest; on a tie the earlier one; "" if none.
+
+    Two sorts per page over images and dates together, instead of pairing each image with each date.
+    """
+    mark = F.struct("node_no", "date").alias("mark")
+    plain = images.withColumn("mark", F.lit(None).cast("struct<node_no:int,date:string>"))
+    return _nearest(plain.unionByName(dates.select(page, "node_no", mark), allowMissingColumns=True), page)
+
+
+def dated_images(df: DataFrame, shown: Column, dates: Column, keep=("page_id", "url")) -> DataFrame:
+    """As :func:`nearest_date` from the image and date arrays of each page, which are read once."""
+    marks = F.concat(
+        each(shown, "i -> struct(i.node_no as node_no, i.raw_src as raw_src, i.alt as alt, "
+                    "cast(null as struct<node_no:int,date:string>) as mark)"),
+        each(dates, "d -> struct(d.node_no as node_no, cast(null as string) as raw_src, cast(null as string) as alt, "
+                    "struct(d.node_no as node_no, d.date as date) as mark)"))
+    dated = _nearest(df.select(*keep, F.inline(marks)), keep[0])
+    return dated.withColumn("src", U.image_url(F.col("url"), F.col("raw_src"))).drop("raw_src")
 
 
 def image_gate(df: DataFrame, quality: int = 1) -> DataFrame:
@@ -84,7 +98,7 @@ def image_gate(df: DataFrame, quality: int = 1) -> DataFrame:
     kept = df.filter((width >= least) & (height >= least))
     if quality != 1:
         return kept
-    return kept.filter((width / height <= 3.5) & (height / width <= 3.5))
+    return kept.filter((width <= height * 3.5) & (height <= width * 3.5))
 
 
 def first_page_of_image(df: DataFrame, order, mode: str = "first") -> DataFrame:

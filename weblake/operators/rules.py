@@ -10,6 +10,7 @@ from weblake.config import PRODUCT_DETAIL, PRODUCT_LIST
 from weblake.functions import selectors, urls as U
 from weblake.functions.text import decode_all, first_nonempty, first_quoted, let, ordered_distinct, trim_space
 from weblake.operators.links import canonicalize, filter_links
+from weblake.operators.nodes import parse
 
 cloudpickle.register_pickle_by_value(selectors)
 
@@ -59,9 +60,18 @@ def seed_rules(rules: DataFrame) -> DataFrame:
                 F.struct("field", F.struct("attribute", "pattern")))).alias("rules")))
 
 
-def with_rules(parsed: DataFrame, by_seed: DataFrame) -> DataFrame:
-    """Give each page the rules of its seed (from :func:`seed_rules`); without rules all fields are ""."""
-    return parsed.join(by_seed, "seed_id", "left")
+def parse_for_rules(pages: DataFrame, keep) -> DataFrame:
+    """Parse pages with the attributes that selectors may test in the node paths."""
+    return parse(pages, keep, selectors.PATH_ATTRS)
+
+
+def with_rules(items: DataFrame, by_seed: DataFrame) -> DataFrame:
+    """Give each item the rules of its seed (from :func:`seed_rules`); without rules all fields are "".
+
+    Join them to frontier items, or to pages before they are parsed: then neither html nor node
+    arrays are shuffled by seed, and a seed that owns most pages is a hot key of narrow rows only.
+    """
+    return items.join(by_seed, "seed_id", "left")
 
 
 def matches(field: str) -> Column:

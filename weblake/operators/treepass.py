@@ -31,6 +31,13 @@ IMPLIED_END = {
         "article", "section", "nav", "footer", "header", "aside", *_HEADINGS)},
 }
 
+# Elements below this depth stay rows, but nothing nests in them: paths stay short on broken pages.
+MAX_DEPTH = 256
+# Class or id of a block that holds reader comments contains one of these.
+COMMENT_WORDS = ("comment", "feedback")
+# An output batch is closed after this many nodes or characters of paths.
+BATCH_NODES, BATCH_CHARS = 20_000, 16_000_000
+
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:_-]*)")
 _ESCAPE = str.maketrans({"%": "%25", "/": "%2F", '"': "%22"})
@@ -40,9 +47,10 @@ NODE = pa.struct([
     pa.field("ord", pa.int32()), pa.field("kind", pa.string()), pa.field("node_no", pa.int32()),
     pa.field("parent_no", pa.int32()), pa.field("depth", pa.int32()), pa.field("tag", pa.string()),
     pa.field("attrs", ATTRS), pa.field("text", pa.string()), pa.field("path", pa.string()),
+    pa.field("in_comment", pa.bool_()),
 ])
 NODE_DDL = ("array<struct<ord:int,kind:string,node_no:int,parent_no:int,depth:int,tag:string,"
-            "attrs:map<string,string>,text:string,path:string>>")
+            "attrs:map<string,string>,text:string,path:string,in_comment:boolean>>")
 
 
 def _attributes(tag_text, name_end):
@@ -53,12 +61,13 @@ def _attributes(tag_text, name_end):
 
 
 def page_rows(tokens, path_attrs):
-    """Rows [ord, kind, node_no, parent_no, depth, tag, attrs, text, path] in document order.
+    """Rows [ord, kind, node_no, parent_no, depth, tag, attrs, text, path, in_comment] in document order.
 
     ``text`` of a text row is that text node; of an element row, all its own text nodes joined.
+    ``in_comment`` looks at the elements around a node, not at the node itself.
     """
     rows, own_text = [], {}
-    stack = []  # (node_no, tag, path, {tag: count of children}, [count of children])
+    stack = []  # (node_no, tag, path, {tag: count of children}, [count of children], comment block)
     top_level = ({}, [0])
     node_no = -1
     for position, token in enumerate(tokens):
@@ -68,8 +77,10 @@ def page_rows(tokens, path_attrs):
             if stack:
                 owner = stack[-1]
                 rows.append([position, "text", owner[0], owner[0], len(stack), owner[1], None, token,
-                             owner[2]])
+                             owner[2], owner[5]])
                 own_text.setdefault(owner[0], []).append(token)
+            elif token.strip():  # outside all elements: text of the body that the page leaves out
+                rows.append([position, "text", -1, -1, 1, "body", None, token, "/body[1,1]", False])
             continue
         match = _NAME.match(token)
         tag = match.group(1).lower()
@@ -97,12 +108,15 @@ def page_rows(tokens, path_attrs):
         path = (stack[-1][2] if stack else "") + f"/{tag}[{by_tag[tag]},{total[0]}]" + "".join(
             f'@{a}="{attrs[a].translate(_ESCAPE)}"' for a in path_attrs if a in attrs)
         parent = stack[-1][0] if stack else -1
-        rows.append([position, "elem", node_no, parent, len(stack), tag, attrs, None, path])
+        in_comment = bool(stack) and stack[-1][5]
+        rows.append([position, "elem", node_no, parent, len(stack), tag, attrs, None, path, in_comment])
         if content:
-            rows.append([position, "text", node_no, node_no, len(stack) + 1, tag, None, content, path])
+            rows.append([position, "text", node_no, node_no, len(stack) + 1, tag, None, content, path, in_comment])
             own_text[node_no] = [content]
-        if tag not in VOID and tag not in ("script", "style") and not token.endswith("/>"):
-            stack.append((node_no, tag, path, {}, [0]))
+        if (tag not in VOID and tag not in ("script", "style") and not token.endswith("/>")
+                and len(stack) < MAX_DEPTH):
+            named = attrs.get("class", "") + " " + attrs.get("id", "")
+            stack.append((node_no, tag, path, {}, [0], in_comment or any(w in named for w in COMMENT_WORDS)))
     for row in rows:
         if row[1] == "elem":
             row[7] = "".join(own_text.get(row[2], ()))
@@ -123,25 +137,44 @@ def _tag_end(token):
     return len(token)
 
 
+def _batch(head, done, pages):
+    """One output batch from the rows of some pages; ``head`` holds the kept columns."""
+    rows = [row for page in pages for row in page]
+    offsets, attr_offsets, keys, values = [0], [0], [], []
+    for page in pages:
+        offsets.append(offsets[-1] + len(page))
+    for row in rows:
+        if row[6]:
+            keys.extend(row[6].keys())
+            values.extend(row[6].values())
+        attr_offsets.append(len(keys))
+    attrs = pa.MapArray.from_arrays(pa.array(attr_offsets, pa.int32()),
+                                    pa.array(keys, pa.string()), pa.array(values, pa.string()))
+    columns = list(zip(*rows)) if rows else [()] * len(NODE)
+    fields = [attrs if field.name == "attrs" else pa.array(column, field.type)
+              for field, column in zip(NODE, columns)]
+    nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
+                                     pa.StructArray.from_arrays(fields, fields=list(NODE)))
+    kept = head.slice(done, len(pages))
+    return pa.RecordBatch.from_arrays([*kept.columns, nodes], names=[*kept.schema.names, "nodes"])
+
+
 def node_arrays(batches, path_attrs):
-    """Arrow batches with a ``tokens`` column last → the same with ``nodes`` in its place."""
+    """Arrow batches with a ``tokens`` column last → the same with ``nodes`` in its place.
+
+    Pages grow when parsed, so an output batch holds as many as fit the limits, at least one.
+    """
     for batch in batches:
-        offsets, columns = [0], [[] for _ in range(9)]
-        attr_offsets, keys, values = [0], [], []
-        for tokens in batch.column(batch.num_columns - 1).to_pylist():
-            for row in page_rows(tokens or (), path_attrs):
-                for column, value in zip(columns, row):
-                    column.append(value)
-                if row[6]:
-                    keys.extend(row[6].keys())
-                    values.extend(row[6].values())
-                attr_offsets.append(len(keys))
-            offsets.append(len(columns[0]))
-        attrs = pa.MapArray.from_arrays(pa.array(attr_offsets, pa.int32()),
-                                        pa.array(keys, pa.string()), pa.array(values, pa.string()))
-        fields = [attrs if field.name == "attrs" else pa.array(column, field.type)
-                  for field, column in zip(NODE, columns)]
-        nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                         pa.StructArray.from_arrays(fields, fields=list(NODE)))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], nodes], names=[*batch.schema.names[:-1], "nodes"])
+        head = batch.select(list(range(batch.num_columns - 1)))
+        tokens = batch.column(batch.num_columns - 1)
+        done, pages, nodes, chars = 0, [], 0, 0
+        for i in range(batch.num_rows):
+            page = page_rows(tokens[i].as_py() or (), path_attrs)
+            pages.append(page)
+            nodes += len(page)
+            chars += sum(len(row[8]) for row in page)
+            if nodes >= BATCH_NODES or chars >= BATCH_CHARS:
+                yield _batch(head, done, pages)
+                done, pages, nodes, chars = i + 1, [], 0, 0
+        if pages:
+            yield _batch(head, done, pages)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from weblake.config import HarvestConfig
+from weblake.config import HarvestConfig, PRODUCT_LIST
 from weblake.functions.urls import strip_slash, url_sha1
 from weblake.operators.frontier import CHUNK, first_seen, ranked, unseen
 from weblake.operators.links import below_depth, canonicalize, filter_links, links, scope_test
-from weblake.operators.nodes import parse
-from weblake.operators.rules import extract_list_links, seed_rules, with_rules
-from weblake.functions.selectors import PATH_ATTRS
+from weblake.operators.rules import extract_list_links, parse_for_rules, seed_rules, with_rules
 
 ITEM_DDL = ("url string, url_sha1 string, seed_id bigint, seed_url string, depth int, pagetype int, "
             "category string, category_1 string, ord bigint")
@@ -32,7 +32,7 @@ def blog_edges(pages: DataFrame, config: HarvestConfig) -> DataFrame:
 
 def parsed_pages(pages: DataFrame, blog: bool) -> DataFrame:
     keyed = pages.withColumn("page_key", page_key(F.col("url"), blog))
-    return parse(keyed, ("page_key", "url"), PATH_ATTRS)
+    return parse_for_rules(keyed, ("page_key", "url"))
 
 
 class Expansion:
@@ -41,12 +41,22 @@ class Expansion:
     def __init__(self, spark: SparkSession, config: HarvestConfig, folder: str):
         self.spark, self.config, self.folder = spark, config, folder
         self.blog = config.kind == "blog"
+        self.tables: list[str] = []
 
     def _table(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _bucketed(self, name: str, df: DataFrame, key: str) -> DataFrame:
+        """A table that every level joins on ``key``: shuffled here once, and not again per level."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"weblake_{name}_{uuid.uuid4().hex}"
+        (df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{self.folder}/{name}")
+         .saveAsTable(table))
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def _level(self, number: int, items: DataFrame) -> DataFrame:
         return self._table(f"crawl/level={number}", items.select(*_ITEM))
 
@@ -64,10 +74,9 @@ class Expansion:
             F.col("ord").alias("parent_ord"), F.lit(0).alias("priority"), "pos")
 
     def _follow_rules(self, items: DataFrame, parsed: DataFrame, by_seed: DataFrame) -> DataFrame:
-        lists = items.filter(F.col("pagetype") == 3).withColumn("page_key", page_key(F.col("url"), False))
-        pages = lists.drop("url", "url_sha1").join(parsed, "page_key")
-        found = extract_list_links(with_rules(pages, by_seed), self.config.deny_extensions,
-                                   self.config.deny_hosts)
+        lists = items.filter(F.col("pagetype") == PRODUCT_LIST).withColumn("page_key", page_key(F.col("url"), False))
+        pages = with_rules(lists.drop("url", "url_sha1"), by_seed).join(parsed, "page_key")
+        found = extract_list_links(pages, self.config.deny_extensions, self.config.deny_hosts)
         return found.select(
             F.col("link").alias("url"), url_sha1(F.col("link")).alias("url_sha1"), "seed_id", "seed_url",
             (F.col("depth") + 1).alias("depth"), "pagetype", "category", "category_1",
@@ -76,10 +85,17 @@ class Expansion:
     def run(self, seeds: DataFrame, pages: DataFrame, rules: DataFrame | None = None,
             visited: DataFrame | None = None) -> DataFrame:
         """Walk from ``seeds`` (of ``read_seeds``); ``visited`` holds the keys of earlier harvests."""
+        try:
+            return self._walk(seeds, pages, rules, visited)
+        finally:
+            for table in self.tables:  # the entries only; the files stay in the folder
+                self.spark.sql(f"drop table if exists {table}")
+
+    def _walk(self, seeds, pages, rules, visited):
         if self.blog:
-            edges = self._table("edges", blog_edges(pages, self.config))
+            edges = self._bucketed("edges", blog_edges(pages, self.config), "page_key")
         else:
-            parsed = self._table("parsed", parsed_pages(pages, False))
+            parsed = self._bucketed("parsed", parsed_pages(pages, False), "page_key")
             by_seed = self._table("rules", seed_rules(rules))
         start = seeds if visited is None else unseen(seeds, visited)
         items = self._level(1, first_seen(start.withColumn("ord", F.col("seed_id")), ["url_sha1"], ["ord"]))
@@ -120,8 +136,11 @@ def reach(spark: SparkSession, starts: DataFrame, edges: DataFrame, depth_limit:
         return spark.read.schema(df.select("node").schema).parquet(f"{folder}/reach/depth={number}")
 
     kind = starts.schema["node"].dataType.simpleString()
-    edges.select("src", "dst").write.mode("overwrite").parquet(f"{folder}/edges")
-    edges = spark.read.schema(edges.select("src", "dst").schema).parquet(f"{folder}/edges")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"weblake_reach_{uuid.uuid4().hex}"
+    (edges.select("src", "dst").repartition(buckets, "src").write.bucketBy(buckets, "src")
+     .option("path", f"{folder}/edges").saveAsTable(table))
+    edges = spark.table(table)
     nodes, depth = level(1, starts.distinct()), 1
 
     def seen():
@@ -131,4 +150,5 @@ def reach(spark: SparkSession, starts: DataFrame, edges: DataFrame, depth_limit:
         found = nodes.join(edges, nodes["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         depth += 1
         nodes = level(depth, found.join(seen().select("node"), "node", "left_anti"))
+    spark.sql(f"drop table if exists {table}")
     return seen()

@@ -10,8 +10,7 @@ from weblake.functions.urls import url_sha1
 from weblake.operators import images as I
 from weblake.operators.links import detail_outcome, page_kind
 from weblake.operators.nodes import page_text, parse
-from weblake.operators.rules import extract_fields, with_rules
-from weblake.functions.selectors import PATH_ATTRS
+from weblake.operators.rules import extract_fields, parse_for_rules, with_rules
 from weblake.plans.expand import page_key
 
 
@@ -40,9 +39,7 @@ def blog_pages(crawl: DataFrame, pages: DataFrame) -> DataFrame:
 
 def blog_tables(extracted: DataFrame, sizes: DataFrame | None = None, mode: str = "first") -> dict[str, DataFrame]:
     """The four blog tables as insert/update input. ``sizes(photo_sha1, width, height)`` switches the gate on."""
-    dates = extracted.select("page_id", F.inline("dates"))
-    shown = I.image_rows(extracted, F.col("images"), ("page_id", "url", "pageurlhash"))
-    dated = I.nearest_date(shown, dates)
+    dated = I.dated_images(extracted, F.col("images"), F.col("dates"), ("page_id", "url", "pageurlhash"))
     photos = I.first_page_of_image(dated, ["page_id", "node_no"], mode)
     if sizes is not None:
         photos = I.image_gate(photos.join(sizes, "photo_sha1"))
@@ -60,10 +57,9 @@ def blog_tables(extracted: DataFrame, sizes: DataFrame | None = None, mode: str
 def product_pages(crawl: DataFrame, pages: DataFrame, by_seed: DataFrame) -> DataFrame:
     """One row per reached detail page with its fields and outcome (store, retry, drop)."""
     kept = ("seed_id", "depth", "category", "category_1")
-    details = crawl.filter(F.col("pagetype") == PRODUCT_DETAIL)
-    parsed = parse(_fetched(details, pages, False, kept), ("page_id", "url", *kept), PATH_ATTRS)
-    texts = page_text(parsed, squeeze=False)
-    fields = extract_fields(with_rules(texts, by_seed))
+    details = with_rules(crawl.filter(F.col("pagetype") == PRODUCT_DETAIL), by_seed)
+    parsed = parse_for_rules(_fetched(details, pages, False, (*kept, "rules")), ("page_id", "url", *kept, "rules"))
+    fields = extract_fields(page_text(parsed, squeeze=False))
     # The outcome looks at how many matches a rule had, not at the joined text.
     hits = F.array_repeat(F.lit(1), F.col("title_hits")), F.array_repeat(F.lit(1), F.col("price_hits"))
     cleaned = ("title", "brand", "description", "price", "color", "size", "pagetext")

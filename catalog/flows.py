@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx, query
-from catalog.sources_sinks import _LOG, _UPSERTED
+from catalog.sources_sinks import _LOG, _MARKS, _UPSERTED
 from weblake.config import HarvestConfig
 from weblake.functions.text import erase_marks
 from weblake.functions.urls import url_sha1
@@ -31,36 +31,39 @@ def bfs_frontier(spark, d):
     return reach(spark, starts, edges.select("src", "dst"), 6, work_dir(spark, "bfs")).withColumnRenamed("node", "page_id")
 
 
-# Walkable pages: the body of each page also links to its neighbours in the page graph.
+# Walkable pages: each page also links to its neighbours in the page graph, marked as item or next list.
+
+_ITEM = "dst_url like '%.html' or dst_url like '%?%'"
+_TAG = f"""concat('<li class="', case when {_ITEM} then 'item' else 'next' end, '"><a href="',
+ regexp_replace(dst_url, '#top$', ''), '">n</a></li>')"""
+
 
 def fx_linked(spark, d):
-    edges = fx.fx_edges(spark, d)
-    tags = edges.groupBy(F.col("src").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(
-        F.collect_list("dst_url")), lambda u: F.concat(F.lit('<li><a href="'), u, F.lit('">n</a></li>'))), "").alias("tags"))
+    tags = fx.fx_edges(spark, d).selectExpr("src as page_id", "dst_url", f"{_TAG} as tag").groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dst_url", "tag"))), lambda t: t["tag"]), "").alias("tags"))
     pages = fx.fx_web(spark, d).join(tags, "page_id", "left")
-    body = F.replace(F.col("html"), F.lit("</ul>"), F.concat(F.coalesce("tags", F.lit("")), F.lit("</ul>")))
     return pages.select("page_id", F.regexp_replace("url", "#top$", "").alias("url"), "host",
-                        F.replace(body, F.lit('#top">n'), F.lit('">n')).alias("html"))
+                        F.replace(F.col("html"), F.lit("</ul>"), F.concat(F.coalesce("tags", F.lit("")), F.lit("</ul>"))).alias("html"))
 
 
-_LINKED = ("""fx_nei as (
- select src as page_id, array_to_string(list_transform(array_agg(dst_url order by dst_url),
-  lambda u: '<li><a href="' || u || '">n</a></li>'), '') as tags from fx_edges group by src)""",
+_LINKED = (f"""fx_nei as (
+ select src as page_id, string_agg({_TAG}, '' order by dst_url) as tags from fx_edges group by src)""",
     """fx_linked as (
  select p.page_id, regexp_replace(p.url, '#top$', '') as url, p.host,
-  replace(replace(p.html, '</ul>', coalesce(n.tags, '') || '</ul>'), '#top">n', '">n') as html
+  replace(p.html, '</ul>', coalesce(n.tags, '') || '</ul>') as html
  from fx_web p left join fx_nei n on p.page_id = n.page_id)""",
     fx.tag_scan("walk_tags", "fx_linked", "a", "page_id, url, host"),
     f"walk_hrefs as (select page_id, url, host, pos, t, {fx.attr('t', 'href')} as href from walk_tags)")
 
 
 def _origin_seeds(spark, d, kind):
-    """One seed per site: its origin, entered through the first page of each host."""
+    """One seed per site: the first page of each host; its scope is the origin."""
     first = fx.fx_urls(spark, d).groupBy("host").agg(F.min_by("url", "page_id").alias("url"))
+    url = F.regexp_replace("url", "#top$", "")
     return first.select(
-        fx.seed_id(F.col("host")).alias("seed_id"), F.regexp_replace("url", "#top$", "").alias("url"),
+        fx.seed_id(F.col("host")).alias("seed_id"), url.alias("url"),
         F.regexp_extract("url", "^(https?://[^/?#]*)", 1).alias("seed_url"),
-        url_sha1(F.regexp_replace("url", "#top$|/(#top)?$", "")).alias("url_sha1"), F.lit(1).alias("depth"),
+        url_sha1(F.regexp_replace(url, "/$", "") if kind == 2 else url).alias("url_sha1"), F.lit(1).alias("depth"),
         F.lit(kind).alias("pagetype"), F.lit("c").alias("category"), F.lit("all").alias("category_1"))
 
 
@@ -89,7 +92,15 @@ def harvest_blog(spark, d):
     return crawl.select(F.regexp_replace("url", "/$", "").alias("url"), "seed_id", "depth")
 
 
-@query("harvest_blog_tables")
+_REACHED = (f"reached as ({_BLOG_SELECT})", """got as (
+ select p.page_id from fx_linked p join reached r on regexp_replace(p.url, '/$', '') = r.url)""",
+    "seen as (select count(distinct src) as n from fx_shown where page_id in (select page_id from got))")
+
+
+@query("harvest_blog_tables", fx.sql("""
+select 'blogpage' as name, count(*) as n from got union all select 'blogpageseedrelation', count(*) from got
+union all select 'photocache', n from seen union all select 'blogphotopagerelation', n from seen""",
+    "fx_edges", "fx_web", "fx_shown", more=(*_BLOG_WALK, *_REACHED)))
 def harvest_blog_tables(spark, d):
     """Row counts of the four tables a blog harvest fills."""
     pages = fx_linked(spark, d).select("page_id", "url", "html")
@@ -105,18 +116,38 @@ def harvest_blog_tables(spark, d):
     return counts
 
 
-_PRODUCT_WALK = (*_LINKED, fx.resolve_ctes("walk", "(select * from walk_hrefs) h", "url", "href", "link", False))
-
-
-@query("harvest_product")
+_PRODUCT_WALK = (*_LINKED, f"""
+prod_edges as (
+ select p.url as src_url, regexp_replace(e.dst_url, '#top$', '') as dst, {_ITEM} as item
+ from fx_edges e join fx_linked p on e.src = p.page_id)""", f"""
+prod_starts as (
+ select {fx._host_id('host')} as seed_id, regexp_replace(url, '#top$', '') as url from fx_ranked where rk = 1)""", """
+prod_lists as (
+ select url, seed_id, min(depth) as depth from (
+  with recursive w(url, seed_id, depth) as (
+   select url, seed_id, 1 from prod_starts
+   union select e.dst, w.seed_id, w.depth + 1 from w join prod_edges e on w.url = e.src_url
+   where not e.item and w.depth < 12)
+  select * from w) t group by url, seed_id)""", """
+prod_items as (
+ select e.dst as url, l.seed_id, min(l.depth) + 1 as depth from prod_lists l join prod_edges e on l.url = e.src_url
+ where e.item and l.depth < 12 and e.dst not in (select url from prod_starts) group by e.dst, l.seed_id)""")
+
+
+@query("harvest_product", fx.sql(f"""
+select p.page_id, i.seed_id, i.depth, {_MARKS.format(fx.unescape("regexp_extract(p.html, '(?is)<title[^>]*>([^<]+)', 1)"))}
+  as title, cast(10 + p.page_id % 90 as varchar) || ' 50 EUR' as price,
+ regexp_extract(p.url, '^https?://[^/?#]*') || '/img/' || cast(p.page_id % 37 as varchar) || '.jpg' as mainimageurl,
+ 'store' as outcome
+from prod_items i join fx_linked p on p.url = i.url""", "fx_edges", "fx_web", more=_PRODUCT_WALK))
 def harvest_product(spark, d):
     """Product harvest: lists are walked by rule, detail pages give product rows with their outcome."""
     pages = fx_linked(spark, d).select("page_id", "url", "html")
     folder = work_dir(spark, "product")
     rules = rules_from_seeds(fx.fx_seeds(spark, d).withColumn(
-        "detailurl_xpath", F.lit("//nav/ul/li/a/@href")).withColumn("nextpage_xpath", F.lit("//nav//li[1]/a/@href")))
-    seeds = _origin_seeds(spark, d, 3)
-    crawl = expand(spark, seeds, pages, HarvestConfig.product(depth_limit=12), folder, rules)
+        "detailurl_xpath", F.lit('//li[@class="item"]/a/@href')).withColumn(
+        "nextpage_xpath", F.lit('//nav//li[@class="next"]/a/@href')))
+    crawl = expand(spark, _origin_seeds(spark, d, 3), pages, HarvestConfig.product(depth_limit=12), folder, rules)
     by_seed = spark.read.parquet(f"{folder}/rules")
     found = product_pages(crawl, pages, by_seed)
     return found.select("page_id", "seed_id", "depth", "title", "price", "mainimageurl", "outcome")

@@ -111,12 +111,13 @@ class Expansion:
                          self.crawled().select("url_sha1"))
             if visited is not None:
                 new = unseen(new, visited)
-            new = self._table("new", new)
+            new = new.persist()  # counted, then numbered; the written level is what later levels read
             count, low, number = new.count(), 1, number + 1
             high = count
             if count > 0:
                 chunk = F.floor(F.col("parent_ord") / width) if count > CHUNK else None
                 items = self._level(number, ranked(new, [], ["parent_ord", "priority", "pos"], chunk, "ord"))
+            new.unpersist()
         return self.crawled()
 
 

@@ -123,6 +123,15 @@ def test_product_walk(spark):
     assert got["productphotopagerelation"].count() == got["productpageseedrelation"].count() == 1
 
 
+def test_link_nodes_keep_what_any_rule_takes(spark):
+    from weblake.plans.expand import link_nodes
+    pages, _ = tables(spark, {"http://s/": "<p class=k>t<a class=c href=x title=y>u</a></p>", "http://s/none": "<p>t</p>"}, (1, "x"))
+    got = link_nodes(pages, ["href"]).collect()
+    assert [(r.url, [(n.kind, n.attrs, n.text) for n in r.nodes]) for r in got] == [("http://s/", [("elem", {"href": "x"}, None)])]
+    got = {r.url: [n.text for n in r.nodes] for r in link_nodes(pages, ["", "href"]).collect()}
+    assert got == {"http://s/": ["t", None, "u"], "http://s/none": ["t"]}
+
+
 def test_reach_equals_breadth_first_search(spark):
     edges = [(i, (i * 7 + 3) % 50) for i in range(50)] + [(i, i // 2) for i in range(50)] + [(0, i) for i in range(20, 30)]
     depth, level = {1: 1}, {1}

@@ -30,9 +30,23 @@ def blog_edges(pages: DataFrame, config: HarvestConfig) -> DataFrame:
     return found.select("page_key", "pos", "link", url_sha1(F.col("link")).alias("link_sha1"))
 
 
-def parsed_pages(pages: DataFrame, blog: bool) -> DataFrame:
-    keyed = pages.withColumn("page_key", page_key(F.col("url"), blog))
-    return parse_for_rules(keyed, ("page_key", "url"))
+def link_attributes(by_seed: DataFrame) -> list[str]:
+    """Names of the attributes that link rules take ("" for text): a handful, whatever the number of seeds."""
+    rule = F.explode(F.array(*(F.try_element_at("rules", F.lit(f)) for f in ("detailurl_xpath", "nextpage_xpath"))))
+    names = by_seed.select(rule.alias("r")).select("r.attribute").filter(F.col("attribute").isNotNull()).distinct()
+    return sorted(row.attribute for row in names.collect())
+
+
+def link_nodes(pages: DataFrame, taken: list[str]) -> DataFrame:
+    """page_key, url and the nodes that some link rule may take, cut to what the rules look at."""
+    keyed = pages.withColumn("page_key", page_key(F.col("url"), False))
+    names = ", ".join(f"'{name}'" for name in taken)
+    cut = F.expr(f"""transform(filter(nodes, n -> case when n.kind = 'text' then array_contains(array({names}), '')
+        else exists(map_keys(n.attrs), k -> k in ({names})) end),
+      n -> named_struct('kind', n.kind, 'attrs', map_filter(n.attrs, (k, v) -> k in ({names})),
+        'text', case when n.kind = 'text' then n.text end, 'path', n.path))""")
+    parsed = parse_for_rules(keyed, ("page_key", "url")).select("page_key", "url", F.explode(F.array(cut)).alias("nodes"))
+    return parsed.filter(F.size("nodes") > 0)
 
 
 class Expansion:
@@ -95,8 +109,9 @@ class Expansion:
         if self.blog:
             edges = self._bucketed("edges", blog_edges(pages, self.config), "page_key")
         else:
-            parsed = self._bucketed("parsed", parsed_pages(pages, False), "page_key")
             by_seed = self._table("rules", seed_rules(rules))
+            taken = link_attributes(by_seed) or ["href"]
+            parsed = self._bucketed("parsed", link_nodes(pages, taken), "page_key")
         start = seeds if visited is None else unseen(seeds, visited)
         items = self._level(1, first_seen(start.withColumn("ord", F.col("seed_id")), ["url_sha1"], ["ord"]))
         count, low, high = items.agg(F.count("*"), F.min("ord"), F.max("ord")).first()
@@ -111,13 +126,12 @@ class Expansion:
                          self.crawled().select("url_sha1"))
             if visited is not None:
                 new = unseen(new, visited)
-            new = new.persist()  # counted, then numbered; the written level is what later levels read
+            new = self._table("new", new)
             count, low, number = new.count(), 1, number + 1
             high = count
             if count > 0:
                 chunk = F.floor(F.col("parent_ord") / width) if count > CHUNK else None
                 items = self._level(number, ranked(new, [], ["parent_ord", "priority", "pos"], chunk, "ord"))
-            new.unpersist()
         return self.crawled()
 
 

@@ -93,12 +93,13 @@ def harvest_blog(spark, d):
 
 
 _REACHED = (f"reached as ({_BLOG_SELECT})", """got as (
- select p.page_id from fx_linked p join reached r on regexp_replace(p.url, '/$', '') = r.url)""",
+ select p.page_id, p.url, r.seed_id from fx_linked p join reached r on regexp_replace(p.url, '/$', '') = r.url)""",
     "seen as (select count(distinct src) as n from fx_shown where page_id in (select page_id from got))")
 
 
 @query("harvest_blog_tables", fx.sql("""
-select 'blogpage' as name, count(*) as n from got union all select 'blogpageseedrelation', count(*) from got
+select 'blogpage' as name, count(*) as n from got union all
+select 'blogpageseedrelation', count(*) from (select distinct url, seed_id from got) pairs
 union all select 'photocache', n from seen union all select 'blogphotopagerelation', n from seen""",
     "fx_edges", "fx_web", "fx_shown", more=(*_BLOG_WALK, *_REACHED)))
 def harvest_blog_tables(spark, d):

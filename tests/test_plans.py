@@ -184,17 +184,6 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-LAZY = [n for n in entry.queries() if not n.startswith(("harvest_blog", "harvest_product", "stream_", "bfs_"))]
-
-
-@pytest.mark.parametrize("name", LAZY)
-def test_no_query_pairs_all_rows_or_runs_row_at_a_time(spark, name):
-    plan = plan_of(entry.queries()[name](spark, SMALL))
-    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|FlatMapGroupsInPandas|localCheckpoint", plan)
-    single = re.findall(r"Exchange SinglePartition", plan)
-    assert not re.search(r"Window(?!GroupLimit)[^\n]*\n[^\n]*Sort[^\n]*\n[^\n]*Exchange SinglePartition", plan), single
-
-
 def test_rank_limits_apply_before_the_shuffle(spark):
     for name in ("first_seen_url", "image_first_seen", "image_retry_budget"):
         plan = plan_of(entry.queries()[name](spark, SMALL))

@@ -137,6 +137,5 @@ def store_layout(df: DataFrame, key: str = "photo_sha1") -> DataFrame:
 
 
 def write_images(df: DataFrame, path: str) -> None:
-    """Write a sharded image table; rows of a shard meet in one task, so each folder gets one file."""
-    laid = store_layout(df)
-    laid.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Write a sharded image table. AQE gathers small shards and cuts large ones into files of its target size."""
+    store_layout(df).hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)

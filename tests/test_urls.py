@@ -15,7 +15,7 @@ def column(spark, expression, rows, names):
 def test_domain(spark):
     cases = {
         "www.shop.example": "www.shop.example",
-        "a.b.c.example": "ishare.iask.sina.com.cn",
+        "a.b.c.example": "a.b.c.example",
         "www.shop.example.cn/asdf/asdf": "www.shop.example.cn",
         "wwww.a.b?a=b&b=c/asdf.asp": "wwww.a.b?a=b&b=c",
         "wwww.a.b?a=b": "wwww.a.b",

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from catalog import QUERIES
 from tests.oracle import connect, differences
 
 SMALL = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     plans = []
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Joins carry no broadcast hint: Spark broadcasts a side only when its measured size is under the
 # threshold, and AQE cuts the partitions of a hot key into several tasks when it is not.
@@ -42,3 +42,32 @@ def work_root(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below :func:`work_root`."""
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+class Work:
+    """A folder of intermediate tables under ``work_root``.
+
+    ``table`` writes a DataFrame and reads it back, which cuts its lineage in a way that outlives a
+    lost executor. ``drop`` frees a table early; what is left goes when the driver's JVM ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+        path, files = self._files(self.folder)
+        files.deleteOnExit(path)
+
+    def _files(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def table(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path, files = self._files(self.path(name))
+            files.delete(path, True)

@@ -54,6 +54,7 @@ class Work:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
         path, files = self._files(self.folder)
+        files.mkdirs(path)  # only a path that exists can be marked for deletion
         files.deleteOnExit(path)
 
     def _files(self, folder: str):

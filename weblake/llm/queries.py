@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblake.llm import simhash
+from weblake.llm import simhash, toxicity, url_filter
 from weblake.llm.common import read_table
 
 QUERIES = {}
@@ -26,3 +26,39 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document, at 4 or fewer differing fingerprint bits."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+URL_RULES = (
+    url_filter.Rule("org", "/", "allow"),
+    url_filter.Rule("example.org", "/es/", "block"),
+    url_filter.Rule("example.org", "/en/1", "block"),
+    url_filter.Rule("com", "/fr/", "allow"),
+    url_filter.Rule("com", "/de/", "block"),
+)
+
+URL_ORACLE = """
+with cut as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+parts as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
+rules(h, p, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block'))
+select page_id, host, path, arg_max(h || p, length(h || p)) as rule, coalesce(arg_max(v, length(h || p)), 'allow') as verdict
+from parts left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+group by page_id, host, path
+"""
+
+
+@query("op2_url_filter", URL_ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL by the longest rule that fits; allow where none does."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.toxicity(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")

@@ -62,10 +62,11 @@ def _count_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "clean": [clean[e] for e in toxic | clean]})
 
 
-def mine_lexicon(rows: DataFrame, size: int = 512, least: int = 3, precision: float = 0.8) -> Lexicon:
+def mine_lexicon(rows: DataFrame, size: int = 512, least: int = 3, precision: float = 0.95) -> Lexicon:
     """The ``size`` entries that speak most for the toxic class among labelled ``rows`` (text, toxic).
 
-    An entry is in at least ``least`` toxic rows, which are at least ``precision`` of all its rows.
+    An entry is in at least ``least`` toxic rows, which are at least ``precision`` of all its rows; with
+    half a row added to both classes they still are 0.8, so that a start of few rows needs a clean record.
     """
     n1, n0 = rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not n1 or not n0:
@@ -73,8 +74,9 @@ def mine_lexicon(rows: DataFrame, size: int = 512, least: int = 3, precision: fl
     counted = rows.select("text", "toxic").mapInPandas(_count_entries, "entry string, toxic long, clean long")
     total = counted.groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     ratio = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("c") + 0.5) / (n0 + 1))
-    sure = (F.col("t") + 0.5) / (F.col("t") + F.col("c") + 1) >= precision
-    best = (total.filter((F.col("t") >= least) & (F.col("t") * n0 > 4 * F.col("c") * n1) & sure)
+    sure = (F.col("t") + 0.5) / (F.col("t") + F.col("c") + 1) >= 0.8
+    sure = sure & (F.col("t") >= precision * (F.col("t") + F.col("c")))
+    best = (total.filter((F.col("t") >= least) & sure)
             .orderBy((F.col("t") * ratio).desc(), "entry").limit(size))
     return Lexicon([row.entry for row in best.collect()])
 

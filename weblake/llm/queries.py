@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblake.llm import simhash, toxicity, url_filter
+from weblake.llm import secrets, simhash, toxicity, url_filter
 from weblake.llm.common import read_table
 
 QUERIES = {}
@@ -62,3 +62,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return toxicity.toxicity(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")))

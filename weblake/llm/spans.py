@@ -4,23 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+NONE = "cast(array() as array<struct<kind: int, start: int, end: int, found: string>>)"
+
+
+def quoted(text: str) -> str:
+    """A pattern as a raw SQL string."""
+    return "r'" + text.replace("'", r"\x27") + "'"
+
 
 def matches(text: str, pattern: str, kind: int) -> str:
     """SQL of array<struct<kind, start, end, found>>: the leftmost non-overlapping matches of ``pattern``.
 
-    ``split`` and ``regexp_extract_all`` walk the same matches; the pieces between and the matches
-    themselves, taken in turn, give each match's start in code points. ``pattern`` must not match the
-    empty string and stands in the SQL as a raw string.
+    ``regexp_extract_all`` and ``split`` walk the same matches; the pieces between and the matches
+    themselves, taken in turn, give each match's start in code points. Texts without a match are
+    read once. ``pattern`` must not match the empty string; null texts have no matches.
     """
-    quoted = "r'" + pattern.replace("'", "\\x27") + "'"
-    return f"""aggregate(
-      zip_with(regexp_extract_all({text}, {quoted}, 0), split({text}, {quoted}, -1), (found, gap) -> named_struct('found', found, 'gap', gap)),
-      named_struct('at', 0, 'spans', cast(array() as array<struct<kind: int, start: int, end: int, found: string>>)),
-      (acc, x) -> case when x.found is null then acc else named_struct(
-        'at', acc.at + char_length(x.gap) + char_length(x.found),
-        'spans', concat(acc.spans, array(named_struct('kind', {kind}, 'start', acc.at + char_length(x.gap),
-          'end', acc.at + char_length(x.gap) + char_length(x.found), 'found', x.found)))) end,
-      acc -> acc.spans)"""
+    return f"""element_at(transform(array(regexp_extract_all(coalesce({text}, ''), {quoted(pattern)}, 0)),
+      all -> case when size(all) = 0 then {NONE} else aggregate(
+        zip_with(all, split({text}, {quoted(pattern)}, -1), (found, gap) -> named_struct('found', found, 'gap', gap)),
+        named_struct('at', 0, 'spans', {NONE}),
+        (acc, x) -> case when x.found is null then acc else named_struct(
+          'at', acc.at + char_length(x.gap) + char_length(x.found),
+          'spans', concat(acc.spans, array(named_struct('kind', {kind}, 'start', acc.at + char_length(x.gap),
+            'end', acc.at + char_length(x.gap) + char_length(x.found), 'found', x.found)))) end,
+        acc -> acc.spans) end), 1)"""
+
+
+def apart(spans: str, others: str, same_kind: bool) -> str:
+    """SQL of the ``spans`` that overlap none of ``others`` (of their own kind)."""
+    kind = "o.kind = s.kind and " if same_kind else ""
+    return f"filter({spans}, s -> not exists({others}, o -> {kind}o.start < s.end and s.start < o.end))"
+
+
+def ordered(spans: str, first: str, second: str) -> str:
+    """SQL of ``spans`` sorted by the fields ``first``, then ``second`` (start or kind), without their text."""
+    return (f"array_sort(transform({spans}, s -> named_struct('{first}', s.{first}, '{second}', s.{second}, 'end', s.end)))")
 
 
 def written(spans: str, kinds: Sequence[str]) -> str:

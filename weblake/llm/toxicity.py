@@ -62,7 +62,7 @@ def _count_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "clean": [clean[e] for e in toxic | clean]})
 
 
-def mine_lexicon(rows: DataFrame, size: int = 512, least: int = 3, precision: float = 0.95) -> Lexicon:
+def mine_lexicon(rows: DataFrame, size: int = 512, least: int = 3, precision: float = 0.9) -> Lexicon:
     """The ``size`` entries that speak most for the toxic class among labelled ``rows`` (text, toxic).
 
     An entry is in at least ``least`` toxic rows, which are at least ``precision`` of all its rows; with

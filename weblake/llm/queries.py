@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblake.llm import secrets, simhash, toxicity, url_filter
+from weblake.llm import pii, secrets, simhash, tokens, toxicity, url_filter
 from weblake.llm.common import read_table
 
 QUERIES = {}
@@ -68,3 +68,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op4_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digest(pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")

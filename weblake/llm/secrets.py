@@ -29,7 +29,7 @@ ALLOWED = (
     "(?i)example|sample|dummy|placeholder|changeme|redacted|xxxx",
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "0123456789|abcdefghij|ABCDEFGHIJ",
-    r"^(.)\x5c1+$",
+    r"^(.)\1+$",
 )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblake.llm import pii, secrets, simhash, tokens, toxicity, url_filter
+from weblake.llm import mixing, packing, pii, secrets, simhash, tokens, toxicity, url_filter
 from weblake.llm.common import read_table
 
 QUERIES = {}
@@ -81,3 +81,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_source_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblake.llm import mixing, packing, pii, secrets, simhash, tokens, toxicity, url_filter
+from weblake.llm import ann, mixing, packing, pii, secrets, simhash, tokens, topk, toxicity, url_filter
 from weblake.llm.common import read_table
 
 QUERIES = {}
@@ -94,3 +94,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+TOP_K_ORACLE = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e::double[], c.e::double[])::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from scored qualify rank <= 5
+"""
+
+
+@query("op5_exact_top_k", TOP_K_ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of every 50th vector."""
+    return topk.exact_top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_one_bit_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the 20 nearest of every 20th vector."""
+    return ann.approximate_top_k(read_table(spark, sf_dir, "embeddings"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A word is a run of bytes that are not ASCII white space; so are the words of ``bytes.split()``.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,3 +14,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars, if there is such a column, as the texts now have it."""
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs

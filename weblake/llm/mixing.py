@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from weblake.llm.common import WORD, partitions
+from weblake.llm.common import WORD, partitions, with_length
 from weblake.session import Work
 
 #: Words of a shard, and how many shards a source has at most: both the shards of a source and the
 #: documents of a shard then stay small enough to be sorted by one task.
 SHARD_WORDS = 250_000
 MAX_SHARDS = 4096
+_WORDS = re.compile(WORD.encode())
 
 
 def word_count(text: str = "text") -> Column:
@@ -86,9 +90,11 @@ def sainte_lague(df: DataFrame, group: Sequence[str], votes: str, seats: Column,
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 16,
-        seed: int = 42) -> DataFrame:
+        seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target and taken, the words that the mix takes of each row.
 
+    ``keep`` names columns of ``docs`` that come along in a struct ``row``; without it no text is shuffled.
+
     Blocks of ``block`` words are apportioned to the sources by their targets, then to the shards of a
     source by their words. The documents of a shard in a seeded order, twice over, are its blocks; the
     shard takes the first of them up to its quota. So a document is taken whole, twice, in part or not
@@ -98,25 +104,57 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     if most > 2:
         raise ValueError("a document is taken twice at most")
     work = Work(docs.sparkSession, "mixing")
-    # Decided per distinct text, so that repeated rows keep one order whatever task reads them.
-    sizes = work.table("sizes", docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("text_hash")))
+    sized = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("text_hash"),
+                        *([F.struct(*keep).alias("row")] if keep else []))
+    sizes = work.table("sizes", sized.drop("row"))
     sources = targets(work, sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     total = sources.agg(F.sum("target")).first()[0] or 0.0
     quotas = sainte_lague(sources.withColumn("all", F.lit(1)), ["all"], "target", F.lit(round(total / block)).cast("bigint"), ["key"])
     quotas = work.table("quotas", quotas.select(
         F.col("source").alias("_source"), "key", "source_size", "target", F.col("seats").alias("source_blocks"),
         F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / SHARD_WORDS) + 1).cast("bigint").alias("shards")))
-    rows = sizes.join(quotas, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn(
-        "place", F.xxhash64(F.lit(seed), "doc_id", "text_hash"))
-    rows = work.table("rows", rows.withColumn("shard", F.pmod("place", "shards")))
+
+    def sharded(df):
+        joined = df.join(quotas, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        joined = joined.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "text_hash"))
+        return joined.withColumn("shard", F.pmod("place", "shards"))
+
+    rows = sharded(sizes)
     shards = rows.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("source_blocks").alias("blocks"))
     shards = sainte_lague(shards, ["key"], "words", F.col("blocks"), ["shard"])
     shards = shards.select("key", "shard", "words", (F.col("seats") * block).alias("wanted"))
     order = W.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "place"), "doc_id", "text_hash")
     upto = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    placed = rows.join(shards, ["key", "shard"]).withColumn("_before", upto - F.col("size"))
+    shards = work.table("shards", shards)
+    placed = (sharded(sized) if keep else rows).join(shards, ["key", "shard"]).withColumn("_before", upto - F.col("size"))
 
     def part(before):
         return F.greatest(F.lit(0), F.least(F.col("size"), F.col("wanted") - before))
     taken = part(F.col("_before")) + part(F.col("_before") + F.col("words"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "text_hash")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"),
+                         *(["row"] if keep else []))
+
+
+def cut(text: str | None, size: int, taken: int) -> str:
+    """The first ``taken`` words of a text of ``size`` words, written again and again on lines of its own as needed."""
+    if not size or not taken:
+        return ""
+    whole, rest = divmod(taken, size)
+    parts = [text] * whole
+    if rest:
+        data = text.encode("utf-8", "surrogatepass")
+        end = next(itertools.islice(_WORDS.finditer(data), rest - 1, None)).end()
+        parts.append(data[:end].decode("utf-8", "surrogatepass"))
+    return "\n".join(parts)
+
+
+def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """``docs`` as the mix takes them: documents that it does not take go, the text of the others holds the
+    words taken, and a column n_chars is brought up to date. Texts without words are never taken."""
+    @F.pandas_udf("string")
+    def run(text: pd.Series, size: pd.Series, taken: pd.Series) -> pd.Series:
+        return pd.Series([cut(*x) for x in zip(text, size, taken)])
+
+    found = mix(docs, keep=docs.columns, **parameters).filter("taken > 0").select("row.*", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    changed = found.withColumn("text", F.when(F.col("_size") == F.col("_taken"), F.col("text")).otherwise(run("text", "_size", "_taken")))
+    return with_length(changed).select(*docs.columns)

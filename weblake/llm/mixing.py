@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
 
     Blocks of ``block`` words are apportioned to the sources by their targets, then to the shards of a
     source by their words. The documents of a shard in a seeded order, twice over, are its blocks; the
-    shard takes the first of them up to its quota. So a document is taken whole, twice, in part or not
+    shard takes the first of them up to its quota, or all where the source's target is its cap. So a document is taken whole, twice, in part or not
     at all, and a rerun takes the same. Null texts have size 0, null sources are one source, repeated
     rows are separate documents that share a place in the order. An empty table gives no rows.
     """
@@ -120,9 +120,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
         return joined.withColumn("shard", F.pmod("place", "shards"))
 
     rows = sharded(sizes)
-    shards = rows.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("source_blocks").alias("blocks"))
+    shards = rows.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("source_blocks").alias("blocks"),
+                                            F.first(F.col("target") >= F.col("source_size") * most).alias("full"))
     shards = sainte_lague(shards, ["key"], "words", F.col("blocks"), ["shard"])
-    shards = shards.select("key", "shard", "words", (F.col("seats") * block).alias("wanted"))
+    shards = shards.select("key", "shard", "words", F.when(
+        F.col("full"), F.ceil(F.col("words") * F.lit(float(most)))).otherwise(F.col("seats") * block).alias("wanted"))
     order = W.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "place"), "doc_id", "text_hash")
     upto = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     shards = work.table("shards", shards)

@@ -139,7 +139,7 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> float:
         logit = self.weights[-1] + sum(self.weights[i] for i in self.lexicon.hits(text))
-        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+        return 0.0 if logit == -np.inf else float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
 def _matrix(hits: list[list[int]], width: int) -> np.ndarray:

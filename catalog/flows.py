@@ -23,12 +23,13 @@ from weblake.streaming import streams as ST
 select page_id, min(depth) as depth from (
  with recursive f(page_id, depth) as (
   select page_id, 1 from fx_ranked where rk = 1
-  union all select e.dst, f.depth + 1 from f join fx_edges e on f.page_id = e.src where f.depth < 6)
+  union select e.dst, f.depth + 1 from f join fx_edges e on f.page_id = e.src
+  where f.depth <= (select max(rk) from fx_ranked))
  select * from f) t group by page_id""", "fx_edges"))
 def bfs_frontier(spark, d):
     edges = fx.fx_edges(spark, d)
     starts = fx.fx_urls(spark, d).groupBy("host").agg(F.min("page_id").alias("node")).select("node")
-    return reach(spark, starts, edges.select("src", "dst"), 6, work_dir(spark, "bfs")).withColumnRenamed("node", "page_id")
+    return reach(spark, starts, edges.select("src", "dst"), None, work_dir(spark, "bfs")).withColumnRenamed("node", "page_id")
 
 
 # Walkable pages: each page also links to its neighbours in the page graph, marked as item or next list.
@@ -80,14 +81,14 @@ select url, seed_id, min(depth) as depth from (
  with recursive w(url, seed_id, seed_url, depth) as (
   select url, seed_id, seed_url, 1 from walk_starts
   union select e.dst, w.seed_id, w.seed_url, w.depth + 1 from w join walk_edges e on w.url = e.src
-  where w.depth < 12 and starts_with(e.dst, w.seed_url))
+  where w.depth <= (select max(rk) from fx_ranked) and starts_with(e.dst, w.seed_url))
  select * from w) t group by url, seed_id"""
 
 
 @query("harvest_blog", fx.sql(_BLOG_SELECT, "fx_edges", "fx_web", more=_BLOG_WALK))
 def harvest_blog(spark, d):
     pages = fx_linked(spark, d).select("page_id", "url", "html")
-    config = HarvestConfig.blog(depth_limit=12)
+    config = HarvestConfig.blog()
     crawl = expand(spark, _origin_seeds(spark, d, 2), pages, config, work_dir(spark, "blog"))
     return crawl.select(F.regexp_replace("url", "/$", "").alias("url"), "seed_id", "depth")
 
@@ -106,7 +107,7 @@ def harvest_blog_tables(spark, d):
     """Row counts of the four tables a blog harvest fills."""
     pages = fx_linked(spark, d).select("page_id", "url", "html")
     folder = work_dir(spark, "blog")
-    crawl = expand(spark, _origin_seeds(spark, d, 2), pages, HarvestConfig.blog(depth_limit=12), folder)
+    crawl = expand(spark, _origin_seeds(spark, d, 2), pages, HarvestConfig.blog(), folder)
     extracted = blog_pages(crawl, pages)
     extracted.write.parquet(f"{folder}/extracted")
     tables = blog_tables(spark.read.parquet(f"{folder}/extracted"))
@@ -128,11 +129,11 @@ prod_lists as (
   with recursive w(url, seed_id, depth) as (
    select url, seed_id, 1 from prod_starts
    union select e.dst, w.seed_id, w.depth + 1 from w join prod_edges e on w.url = e.src_url
-   where not e.item and w.depth < 12)
+   where not e.item and w.depth <= (select max(rk) from fx_ranked))
   select * from w) t group by url, seed_id)""", """
 prod_items as (
  select e.dst as url, l.seed_id, min(l.depth) + 1 as depth from prod_lists l join prod_edges e on l.url = e.src_url
- where e.item and l.depth < 12 and e.dst not in (select url from prod_starts) group by e.dst, l.seed_id)""")
+ where e.item and e.dst not in (select url from prod_starts) group by e.dst, l.seed_id)""")
 
 
 @query("harvest_product", fx.sql(f"""
@@ -148,7 +149,7 @@ def harvest_product(spark, d):
     rules = rules_from_seeds(fx.fx_seeds(spark, d).withColumn(
         "detailurl_xpath", F.lit('//li[@class="item"]/a/@href')).withColumn(
         "nextpage_xpath", F.lit('//nav//li[@class="next"]/a/@href')))
-    crawl = expand(spark, _origin_seeds(spark, d, 3), pages, HarvestConfig.product(depth_limit=12), folder, rules)
+    crawl = expand(spark, _origin_seeds(spark, d, 3), pages, HarvestConfig.product(), folder, rules)
     by_seed = spark.read.parquet(f"{folder}/rules")
     found = product_pages(crawl, pages, by_seed)
     return found.select("page_id", "seed_id", "depth", "title", "price", "mainimageurl", "outcome")

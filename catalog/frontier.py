@@ -151,6 +151,14 @@ def retry_requeue(spark, d):
     return FR.requeue(queue, failed)
 
 
+@query("retry_dead_letters", fx.sql("""
+select url, url_sha1, seed_id, depth, ord, cast(1 + length(url) % 5 as integer) as attempt
+from old_items where 1 + length(url) % 5 >= 4""", "fx_items", more=(_OLD,)))
+def retry_dead_letters(spark, d):
+    """What :func:`retry_requeue` does not take back."""
+    return FR.spent(_old(spark, d).withColumn("attempt", (F.lit(1) + F.length("url") % 5).cast("int")))
+
+
 @query("seed_refresh", fx.sql("""
 select id as seed_id, url, sha1(url) as url_sha1 from fx_seeds s
 where deleted = 0 and photosourcetype_id = 2 and sha1(url) not in (

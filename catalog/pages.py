@@ -8,6 +8,7 @@ from catalog import fixtures as fx, query
 from weblake.functions import html as H
 from weblake.functions.text import decode_entities, erase_marks, ordered_distinct
 from weblake.operators import images as I, links as L, nodes as N, rules as R
+from weblake.operators.treepass import IMPLIED_END, VOID
 from weblake.session import work_dir
 
 _KIND = """case when t like '<!--%' then 'comment' when regexp_matches(t, '(?i)^<script\\b') then 'script'
@@ -24,7 +25,78 @@ def html_tokens(spark, d):
     return N.tokens(fx.fx_pages(spark, d))
 
 
-@query("html_nodes")
+def _names(tags):
+    return "[" + ", ".join(f"'{t}'" for t in sorted(tags)) + "]"
+
+
+# The tree walk as SQL: a token a step for all pages at once, the open elements in a list.
+_ENDS = "case tag " + " ".join(f"when '{tag}' then {_names(ends)}" for tag, ends in IMPLIED_END.items()) + " else []::varchar[] end"
+_NODE_WALK = rf"""
+with recursive l as (select page_id, regexp_extract_all(html, '{fx.TOKEN}') as l from pages),
+u as (select page_id, generate_subscripts(l, 1) - 1 as i, unnest(l) as t from l),
+toks as (
+ select *, lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9:_-]*)', 1)) as tag,
+  case when regexp_matches(t, '^</[a-zA-Z]') then 'end' when regexp_matches(t, '^<[a-zA-Z]') then 'start'
+   when regexp_matches(t, '^<[!?]') then 'skip' else 'text' end as what from u),
+parts as (
+ select *, {_ENDS} as ends, regexp_extract(t, '^<[^>]*>') as head,
+  case when tag in ('script', 'style') then regexp_replace(regexp_replace(t, '^<[^>]*>', ''), '(?i)</(script|style)\s*>$', '') end as content
+ from toks),
+attrs as (
+ select *, list_transform(regexp_extract_all(head, '[^\s">/=]+="[^"]*"'), lambda a: regexp_extract(a, '^([^=]+)=', 1)) as names,
+  list_transform(regexp_extract_all(head, '[^\s">/=]+="[^"]*"'), lambda a: regexp_extract(a, '="([^"]*)"$', 1)) as vals from parts),
+rich as (
+ select *, coalesce(vals[list_position(names, 'class')], '') as class_, coalesce(vals[list_position(names, 'id')], '') as id_,
+  '{{' || array_to_string(list_transform(range(1, len(names) + 1), lambda j: '"' || names[j] || '":"' || vals[j] || '"'), ',') || '}}' as json
+ from attrs),
+walk as (
+ select page_id, cast(-1 as bigint) as i, cast(-1 as bigint) as last_no, cast(null as varchar) as kind, cast(null as bigint) as node_no,
+  cast(null as bigint) as parent_no, cast(null as bigint) as depth, cast(null as varchar) as path, cast(null as boolean) as in_comment,
+  cast([] as struct(no bigint, tag varchar, path varchar, kids varchar[], com boolean)[]) as stack, cast([] as varchar[]) as roots
+ from l
+ union all
+ select page_id, i, last_no + starts, case what when 'start' then 'elem' else what end,
+  case what when 'start' then last_no + 1 else coalesce(top.no, -1) end, coalesce(top.no, -1),
+  case when what = 'text' and top is null then 1 else len(open_) end,
+  case when what = 'start' then new_path else coalesce(top.path, '/body[1,1]') end,
+  coalesce(top.com, false),
+  case what when 'start' then
+    list_concat(case when top is null then open_ else list_append(open_[1:len(open_) - 1],
+      struct_pack(no := top.no, tag := top.tag, path := top.path, kids := list_append(top.kids, tag), com := top.com)) end,
+     case when pushes then [struct_pack(no := last_no + 1, tag := tag, path := new_path, kids := cast([] as varchar[]),
+       com := coalesce(top.com, false) or regexp_matches(class_ || ' ' || id_, 'comment|feedback'))] else [] end)
+   else open_ end,
+  case when what = 'start' and top is null then list_append(roots, tag) else roots end
+ from (
+  select *, coalesce(top.path, '') || '/' || tag || '[' || (len(list_filter(coalesce(top.kids, roots), lambda k: k = tag)) + 1) || ',' ||
+    (len(coalesce(top.kids, roots)) + 1) || ']' || case when class_ <> '' then '@class="' || class_ || '"' else '' end ||
+    case when id_ <> '' then '@id="' || id_ || '"' else '' end as new_path,
+   tag not in {str(tuple(sorted(VOID)))} and tag not in ('script', 'style') and t not like '%/>' as pushes,
+   case when what = 'start' then 1 else 0 end as starts
+  from (
+   select *, open_[len(open_)] as top from (
+    select w.page_id, w.last_no, w.roots, r.i, r.t, r.tag, r.what, r.class_, r.id_, w.stack[1:len(w.stack) - case r.what
+      when 'end' then coalesce(list_position(list_reverse(list_transform(w.stack, lambda x: x.tag)), r.tag), 0)
+      when 'start' then coalesce(list_position(list_reverse(list_transform(w.stack, lambda x: list_contains(r.ends, x.tag))), false) - 1, len(w.stack))
+      else 0 end] as open_
+    from walk w join rich r on r.page_id = w.page_id and r.i = w.i + 1) a) b) c),
+own as (
+ select page_id, node_no, string_agg(t, '' order by i) as text from (
+  select w.page_id, w.node_no, w.i, r.t from walk w join rich r using (page_id, i) where w.kind = 'text' and w.node_no >= 0
+  union all select w.page_id, w.node_no, w.i, r.content from walk w join rich r using (page_id, i) where w.kind = 'elem' and r.content <> '') o
+ group by page_id, node_no)
+select w.page_id, w.i as ord, w.kind, w.node_no, w.parent_no, w.depth, case when w.kind = 'elem' then r.tag else
+  coalesce(w.stack[len(w.stack)].tag, 'body') end as tag, case when w.kind = 'elem' then r.json else '{{}}' end as attrs,
+ case when w.kind = 'elem' then coalesce(o.text, '') else r.t end as text, w.path, w.in_comment
+from walk w join rich r using (page_id, i) left join own o on o.page_id = w.page_id and o.node_no = w.node_no and w.kind = 'elem'
+where w.kind = 'elem' or (w.kind = 'text' and (w.node_no >= 0 or trim(r.t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''))
+union all
+select w.page_id, w.i, 'text', w.node_no, w.node_no, w.depth + 1, r.tag, '{{}}', r.content, w.path, w.in_comment
+from walk w join rich r using (page_id, i) where w.kind = 'elem' and r.content <> ''
+"""
+
+
+@query("html_nodes", _NODE_WALK)
 def html_nodes(spark, d):
     return (N.nodes(fx.fx_pages(spark, d))
             .withColumn("attrs", F.to_json("attrs")))

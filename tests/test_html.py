@@ -190,7 +190,33 @@ def test_broken_pages_stay_cheap(spark):
     rows = N.page_text(N.parse(pages(spark, deep, unfinished, stray))).select("page_id", F.length("pagetext")).collect()
     assert {r[0]: r[1] for r in rows}[0] == 1 and {r[0]: r[1] for r in rows}[2] == 60000
     elements = N.nodes(pages(spark, deep)).filter("kind = 'elem'")
-    assert elements.count() == 5001 and elements.agg(F.max("depth")).first()[0] == 256
+    assert elements.count() == 5001 and elements.agg(F.max("depth")).first()[0] == 5000
+    assert elements.agg(F.max(F.length("path"))).first()[0] < 20_000
+
+
+def test_nesting_below_the_path_depth_is_kept(spark):
+    """Below 256 elements parents, end tags and text stay right; only the paths end."""
+    html = "<div>" * 300 + "<a href=/x>link<i>in</i></a>deep" + "</div>" * 299 + "<p>up</p></div>after"
+    rows = {(r.kind, r.tag, r.text): r for r in N.nodes(pages(spark, html)).collect()}
+    inner = rows["text", "i", "in"]
+    assert rows["elem", "i", "in"].parent_no == rows["elem", "a", "link"].node_no == 300 and inner.depth == 302
+    assert rows["elem", "p", "up"].parent_no == 0 and rows["text", "div", "deep"].parent_no == 299
+    text = N.page_text(N.parse(pages(spark, html))).first().pagetext
+    assert text == "indeepupafter"
+
+
+def test_slash_of_an_unquoted_value_does_not_close(spark):
+    html = "<a href=/x/>LINK</a>after<br/><i class=y />z<b title='q'/>w<a href=/u/ />v"
+    nodes = [(r.tag, r.attrs, r.text) for r in N.nodes(pages(spark, html)).filter("kind = 'elem'").collect()]
+    assert nodes == [("a", {"href": "/x/"}, "LINK"), ("br", {}, ""), ("i", {"class": "y"}, ""), ("b", {"title": "q"}, ""),
+                     ("a", {"href": "/u/"}, "")]
+    assert N.page_text(N.parse(pages(spark, html))).first().pagetext == "afterzwv"
+
+
+def test_references_with_leading_zeros(spark):
+    from weblake.functions.text import decode_entities
+    df = spark.createDataFrame([("&#x0000041;&#00000065;&#x110000;&#0;&#xD800;&#00128512;&copy;&nope;",)], "t string")
+    assert df.select(decode_entities(F.col("t"))).first()[0] == "AA&#x110000;&#0;&#xD800;😀©&nope;"
 
 
 def test_output_batches_are_cut_by_size(monkeypatch):

@@ -68,14 +68,24 @@ def test_later_harvest_skips_what_was_visited(spark):
     assert [r.url for r in again.collect()] == ["http://a.com/new"]
 
 
-def test_small_numbering_chunks_give_the_same_order(spark, monkeypatch):
-    from weblake.plans import expand as module
-    _, whole = blog_walk(spark)
-    monkeypatch.setattr(module, "CHUNK", 1)
-    _, split = blog_walk(spark)
-    order = ["depth", "ord"]
-    ranks = [[(r.url, r.ord) for r in df.filter("depth > 1").orderBy(*order).collect()] for df in (whole, split)]
-    assert ranks[0] == ranks[1]
+def test_numbers_of_a_level_come_from_several_tasks(spark):
+    from weblake.operators.frontier import in_order
+    links = spark.range(100_000).selectExpr("id % 10 as parent_ord", "0 as priority", "id div 10 as pos")
+    folder = work_dir(spark, "t")
+    in_order(links.repartition(8), ["parent_ord", "priority", "pos"]).write.parquet(folder)
+    rows = spark.read.parquet(folder).orderBy("ord").collect()
+    assert [(r.parent_ord, r.pos) for r in rows] == sorted((r.parent_ord, r.pos) for r in rows)
+    assert len({r.ord for r in rows}) == 100_000 and len({r.ord >> 33 for r in rows}) > 1
+
+
+def test_walks_have_no_bound(spark):
+    chain = {f"http://a.com/{i}": f"<a href='/{i + 1}'>n</a>" for i in range(16)}
+    pages, seeds = tables(spark, chain, (7, "http://a.com/0"))
+    crawl = expand(spark, read_seeds(seeds), pages, HarvestConfig.blog(scope="none"), work_dir(spark, "t"))
+    assert crawl.agg(F.max("depth")).first()[0] == 17
+    edges = spark.range(24).selectExpr("id as src", "id + 1 as dst")
+    reached = reach(spark, spark.createDataFrame([(0,)], "node bigint"), edges, None, work_dir(spark, "t"))
+    assert {r.node: r.depth for r in reached.collect()} == {i: i + 1 for i in range(25)}
 
 
 def test_blog_tables(spark):
@@ -171,11 +181,12 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
 
 
 def test_retries_end_done_or_dead(spark, tmp_path):
-    items = spark.createDataFrame([("ok", 0, 1), ("twice", 2, 1), ("never", 99, 1)], "url string, failures int, attempt int")
+    items = spark.createDataFrame([("ok", 0, 1), ("twice", 2, 1), ("never", 99, 1), ("early", 99, 0), ("late", 0, 9)], "url string, failures int, attempt int")
     items.write.parquet(str(tmp_path / "frontier/start"))
     ended = ST.run_retries(spark, str(tmp_path / "frontier"), lambda: F.col("attempt") <= F.col("failures"),
                            str(tmp_path / "out"), str(tmp_path / "checkpoint"))
-    assert {r.url: (r.attempt, r.status) for r in ended.collect()} == {"ok": (1, "done"), "twice": (3, "done"), "never": (4, "dead")}
+    assert {r.url: (r.attempt, r.status) for r in ended.collect()} == {"ok": (1, "done"), "twice": (3, "done"), "never": (4, "dead"),
+                                                                        "early": (4, "dead"), "late": (9, "done")}
 
 
 # --- plans -------------------------------------------------------------------------------------

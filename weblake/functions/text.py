@@ -70,8 +70,8 @@ def _code_point(digits: str, radix: int) -> str:
 # Splits at references, replaces each once, left to right; unknown names stay as written.
 DECODE = rf"""t -> case when not contains(t, '&') then t else array_join(transform(
   regexp_extract_all(t, r'&#?[a-zA-Z0-9]+;|[^&]+|&', 0), p -> case
-   when p rlike r'^&#[xX][0-9a-fA-F]{{1,6}};$' then {_code_point("substr(p, 4, length(p) - 4)", 16)}
-   when p rlike r'^&#[0-9]{{1,7}};$' then {_code_point("substr(p, 3, length(p) - 3)", 10)}
+   when p rlike r'^&#[xX]0*[0-9a-fA-F]{{1,6}};$' then {_code_point("regexp_extract(p, '^&#[xX]0*([0-9a-fA-F]+);$', 1)", 16)}
+   when p rlike r'^&#0*[0-9]{{1,7}};$' then {_code_point("regexp_extract(p, '^&#0*([0-9]+);$', 1)", 10)}
    when p rlike r'^&[a-zA-Z][a-zA-Z0-9]*;$' then coalesce(try_element_at(
      str_to_map('{_ENTITY_MAP}', ' ', ':'), substr(p, 2, length(p) - 2)), p)
    else p end), '') end"""

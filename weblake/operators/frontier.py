@@ -45,6 +45,14 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column |
             .drop("_chunk", "_n", "_before"))
 
 
+def in_order(df: DataFrame, order: Sequence[str], out: str = "ord") -> DataFrame:
+    """``df`` with a number that grows along ``order``, with gaps; write it before using the numbers twice.
+
+    Rows are dealt out by ranges and sorted within them, so no task numbers them all, whatever the keys.
+    """
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(out, F.monotonically_increasing_id())
+
+
 def fetch_plan(frontier: DataFrame, delay: float = 0.25, url: str = "url", order: str = "ord",
                chunk: Column | None = None) -> DataFrame:
     """Planned start of each request in seconds: one request per host and ``delay``, in queue order."""
@@ -76,11 +84,19 @@ def remainder(frontier: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def requeue(frontier: DataFrame, failed: DataFrame, max_attempts: int = 4) -> DataFrame:
-    """Put failed items back at the tail, without a visited test, until their attempts are used up."""
+    """Put failed items back at the tail, without a visited test, until their attempts are used up.
+
+    Those whose attempts are used up are the rows of :func:`spent`.
+    """
     again = failed.filter(F.col("attempt") < max_attempts).withColumn("attempt", F.col("attempt") + 1)
     return enqueue(frontier, again)
 
 
+def spent(failed: DataFrame, max_attempts: int = 4) -> DataFrame:
+    """Failed items that :func:`requeue` does not take back: the dead letters."""
+    return failed.filter(F.coalesce(F.col("attempt") >= max_attempts, F.lit(True)))
+
+
 def visited_union(visited: DataFrame, new: DataFrame, key: str = "url_sha1") -> DataFrame:
     return visited.select(key).union(new.select(key)).distinct()
 

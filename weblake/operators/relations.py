@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from weblake.functions import urls as U
+from weblake.operators.frontier import first_seen
 
 
 def exists_flag(df: DataFrame, target: DataFrame, on: Sequence[str] | str, out: str = "found") -> DataFrame:
@@ -41,13 +42,20 @@ def pairs_from_json(df: DataFrame, column: str = "pair_json") -> DataFrame:
         F.when(good, 0).otherwise(1).alias("rejected")).drop(column)
 
 
-def enrich_main_image(products: DataFrame, photos: DataFrame, updates: DataFrame) -> DataFrame:
-    """Update products by hash and set their main image where its photo is stored.
+def _last(updates: DataFrame, order_by) -> DataFrame:
+    """The last update of each page; without an order column the whole row decides."""
+    order = [c for c in order_by if c in updates.columns] or updates.columns
+    return first_seen(updates, ["pageurlhash"], [F.col(c).desc() for c in order])
+
+
+def enrich_main_image(products: DataFrame, photos: DataFrame, updates: DataFrame,
+                      order_by=("ts", "event_id")) -> DataFrame:
+    """Update products by hash, each with its last update, and set their main image where its photo is stored.
 
     An update without a product is inserted, then without main image. products: pageurlhash, title,
     price, size, productid, pagetext, mainimage_sha1, daterefresh; updates: the same with ts.
     """
-    known = exists_flag(updates, photos.select(F.col("photourlhash").alias("mainimage_sha1")),
+    known = exists_flag(_last(updates, order_by), photos.select(F.col("photourlhash").alias("mainimage_sha1")),
                         "mainimage_sha1", "_stored")
     names = ("title", "price", "size", "productid", "pagetext")
     news = known.select(
@@ -61,11 +69,14 @@ def enrich_main_image(products: DataFrame, photos: DataFrame, updates: DataFrame
         F.when(had, F.coalesce("_ts", "daterefresh")).alias("daterefresh"))
 
 
-def set_main_image(products: DataFrame, photos: DataFrame, updates: DataFrame) -> DataFrame:
-    """Set main image and image count of products whose photo is stored; the others stay as they are."""
+def set_main_image(products: DataFrame, photos: DataFrame, updates: DataFrame,
+                   order_by=("ts", "event_id")) -> DataFrame:
+    """Set main image and image count of products whose photo is stored, from the last such update of
+    each; the others stay as they are."""
     stored = photos.select(F.col("photourlhash").alias("_image"))
-    news = updates.select("pageurlhash", F.col("mainimage_sha1").alias("_image"),
-                          F.col("imageamount").alias("_amount")).join(stored, "_image", "left_semi")
+    order = [c for c in order_by if c in updates.columns]
+    news = updates.select("pageurlhash", F.col("mainimage_sha1").alias("_image"), F.col("imageamount").alias("_amount"), *order)
+    news = _last(news.join(stored, "_image", "left_semi"), order_by).drop(*order)
     return products.join(news, "pageurlhash", "left").select(
         *(c for c in products.columns if c not in ("mainimage_sha1", "imageamount")),
         F.coalesce("_image", "mainimage_sha1").alias("mainimage_sha1"),

@@ -7,6 +7,7 @@ windows nor array functions express without copying the stack per token.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 
@@ -31,8 +32,9 @@ IMPLIED_END = {
         "article", "section", "nav", "footer", "header", "aside", *_HEADINGS)},
 }
 
-# Elements below this depth stay rows, but nothing nests in them: paths stay short on broken pages.
-MAX_DEPTH = 256
+# Paths of elements below this depth end in DEEP, which no selector takes: they stay short on broken pages.
+PATH_DEPTH = 256
+DEEP = "/!"
 # Class or id of a block that holds reader comments contains one of these.
 COMMENT_WORDS = ("comment", "feedback")
 # An output batch is closed after this many nodes or characters of paths.
@@ -54,10 +56,16 @@ NODE_DDL = ("array<struct<ord:int,kind:string,node_no:int,parent_no:int,depth:in
 
 
 def _attributes(tag_text, name_end):
-    found = {}
-    for name, double, single, bare in _ATTRIBUTE.findall(tag_text, name_end):
+    """The attributes of a start tag, and whether a "/" at its end closes it.
+
+    A "/" that ends an unquoted value belongs to the value.
+    """
+    found, bare_end = {}, -1
+    for match in _ATTRIBUTE.finditer(tag_text, name_end):
+        name, double, single, bare = match.groups(default="")
         found.setdefault(name.lower(), double or single or bare)
-    return found
+        bare_end = match.end() if bare else bare_end
+    return found, tag_text.endswith("/>") and bare_end != len(tag_text) - 1
 
 
 def page_rows(tokens, path_attrs):
@@ -68,6 +76,7 @@ def page_rows(tokens, path_attrs):
     """
     rows, own_text = [], {}
     stack = []  # (node_no, tag, path, {tag: count of children}, [count of children], comment block)
+    open_tags = Counter()  # an end tag without a start tag must not search the stack
     top_level = ({}, [0])
     node_no = -1
     for position, token in enumerate(tokens):
@@ -85,15 +94,16 @@ def page_rows(tokens, path_attrs):
         match = _NAME.match(token)
         tag = match.group(1).lower()
         if token[1] == "/":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][1] == tag:
-                    del stack[i:]
-                    break
+            if open_tags[tag]:
+                while open_tags[tag] and (closed := stack.pop()[1]):
+                    open_tags[closed] -= 1
+                    if closed == tag:
+                        break
             continue
         ends = IMPLIED_END.get(tag)
         if ends:
             while stack and stack[-1][1] in ends:
-                stack.pop()
+                open_tags[stack.pop()[1]] -= 1
         node_no += 1
         by_tag, total = (stack[-1][3], stack[-1][4]) if stack else top_level
         by_tag[tag] = by_tag.get(tag, 0) + 1
@@ -104,17 +114,21 @@ def page_rows(tokens, path_attrs):
             cut = _tag_end(token)
             head, content = token[:cut], token[cut:]
             content = re.sub(rf"(?i)</{tag}\s*>$", "", content)
-        attrs = _attributes(head, match.end())
-        path = (stack[-1][2] if stack else "") + f"/{tag}[{by_tag[tag]},{total[0]}]" + "".join(
-            f'@{a}="{attrs[a].translate(_ESCAPE)}"' for a in path_attrs if a in attrs)
+        attrs, closes = _attributes(head, match.end())
+        path = stack[-1][2] if stack else ""
+        if len(stack) < PATH_DEPTH:
+            path += f"/{tag}[{by_tag[tag]},{total[0]}]" + "".join(
+                f'@{a}="{attrs[a].translate(_ESCAPE)}"' for a in path_attrs if a in attrs)
+        elif len(stack) == PATH_DEPTH:
+            path += DEEP
         parent = stack[-1][0] if stack else -1
         in_comment = bool(stack) and stack[-1][5]
         rows.append([position, "elem", node_no, parent, len(stack), tag, attrs, None, path, in_comment])
         if content:
             rows.append([position, "text", node_no, node_no, len(stack) + 1, tag, None, content, path, in_comment])
             own_text[node_no] = [content]
-        if (tag not in VOID and tag not in ("script", "style") and not token.endswith("/>")
-                and len(stack) < MAX_DEPTH):
+        if tag not in VOID and tag not in ("script", "style") and not closes:
+            open_tags[tag] += 1
             named = attrs.get("class", "") + " " + attrs.get("id", "")
             stack.append((node_no, tag, path, {}, [0], in_comment or any(w in named for w in COMMENT_WORDS)))
     for row in rows:

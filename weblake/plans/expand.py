@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weblake.config import HarvestConfig, PRODUCT_LIST
 from weblake.functions.urls import strip_slash, url_sha1
-from weblake.operators.frontier import CHUNK, first_seen, ranked, unseen
+from weblake.operators.frontier import first_seen, in_order, unseen
 from weblake.operators.links import below_depth, canonicalize, filter_links, links, scope_test
-from weblake.operators.rules import extract_list_links, parse_for_rules, seed_rules, with_rules
+from weblake.operators.rules import extract_list_links, parse_for_rules, rejected_rules, seed_rules, with_rules
 
 ITEM_DDL = ("url string, url_sha1 string, seed_id bigint, seed_url string, depth int, pagetype int, "
             "category string, category_1 string, ord bigint")
@@ -49,6 +49,32 @@ def link_nodes(pages: DataFrame, taken: list[str]) -> DataFrame:
     return parsed.filter(F.size("nodes") > 0)
 
 
+def bucket_count(spark: SparkSession, df: DataFrame, bucket_bytes: int = 128 << 20) -> int:
+    """Buckets for a table derived from ``df``: the session's partitions, more where the estimated size of
+    ``df`` needs them, as bucketed scans are not split."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, size // bucket_bytes))
+
+
+class KeyLog:
+    """Keys in a bucketed table that grows by appending: a join on the key does not shuffle them again."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int):
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+        self.table = f"weblake_keys_{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> None:
+        (df.select(self.key).repartition(self.buckets, self.key).write.bucketBy(self.buckets, self.key)
+         .mode("append").option("path", self.path).saveAsTable(self.table))
+
+    def keys(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def close(self) -> None:
+        """Forget the entry; the files stay in the folder."""
+        self.spark.sql(f"drop table if exists {self.table}")
+
+
 class Expansion:
     """One harvest walk. Each level is a written folder, so a lost executor never replays earlier levels."""
 
@@ -64,9 +90,8 @@ class Expansion:
 
     def _bucketed(self, name: str, df: DataFrame, key: str) -> DataFrame:
         """A table that every level joins on ``key``: shuffled here once, and not again per level."""
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"weblake_{name}_{uuid.uuid4().hex}"
-        (df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{self.folder}/{name}")
+        (df.repartition(self.buckets, key).write.bucketBy(self.buckets, key).option("path", f"{self.folder}/{name}")
          .saveAsTable(table))
         self.tables.append(table)
         return self.spark.table(table)
@@ -98,40 +123,46 @@ class Expansion:
 
     def run(self, seeds: DataFrame, pages: DataFrame, rules: DataFrame | None = None,
             visited: DataFrame | None = None) -> DataFrame:
-        """Walk from ``seeds`` (of ``read_seeds``); ``visited`` holds the keys of earlier harvests."""
+        """Walk from ``seeds`` (of ``read_seeds``); ``visited`` holds the keys of earlier harvests.
+
+        Rules whose selector is not understood are written to ``rejected_rules`` in the work folder, with
+        ``walks`` false where their seed is left without a link rule.
+        """
+        self.buckets = bucket_count(self.spark, pages)
+        self.seen = KeyLog(self.spark, f"{self.folder}/seen", "url_sha1", self.buckets)
         try:
             return self._walk(seeds, pages, rules, visited)
         finally:
+            self.seen.close()
             for table in self.tables:  # the entries only; the files stay in the folder
                 self.spark.sql(f"drop table if exists {table}")
 
+    def _reject(self, rules: DataFrame, by_seed: DataFrame) -> None:
+        walks = by_seed.select("seed_id", F.exists(F.map_keys("rules"), lambda f: f.isin("detailurl_xpath", "nextpage_xpath")).alias("_walks"))
+        rejected = rejected_rules(rules).join(walks, "seed_id", "left")
+        self._table("rejected_rules", rejected.withColumn("walks", F.coalesce("_walks", F.lit(False))).drop("_walks"))
+
     def _walk(self, seeds, pages, rules, visited):
         if self.blog:
             edges = self._bucketed("edges", blog_edges(pages, self.config), "page_key")
         else:
             by_seed = self._table("rules", seed_rules(rules))
+            self._reject(rules, by_seed)
             taken = link_attributes(by_seed) or ["href"]
             parsed = self._bucketed("parsed", link_nodes(pages, taken), "page_key")
         start = seeds if visited is None else unseen(seeds, visited)
-        items = self._level(1, first_seen(start.withColumn("ord", F.col("seed_id")), ["url_sha1"], ["ord"]))
-        count, low, high = items.agg(F.count("*"), F.min("ord"), F.max("ord")).first()
         number = 1
-        while count > 0:
-            # Parents per numbering chunk: about CHUNK of them when their numbers are spread evenly.
-            width = max(1, (high - low + 1) // (count // CHUNK + 1))
+        items = self._level(number, first_seen(start.withColumn("ord", F.col("seed_id")), ["url_sha1"], ["ord"]))
+        while not items.isEmpty():
+            self.seen.add(items)
             open_items = below_depth(items, self.config.depth_limit)
             found = (self._follow_edges(open_items, edges) if self.blog
                      else self._follow_rules(open_items, parsed, by_seed))
-            new = unseen(first_seen(found, ["url_sha1"], ["parent_ord", "priority", "pos"]),
-                         self.crawled().select("url_sha1"))
+            new = unseen(first_seen(found, ["url_sha1"], ["parent_ord", "priority", "pos"]), self.seen.keys())
             if visited is not None:
                 new = unseen(new, visited)
-            new = self._table("new", new)
-            count, low, number = new.count(), 1, number + 1
-            high = count
-            if count > 0:
-                chunk = F.floor(F.col("parent_ord") / width) if count > CHUNK else None
-                items = self._level(number, ranked(new, [], ["parent_ord", "priority", "pos"], chunk, "ord"))
+            number += 1
+            items = self._level(number, in_order(new, ["parent_ord", "priority", "pos"]))
         return self.crawled()
 
 
@@ -141,29 +172,28 @@ def expand(spark: SparkSession, seeds: DataFrame, pages: DataFrame, config: Harv
     return Expansion(spark, config, folder).run(seeds, pages, rules, visited)
 
 
-def reach(spark: SparkSession, starts: DataFrame, edges: DataFrame, depth_limit: int, folder: str) -> DataFrame:
-    """node, depth of all nodes within ``depth_limit`` steps (the start has depth 1) of an edge list.
+def reach(spark: SparkSession, starts: DataFrame, edges: DataFrame, depth_limit: int | None, folder: str) -> DataFrame:
+    """node, depth of all nodes that an edge list reaches (the start has depth 1), within ``depth_limit`` steps if one is given.
 
-    starts(node), edges(src, dst). A level is deduplicated before it meets the visited nodes.
+    starts(node), edges(src, dst). A level is deduplicated before it meets the visited nodes, which are
+    bucketed by node and never shuffled again.
     """
     def level(number, df):
         df.select("node").write.mode("overwrite").parquet(f"{folder}/reach/depth={number}")
         return spark.read.schema(df.select("node").schema).parquet(f"{folder}/reach/depth={number}")
 
     kind = starts.schema["node"].dataType.simpleString()
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(spark, edges)
     table = f"weblake_reach_{uuid.uuid4().hex}"
     (edges.select("src", "dst").repartition(buckets, "src").write.bucketBy(buckets, "src")
      .option("path", f"{folder}/edges").saveAsTable(table))
-    edges = spark.table(table)
+    edges, seen = spark.table(table), KeyLog(spark, f"{folder}/seen", "node", buckets)
     nodes, depth = level(1, starts.distinct()), 1
-
-    def seen():
-        return spark.read.schema(f"node {kind}, depth int").parquet(f"{folder}/reach")
-
-    while depth < depth_limit and not nodes.isEmpty():
+    while (depth_limit is None or depth < depth_limit) and not nodes.isEmpty():
+        seen.add(nodes)
         found = nodes.join(edges, nodes["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         depth += 1
-        nodes = level(depth, found.join(seen().select("node"), "node", "left_anti"))
+        nodes = level(depth, found.join(seen.keys(), "node", "left_anti"))
+    seen.close()
     spark.sql(f"drop table if exists {table}")
-    return seen()
+    return spark.read.schema(f"node {kind}, depth int").parquet(f"{folder}/reach")

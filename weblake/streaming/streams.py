@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from weblake.config import HarvestConfig
 from weblake.functions.urls import url_sha1
@@ -57,21 +59,24 @@ def run_upsert(updates: DataFrame, merge: Merge, log: str, checkpoint: str) -> N
     """Append each batch, merged per key, to a log folder.
 
     The merge is associative, so a batch never rewrites the table: readers combine the log, and
-    :func:`compact` folds it from time to time. A repeated batch overwrites its own folder.
+    :func:`compact` folds it from time to time. A repeated batch overwrites its own folder, whose name
+    has the checkpoint's, so a run with a new checkpoint adds to the log.
     """
+    run = hashlib.sha1(checkpoint.encode()).hexdigest()[:16]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        merge.combine(merge.from_updates(batch)).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        merge.combine(merge.from_updates(batch)).write.mode("overwrite").parquet(f"{log}/run={run}/batch={batch_id}")
 
     _finish(updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
 def read_upserted(spark: SparkSession, merge: Merge, log: str) -> DataFrame:
-    return merge.table(merge.combine(spark.read.parquet(log).drop("batch")))
+    return merge.table(merge.combine(spark.read.parquet(log).drop("run", "batch")))
 
 
 def compact(spark: SparkSession, merge: Merge, log: str, folded: str) -> None:
     """Write the log as one batch of a new log; switch readers and writers to it afterwards."""
-    merge.combine(spark.read.parquet(log).drop("batch")).write.mode("overwrite").parquet(f"{folded}/batch=-1")
+    merge.combine(spark.read.parquet(log).drop("run", "batch")).write.mode("overwrite").parquet(f"{folded}/run=folded/batch=-1")
 
 
 def page_links(pages: DataFrame, seeds: DataFrame, config: HarvestConfig | None = None) -> DataFrame:
@@ -96,22 +101,29 @@ def run_retries(spark: SparkSession, folder: str, failed: Callable[[], Column],
                 max_attempts: int = 4) -> DataFrame:
     """Work off a frontier folder; failed items come back with attempt + 1 as new files in it.
 
-    Rounds go on until one brings nothing back, at most ``max_attempts``. Writes ``status`` done or
-    dead per item to ``out``. Each batch overwrites its own folders, so a repeat changes nothing.
+    Rounds go on until one brings nothing back. Writes ``status`` done or dead per item to ``out``.
+    A batch is tried once: what came of it is written first, and both the ended and the returning
+    items are read from there. Each batch overwrites its own folders, so a repeat changes nothing.
     """
     schema = spark.read.option("recursiveFileLookup", "true").parquet(folder).schema
+    with_outcome = StructType([*schema.fields, StructField("_failed", BooleanType())])
+    returned = []
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        tried = batch.withColumn("_failed", failed())
+        batch.withColumn("_failed", failed()).write.mode("overwrite").parquet(f"{out}/tried/batch={batch_id}")
+        tried = spark.read.schema(with_outcome).parquet(f"{out}/tried/batch={batch_id}")
         spent = F.col("attempt") >= max_attempts
         ended = tried.filter(~F.col("_failed") | spent).withColumn(
             "status", F.when(F.col("_failed"), "dead").otherwise("done"))
-        ended.drop("_failed").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        ended.drop("_failed").write.mode("overwrite").parquet(f"{out}/ended/batch={batch_id}")
         again = tried.filter(F.col("_failed") & ~spent).drop("_failed")
         again.withColumn("attempt", F.col("attempt") + 1).write.mode("overwrite").parquet(
             f"{folder}/retry/batch={batch_id}")
+        returned.append(not again.isEmpty())
 
-    for _ in range(max_attempts):
+    while True:
+        returned.clear()
         _finish(read_folder(spark, folder, schema).writeStream.foreachBatch(work)
                 .option("checkpointLocation", checkpoint))
-    return spark.read.parquet(out).drop("batch")
+        if not any(returned):
+            return spark.read.parquet(f"{out}/ended").drop("batch")

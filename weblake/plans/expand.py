@@ -50,10 +50,16 @@ def link_nodes(pages: DataFrame, taken: list[str]) -> DataFrame:
 
 
 def bucket_count(spark: SparkSession, df: DataFrame, bucket_bytes: int = 128 << 20) -> int:
-    """Buckets for a table derived from ``df``: the session's partitions, more where the estimated size of
-    ``df`` needs them, as bucketed scans are not split."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, size // bucket_bytes))
+    """Buckets for a table derived from ``df``: the session's partitions, more where the files that ``df``
+    reads need them, as bucketed scans are not split.
+
+    Only the sizes of the tables read count: estimates of joins are products, and inputs without a
+    known size report the largest number there is.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = max((n for n in sizes if n < 1 << 60), default=0)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), known // bucket_bytes)
 
 
 class KeyLog:

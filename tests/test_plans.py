@@ -107,6 +107,15 @@ def test_blog_tables(spark):
     assert [r.photourl for r in gated["photocache"].collect()] == ["http://a.com/i.jpg"]
 
 
+def test_an_image_belongs_to_the_page_met_first(spark):
+    """The seed page has the larger page_id, but comes first in the crawl."""
+    site = {"http://a.com/deep": "<title>d</title><img src='/i.jpg' alt='deep'>", "http://a.com": "<a href='/deep'>d</a><img src='/i.jpg' alt='seed'>"}
+    pages, seeds = tables(spark, site, (7, "http://a.com"))
+    crawl = expand(spark, read_seeds(seeds), pages, HarvestConfig.blog(), work_dir(spark, "t"))
+    photos = blog_tables(blog_pages(crawl, pages))["photocache"].collect()
+    assert [(r.photourl, r.title) for r in photos] == [("http://a.com/i.jpg", "seed")]
+
+
 SHOP = {
     "http://s.com/l1/": "<ul><a href='p1'>1</a><a href='p2'>2</a><a href='/l2/'>both</a></ul><i class='next'><a href='/l2/'>n</a><a href='/l3/'>n</a></i>",
     "http://s.com/l2/": "<ul><a href='/p9'>9</a></ul>",

@@ -29,18 +29,19 @@ def blog_pages(crawl: DataFrame, pages: DataFrame) -> DataFrame:
 
     Write it before building several tables from it.
     """
-    parsed = parse(_fetched(crawl, pages, True, ("seed_id",)), ("page_id", "url", "seed_id"))
+    kept = ("seed_id", "level", "ord")
+    parsed = parse(_fetched(crawl, pages, True, kept), ("page_id", "url", *kept))
     texts = page_kind(page_text(parsed))
     return texts.select(
-        "page_id", "url", "seed_id", url_sha1(F.col("url")).alias("pageurlhash"), "detailed",
+        "page_id", "url", *kept, url_sha1(F.col("url")).alias("pageurlhash"), "detailed",
         erase_marks(first_title(F.col("nodes"))).alias("title"), erase_marks(F.col("pagetext")).alias("pagetext"),
         I.dates_of(F.col("nodes")).alias("dates"), I.images_of(F.col("nodes")).alias("images"))
 
 
 def blog_tables(extracted: DataFrame, sizes: DataFrame | None = None, mode: str = "first") -> dict[str, DataFrame]:
     """The four blog tables as insert/update input. ``sizes(photo_sha1, width, height)`` switches the gate on."""
-    dated = I.dated_images(extracted, F.col("images"), F.col("dates"), ("page_id", "url", "pageurlhash"))
-    photos = I.first_page_of_image(dated, ["page_id", "node_no"], mode)
+    dated = I.dated_images(extracted, F.col("images"), F.col("dates"), ("page_id", "url", "pageurlhash", "level", "ord"))
+    photos = I.first_page_of_image(dated, ["level", "ord", "page_id", "node_no"], mode)  # in crawl order
     if sizes is not None:
         photos = I.image_gate(photos.join(sizes, "photo_sha1"))
     return {

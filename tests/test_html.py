@@ -135,6 +135,17 @@ def test_nearest_date_against_all_pairs(spark):
         assert got[r.id] == (near[0][2] if near else "")
 
 
+def test_dated_images_need_no_shuffle(spark):
+    spans = ["".join("<img src=x>" if (7 * i + n * n) % 5 < 2 else f"<p>2012-{1 + i % 12:02}-{1 + i % 28:02}</p>" if (i * n) % 3 else "<b>t</b>"
+                     for i in range(60)) for n in range(12)]
+    parsed = N.parse(pages(spark, *spans, "<img src=y>", "<p>2012-01-01</p>", ""))
+    got = I.dated_images(parsed, I.images_of(F.col("nodes")), I.dates_of(F.col("nodes")))
+    want = I.nearest_date(I.images(parsed), I.date_mentions(parsed))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = [sorted((r.page_id, r.node_no, r.src, r.alt, r.postdate) for r in df.collect()) for df in (got, want)]
+    assert rows[0] == rows[1] and len({r[4] for r in rows[0]}) > 10
+
+
 def test_selectors():
     for good in ("//title/text()", "/html/body//p[2]/text()", "//div[@class='a']//img/@src", "//*[contains(@id, \"x\")]/@href",
                  "//a/@href | //area/@href", "//article//text()"):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weblake.functions import html as H, urls as U
 from weblake.functions.dates import first_date
-from weblake.functions.text import decode_all, each
+from weblake.functions.text import decode_all, each, let
 from weblake.operators.frontier import first_seen
 from weblake.operators.nodes import NO_DATE
 
@@ -55,8 +55,15 @@ def images_as_of(pages: DataFrame, today: Column, keep=("page_id", "url")) -> Da
                     F.coalesce("i.alt", F.lit("")).alias("alt"), today.alias("postdate")))
 
 
-def _nearest(marks: DataFrame, page: str) -> DataFrame:
-    """Image rows (``mark`` null) with the date of the nearest row that has a ``mark``(node_no, date)."""
+def nearest_date(images: DataFrame, dates: DataFrame, page: str = "page_id") -> DataFrame:
+    """postdate of each image: the date whose element is nearest; on a tie the earlier one; "" if none.
+
+    For images and dates in tables of their own: two sorts per page over both together, instead of
+    pairing each image with each date. :func:`dated_images` serves pages that hold both.
+    """
+    mark = F.struct("node_no", "date").alias("mark")
+    plain = images.withColumn("mark", F.lit(None).cast("struct<node_no:int,date:string>"))
+    marks = plain.unionByName(dates.select(page, "node_no", mark), allowMissingColumns=True)
     is_image = F.col("mark").isNull()
     rows = (W.unboundedPreceding, W.currentRow)
     forward = W.partitionBy(page).orderBy("node_no", is_image).rowsBetween(*rows)
@@ -70,25 +77,26 @@ def _nearest(marks: DataFrame, page: str) -> DataFrame:
         .drop("mark", "_before", "_after"))
 
 
-def nearest_date(images: DataFrame, dates: DataFrame, page: str = "page_id") -> DataFrame:
-    """postdate of each image: the date whose element is nearest; on a tie the earlier one; "" if none.
-
-    Two sorts per page over images and dates together, instead of pairing each image with each date.
-    """
-    mark = F.struct("node_no", "date").alias("mark")
-    plain = images.withColumn("mark", F.lit(None).cast("struct<node_no:int,date:string>"))
-    return _nearest(plain.unionByName(dates.select(page, "node_no", mark), allowMissingColumns=True), page)
+# x.i: images, x.d: dates, both (node_no, ...) in document order. A date takes over from the one before
+# at the middle of the two: past it for twice the node_no, so that a tie stays with the earlier date. One
+# sort of both by that place, then one walk that keeps the date in force.
+_DATED = """x -> aggregate(
+  array_sort(concat(
+    transform(x.i, i -> named_struct('place', 2 * i.node_no, 'takes', 0, 'node_no', i.node_no, 'raw_src', i.raw_src,
+      'alt', i.alt, 'date', '')),
+    transform(x.d, (d, n) -> named_struct('place', case when n = 0 then -1 else d.node_no + element_at(x.d, n).node_no end,
+      'takes', 1, 'node_no', d.node_no, 'raw_src', '', 'alt', '', 'date', d.date)))),
+  named_struct('date', '', 'out', cast(array() as array<struct<node_no: int, raw_src: string, alt: string, postdate: string>>)),
+  (acc, m) -> named_struct('date', case when m.takes = 1 then m.date else acc.date end,
+    'out', case when m.takes = 1 then acc.out else concat(acc.out, array(named_struct('node_no', m.node_no,
+      'raw_src', m.raw_src, 'alt', m.alt, 'postdate', acc.date))) end),
+  acc -> acc.out)"""
 
 
 def dated_images(df: DataFrame, shown: Column, dates: Column, keep=("page_id", "url")) -> DataFrame:
-    """As :func:`nearest_date` from the image and date arrays of each page, which are read once."""
-    marks = F.concat(
-        each(shown, "i -> struct(i.node_no as node_no, i.raw_src as raw_src, i.alt as alt, "
-                    "cast(null as struct<node_no:int,date:string>) as mark)"),
-        each(dates, "d -> struct(d.node_no as node_no, cast(null as string) as raw_src, cast(null as string) as alt, "
-                    "struct(d.node_no as node_no, d.date as date) as mark)"))
-    dated = _nearest(df.select(*keep, F.inline(marks)), keep[0])
-    return dated.withColumn("src", U.image_url(F.col("url"), F.col("raw_src"))).drop("raw_src")
+    """As :func:`nearest_date` from the image and date arrays of each page: a projection, no shuffle."""
+    arrays = F.struct(shown.alias("i"), dates.alias("d"))
+    return image_rows(df, let(arrays, _DATED), keep)
 
 
 def image_gate(df: DataFrame, quality: int = 1) -> DataFrame:

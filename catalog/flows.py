@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx, query
+from catalog.pages import _LISTING
 from catalog.sources_sinks import _LOG, _MARKS, _UPSERTED
 from weblake.config import HarvestConfig
 from weblake.functions.text import erase_marks
 from weblake.functions.urls import url_sha1
-from weblake.operators.links import canonicalize, filter_links, links
 from weblake.operators.rules import rules_from_seeds, seed_rules
 from weblake.operators.upsert import Merge
 from weblake.plans.expand import expand, reach
-from weblake.plans.harvest import blog_pages, blog_tables, product_pages, product_tables
+from weblake.plans.harvest import blog_pages, blog_tables, product_pages, product_tables, store_harvest
 from weblake.session import work_dir
 from weblake.sources.seeds import read_seeds
 from weblake.streaming import streams as ST
@@ -105,12 +105,7 @@ union all select 'photocache', n from seen union all select 'blogphotopagerelati
     "fx_edges", "fx_web", "fx_shown", more=(*_BLOG_WALK, *_REACHED)))
 def harvest_blog_tables(spark, d):
     """Row counts of the four tables a blog harvest fills."""
-    pages = fx_linked(spark, d).select("page_id", "url", "html")
-    folder = work_dir(spark, "blog")
-    crawl = expand(spark, _origin_seeds(spark, d, 2), pages, HarvestConfig.blog(), folder)
-    extracted = blog_pages(crawl, pages)
-    extracted.write.parquet(f"{folder}/extracted")
-    tables = blog_tables(spark.read.parquet(f"{folder}/extracted"))
+    tables = blog_tables(_blog_extract(spark, d, work_dir(spark, "blog")))
     counts = None
     for name, df in tables.items():
         n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
@@ -118,6 +113,46 @@ def harvest_blog_tables(spark, d):
     return counts
 
 
+def _blog_extract(spark, d, folder):
+    pages = fx_linked(spark, d).select("page_id", "url", "html")
+    crawl = expand(spark, _origin_seeds(spark, d, 2), pages, HarvestConfig.blog(), folder)
+    blog_pages(crawl, pages).write.parquet(f"{folder}/extracted")
+    return spark.read.parquet(f"{folder}/extracted")
+
+
+# Two harvests of the same pages: the second adds no row and moves the refresh time only.
+_FIRST_AT, _AGAIN_AT = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
+
+
+def _stored_twice(spark, root, tables_at, kind):
+    for at in (_FIRST_AT, _AGAIN_AT):
+        stored = store_harvest(spark, root, tables_at(F.to_timestamp(F.lit(at))), kind)
+    return stored
+
+
+def _times(df):
+    return df.withColumn("dateinsert", F.col("dateinsert").cast("string")).withColumn(
+        "daterefresh", F.col("daterefresh").cast("string"))
+
+
+_TITLE = _MARKS.format(fx.unescape("regexp_extract(p.html, '(?is)<title[^>]*>([^<]+)', 1)"))
+
+
+@query("harvest_blog_stored", fx.sql(f"""
+select sha1(r.url) as pageurlhash, r.url as pageurl, arg_max({_TITLE}, p.page_id) as title,
+ max(case when regexp_matches(p.url, '{_LISTING}') then 0 else 1 end) as detailed,
+ '{_FIRST_AT}' as dateinsert, '{_AGAIN_AT}' as daterefresh
+from fx_linked p join reached r on regexp_replace(p.url, '/$', '') = r.url group by r.url""",
+    "fx_edges", "fx_web", more=(*_BLOG_WALK, _REACHED[0])))
+def harvest_blog_stored(spark, d):
+    """The page table after a blog harvest and its repetition, as stored versions."""
+    folder = work_dir(spark, "blog")
+    extracted = _blog_extract(spark, d, folder)
+    pages = _stored_twice(spark, f"{folder}/store", lambda at: blog_tables(extracted, at=at), "blog")["blogpage"]
+    return _times(pages).select("pageurlhash", F.regexp_replace("pageurl", "/$", "").alias("pageurl"), "title",
+                                "detailed", "dateinsert", "daterefresh")
+
+
 _PRODUCT_WALK = (*_LINKED, f"""
 prod_edges as (
  select p.url as src_url, regexp_replace(e.dst_url, '#top$', '') as dst, {_ITEM} as item
@@ -144,15 +179,31 @@ select p.page_id, i.seed_id, i.depth, {_MARKS.format(fx.unescape("regexp_extract
 from prod_items i join fx_linked p on p.url = i.url""", "fx_edges", "fx_web", more=_PRODUCT_WALK))
 def harvest_product(spark, d):
     """Product harvest: lists are walked by rule, detail pages give product rows with their outcome."""
+    found = _product_extract(spark, d, work_dir(spark, "product"))
+    return found.select("page_id", "seed_id", "depth", "title", "price", "mainimageurl", "outcome")
+
+
+def _product_extract(spark, d, folder):
     pages = fx_linked(spark, d).select("page_id", "url", "html")
-    folder = work_dir(spark, "product")
     rules = rules_from_seeds(fx.fx_seeds(spark, d).withColumn(
         "detailurl_xpath", F.lit('//li[@class="item"]/a/@href')).withColumn(
         "nextpage_xpath", F.lit('//nav//li[@class="next"]/a/@href')))
     crawl = expand(spark, _origin_seeds(spark, d, 3), pages, HarvestConfig.product(), folder, rules)
-    by_seed = spark.read.parquet(f"{folder}/rules")
-    found = product_pages(crawl, pages, by_seed)
-    return found.select("page_id", "seed_id", "depth", "title", "price", "mainimageurl", "outcome")
+    return product_pages(crawl, pages, spark.read.parquet(f"{folder}/rules"))
+
+
+@query("harvest_product_stored", fx.sql(f"""
+select sha1(i.url) as pageurlhash, i.url as pageurl, arg_max({_TITLE}, p.page_id) as title,
+ arg_min(cast(10 + p.page_id % 90 as varchar) || ' 50 EUR', p.page_id) as price, -1 as imageamount,
+ '{_FIRST_AT}' as dateinsert, '{_AGAIN_AT}' as daterefresh
+from prod_items i join fx_linked p on p.url = i.url group by i.url""", "fx_edges", "fx_web", more=_PRODUCT_WALK))
+def harvest_product_stored(spark, d):
+    """The product table after a product harvest and its repetition, as stored versions."""
+    folder = work_dir(spark, "product")
+    _product_extract(spark, d, folder).write.parquet(f"{folder}/extracted")
+    extracted = spark.read.parquet(f"{folder}/extracted")
+    stored = _stored_twice(spark, f"{folder}/store", lambda at: product_tables(extracted, at), "product")
+    return _times(stored["productpage"]).select("pageurlhash", "pageurl", "title", "price", "imageamount", "dateinsert", "daterefresh")
 
 
 @query("stream_url_dedup", fx.sql("""

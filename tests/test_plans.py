@@ -11,9 +11,10 @@ from weblake.functions.urls import url_sha1
 from weblake.operators import frontier as FR, upsert as UP
 from weblake.operators.rules import rules_from_seeds
 from weblake.plans.expand import expand, reach
-from weblake.plans.harvest import blog_pages, blog_tables, product_pages, product_tables
+from weblake.plans.harvest import blog_pages, blog_tables, not_stored, product_pages, product_tables, store_harvest
 from weblake.session import work_dir, work_root
 from weblake.sources.seeds import read_seeds
+from weblake.sources.versions import read_version, write_version
 from weblake.streaming import streams as ST
 
 SMALL = "/root/testdata/sf0.001"
@@ -116,6 +117,33 @@ def test_an_image_belongs_to_the_page_met_first(spark):
     assert [(r.photourl, r.title) for r in photos] == [("http://a.com/i.jpg", "seed")]
 
 
+def test_a_second_harvest_changes_only_what_an_upsert_changes(spark):
+    pages, crawl = blog_walk(spark)
+    root = f"{work_dir(spark, 't')}/store"
+    assert read_version(spark, root) == {}
+
+    def store(extracted, at):
+        return store_harvest(spark, root, blog_tables(extracted, at=F.to_timestamp(F.lit(at))), "blog")
+
+    before = {n: df.collect() for n, df in store(blog_pages(crawl, pages), "2024-01-01").items()}
+    changed = pages.withColumn("html", F.replace("html", F.lit("One"), F.lit("Won")))
+    after = store(blog_pages(crawl, changed), "2024-02-01")
+    assert {n: df.count() for n, df in after.items()} == {n: len(rows) for n, rows in before.items()}
+    titles = {r.pageurl: (r.title, str(r.dateinsert), str(r.daterefresh)) for r in after["blogpage"].collect()}
+    assert titles["http://a.com/1"] == ("Won", "2024-01-01 00:00:00", "2024-02-01 00:00:00")
+    first = read_version(spark, root, 1)["blogpage"]
+    assert sorted(first.collect()) == sorted(before["blogpage"]) and {r.daterefresh for r in first.collect()} == {None}
+
+
+def test_unfinished_versions_are_not_read(spark, tmp_path):
+    root, table = f"{tmp_path}/store", spark.range(3)
+    assert write_version(spark, root, {"t": table}) == 1
+    spark.range(5).write.parquet(f"{root}/version=2/t")  # a run that failed before its end
+    assert read_version(spark, root)["t"].count() == 3 and read_version(spark, root, 2) == {}
+    assert write_version(spark, root, {"t": read_version(spark, root)["t"].union(table)}) == 3
+    assert read_version(spark, root)["t"].count() == 6
+
+
 SHOP = {
     "http://s.com/l1/": "<ul><a href='p1'>1</a><a href='p2'>2</a><a href='/l2/'>both</a></ul><i class='next'><a href='/l2/'>n</a><a href='/l3/'>n</a></i>",
     "http://s.com/l2/": "<ul><a href='/p9'>9</a></ul>",
@@ -142,7 +170,15 @@ def test_product_walk(spark):
     got = product_tables(product_pages(crawl, pages, spark.read.parquet(f"{folder}/rules")))
     assert [(r.title, r.price, r.imageamount, r.category) for r in got["productpage"].collect()] == [("Shoe  red", "9 90", -1, "shoes")]
     assert [r.photourl for r in got["photocache"].collect()] == ["http://s.com/l1/a.jpg"]
-    assert [r.url for r in got["retry"].collect()] == ["http://s.com/l1/p2"]
+    assert [(r.url, r.attempt) for r in got["retry"].collect()] == [("http://s.com/l1/p2", 1)]
+    queue = FR.requeue(got["retry"].limit(0), got["retry"])
+    assert [(r.url, r.attempt, r.url_sha1 is not None) for r in queue.collect()] == [("http://s.com/l1/p2", 2, True)]
+    gone = pages.filter("url not in ('http://s.com/l3/', 'http://s.com/p3')")
+    assert {(r.url, r.pagetype) for r in not_stored(crawl, gone, False).collect()} == {("http://s.com/l3/", 3), ("http://s.com/p3", 31)}
+    stored = store_harvest(spark, f"{folder}/store", got, "product")
+    assert set(stored) == {"productpage", "productpageseedrelation", "photocache", "productphotopagerelation"}
+    assert [(r.title, r.daterefresh) for r in stored["productpage"].collect()] == [("Shoe  red", None)]
+    assert stored["photocache"].first().datepost is not None
     assert got["productphotopagerelation"].count() == got["productpageseedrelation"].count() == 1
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weblake.config import BLOG, PRODUCT, PRODUCT_DETAIL
 from weblake.functions.text import decode_entities, erase_marks
@@ -11,7 +13,18 @@ from weblake.operators import images as I
 from weblake.operators.links import detail_outcome, page_kind
 from weblake.operators.nodes import page_text, parse
 from weblake.operators.rules import extract_fields, parse_for_rules, with_rules
+from weblake.operators.upsert import BLOG_PAGE, BLOG_PHOTO, PRODUCT_PAGE, PRODUCT_PHOTO, insert_ignore, upsert
 from weblake.plans.expand import page_key
+from weblake.sources.versions import read_version, write_version
+
+#: Order in which a harvest at time ``ts`` brings its rows: as the crawl met their pages.
+_ORDER = ("ts", "level", "ord", "page_id")
+MERGES = {
+    "blog": {"blogpage": replace(BLOG_PAGE, order_by=_ORDER),
+             "photocache": replace(BLOG_PHOTO, order_by=(*_ORDER, "node_no"))},
+    "product": {"productpage": replace(PRODUCT_PAGE, order_by=_ORDER),
+                "photocache": replace(PRODUCT_PHOTO, order_by=_ORDER)},
+}
 
 
 def _fetched(crawl: DataFrame, pages: DataFrame, blog: bool, columns) -> DataFrame:
@@ -19,6 +32,11 @@ def _fetched(crawl: DataFrame, pages: DataFrame, blog: bool, columns) -> DataFra
     return pages.withColumn("page_key", page_key(F.col("url"), blog)).join(keyed, "page_key").drop("page_key")
 
 
+def _items(crawl: DataFrame) -> DataFrame:
+    """The crawl with each item's URL and key as those of its page row: the stored page's may differ by a "/"."""
+    return crawl.withColumn("pageurl", F.col("url")).withColumn("pageurlhash", F.col("url_sha1"))
+
+
 def first_title(nodes: Column) -> Column:
     found = F.filter(nodes, lambda n: (n["kind"] == "text") & (n["tag"] == "title"))
     return F.coalesce(decode_entities(F.get(F.transform(found, lambda n: n["text"]), F.lit(0))), F.lit(""))
@@ -29,61 +47,102 @@ def blog_pages(crawl: DataFrame, pages: DataFrame) -> DataFrame:
 
     Write it before building several tables from it.
     """
-    kept = ("seed_id", "level", "ord")
-    parsed = parse(_fetched(crawl, pages, True, kept), ("page_id", "url", *kept))
+    kept = ("seed_id", "level", "ord", "pageurl", "pageurlhash")
+    parsed = parse(_fetched(_items(crawl), pages, True, kept), ("page_id", "url", *kept))
     texts = page_kind(page_text(parsed))
     return texts.select(
-        "page_id", "url", *kept, url_sha1(F.col("url")).alias("pageurlhash"), "detailed",
+        "page_id", "url", *kept, "detailed",
         erase_marks(first_title(F.col("nodes"))).alias("title"), erase_marks(F.col("pagetext")).alias("pagetext"),
         I.dates_of(F.col("nodes")).alias("dates"), I.images_of(F.col("nodes")).alias("images"))
 
 
-def blog_tables(extracted: DataFrame, sizes: DataFrame | None = None, mode: str = "first") -> dict[str, DataFrame]:
-    """The four blog tables as insert/update input. ``sizes(photo_sha1, width, height)`` switches the gate on."""
+def blog_tables(extracted: DataFrame, sizes: DataFrame | None = None, mode: str = "first",
+                at: Column | None = None) -> dict[str, DataFrame]:
+    """The four blog tables as input of :func:`merged`, for a harvest at time ``at`` (now, if not given).
+
+    ``sizes(photo_sha1, width, height)`` switches the gate on.
+    """
+    at = (F.current_timestamp() if at is None else at).alias("ts")
     dated = I.dated_images(extracted, F.col("images"), F.col("dates"), ("page_id", "url", "pageurlhash", "level", "ord"))
     photos = I.first_page_of_image(dated, ["level", "ord", "page_id", "node_no"], mode)  # in crawl order
     if sizes is not None:
         photos = I.image_gate(photos.join(sizes, "photo_sha1"))
     return {
-        "blogpage": extracted.select("pageurlhash", F.col("url").alias("pageurl"), "title", "pagetext", "detailed"),
+        "blogpage": extracted.select("pageurlhash", "pageurl", "title", "pagetext", "detailed", at, "level", "ord", "page_id"),
         "blogpageseedrelation": extracted.select(F.col("pageurlhash").alias("page_sha1"), "seed_id").distinct(),
         "photocache": photos.select(
             F.col("photo_sha1").alias("photourlhash"), F.col("src").alias("photourl"),
             erase_marks(F.col("alt")).alias("title"), F.col("postdate").alias("datepost"),
-            F.lit(BLOG).alias("photosourcetype_id"), "page_id", "node_no"),
+            F.lit(BLOG).alias("photosourcetype_id"), at, "level", "ord", "page_id", "node_no"),
         "blogphotopagerelation": photos.select(F.col("pageurlhash").alias("page_sha1"), "photo_sha1").distinct(),
     }
 
 
 def product_pages(crawl: DataFrame, pages: DataFrame, by_seed: DataFrame) -> DataFrame:
     """One row per reached detail page with its fields and outcome (store, retry, drop)."""
-    kept = ("seed_id", "depth", "category", "category_1")
-    details = with_rules(crawl.filter(F.col("pagetype") == PRODUCT_DETAIL), by_seed)
+    kept = ("seed_id", "depth", "category", "category_1", "level", "ord", "pageurl", "pageurlhash")
+    details = with_rules(_items(crawl).filter(F.col("pagetype") == PRODUCT_DETAIL), by_seed)
     parsed = parse_for_rules(_fetched(details, pages, False, (*kept, "rules")), ("page_id", "url", *kept, "rules"))
     fields = extract_fields(page_text(parsed, squeeze=False))
     # The outcome looks at how many matches a rule had, not at the joined text.
     hits = F.array_repeat(F.lit(1), F.col("title_hits")), F.array_repeat(F.lit(1), F.col("price_hits"))
     cleaned = ("title", "brand", "description", "price", "color", "size", "pagetext")
     return fields.select(
-        "page_id", "url", *kept, url_sha1(F.col("url")).alias("pageurlhash"),
+        "page_id", "url", *kept,
         *(erase_marks(F.col(c)).alias(c) for c in cleaned), "productid", "mainimageurl", "image_urls",
         detail_outcome(F.col("main_images"), *hits).alias("outcome"))
 
 
-def product_tables(extracted: DataFrame) -> dict[str, DataFrame]:
-    """Product tables as insert/update input, and the items to retry."""
+def _retry(items: DataFrame) -> DataFrame:
+    return items.select(F.col("pageurl").alias("url"), F.col("pageurlhash").alias("url_sha1"), "seed_id", "depth", "pagetype",
+                        "category", "category_1", "ord", F.lit(1).alias("attempt"))
+
+
+def not_stored(crawl: DataFrame, pages: DataFrame, blog: bool) -> DataFrame:
+    """Items that the crawl reached but whose page is not there, lists too, ready for ``requeue``."""
+    keys = pages.select(page_key(F.col("url"), blog).alias("_key"))
+    missing = _items(crawl).withColumn("_key", page_key(F.col("url"), blog)).join(keys, "_key", "left_anti")
+    return _retry(missing)
+
+
+def product_tables(extracted: DataFrame, at: Column | None = None) -> dict[str, DataFrame]:
+    """Product tables as input of :func:`merged`, for a harvest at time ``at`` (now, if not given), and
+    the items to retry, ready for ``requeue``."""
+    at = (F.current_timestamp() if at is None else at).alias("ts")
+    order = (at, "level", "ord", "page_id")
     stored = extracted.filter(F.col("outcome") == "store")
     photo = url_sha1(F.col("mainimageurl"))
     return {
         "productpage": stored.select(
-            "pageurlhash", F.col("url").alias("pageurl"), "title", "brand", "description", "price", "color", "size",
-            "productid", "pagetext", F.lit(-1).alias("imageamount"), "category", "category_1"),
+            "pageurlhash", "pageurl", "title", "brand", "description", "price", "color", "size",
+            "productid", "pagetext", F.lit(-1).alias("imageamount"), "category", "category_1", *order),
         "productpageseedrelation": stored.select(F.col("pageurlhash").alias("page_sha1"), "seed_id").distinct(),
         "photocache": stored.select(
-            photo.alias("photourlhash"), F.col("mainimageurl").alias("photourl"), F.col("url").alias("pageurl"),
-            F.lit(PRODUCT).alias("photosourcetype_id"), "page_id"),
+            photo.alias("photourlhash"), F.col("mainimageurl").alias("photourl"), "pageurl",
+            F.lit(PRODUCT).alias("photosourcetype_id"), at.alias("datepost"), *order),
         "productphotopagerelation": stored.select(
             F.col("pageurlhash").alias("page_sha1"), photo.alias("photo_sha1")).distinct(),
-        "retry": extracted.filter(F.col("outcome") == "retry").select(
-            "url", "seed_id", "depth", F.lit(PRODUCT_DETAIL).alias("pagetype"), "category", "category_1"),
+        "retry": _retry(extracted.filter(F.col("outcome") == "retry").withColumn("pagetype", F.lit(PRODUCT_DETAIL))),
     }
+
+
+def merged(stored: dict[str, DataFrame], tables: dict[str, DataFrame], kind: str) -> dict[str, DataFrame]:
+    """The stored tables after a harvest: pages and photos by keyed upsert, relations by insert-ignore.
+
+    ``stored`` may lack tables, as before the first harvest. What is no table of the store (retry) is left out.
+    """
+    out = {}
+    for name, df in tables.items():
+        old = stored.get(name)
+        if name in MERGES[kind]:
+            out[name] = upsert(old, df, MERGES[kind][name])
+        elif name.endswith("relation"):
+            new = insert_ignore(df.limit(0) if old is None else old, df, df.columns)
+            out[name] = new if old is None else old.select(*df.columns).unionByName(new)
+    return out
+
+
+def store_harvest(spark: SparkSession, root: str, tables: dict[str, DataFrame], kind: str) -> dict[str, DataFrame]:
+    """Merge a harvest into the latest version below ``root`` and write the next one, which is returned."""
+    write_version(spark, root, merged(read_version(spark, root), tables, kind))
+    return read_version(spark, root)

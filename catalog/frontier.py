@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx, query
+from weblake.config import HarvestConfig
 from weblake.functions.urls import url_sha1
 from weblake.operators import frontier as FR, images as I, links as L, relations as RL
 from weblake.operators.upsert import insert_ignore
+from weblake.session import Work
 from weblake.sources.seeds import read_seeds
 
 _FIRST = """first_items as (
@@ -74,28 +76,13 @@ def depth_limit(spark, d):
     return L.below_depth(_items(spark, d), 4).select("url", "depth", "ord")
 
 
-@query("page_routing", fx.sql("""
-select page_id, pagetype, case pagetype when 3 then 'list' when 31 then 'detail' else 'ignore' end as route,
- case when images > 0 then 'store' when titles > 0 and prices > 0 then 'retry' else 'drop' end as outcome
-from (select page_id, case when url like '%.html' then 31 when url like '%/' then 3 else 2 end as pagetype,
- len(regexp_extract_all(html, '(?i)<title>[^<]')) as titles, len(regexp_extract_all(html, 'class="ad"')) as prices,
- len(regexp_extract_all(html, '&quot;')) as images from fx_pages) t""", "fx_pages"))
-def page_routing(spark, d):
-    html = F.col("html")
-    pages = L.route(fx.fx_pages(spark, d).withColumn(
-        "pagetype", F.when(F.col("url").endswith(".html"), 31).when(F.col("url").endswith("/"), 3).otherwise(2)))
-    return pages.select("page_id", "pagetype", "route", L.detail_outcome(
-        F.regexp_extract_all(html, F.lit("(&quot;)")), F.regexp_extract_all(html, F.lit("(?i)(<title>[^<])")),
-        F.regexp_extract_all(html, F.lit('(class="ad")'))).alias("outcome"))
-
-
 @query("politeness_schedule", fx.sql("""
 select url, regexp_extract(url, '^https?://([^/?#]*)', 1) as host, ord,
  cast((row_number() over (partition by regexp_extract(url, '^https?://([^/?#]*)', 1) order by ord) - 1) * 0.25
   as double) as start_at from first_items""", "fx_items", more=(_FIRST,)))
 def politeness_schedule(spark, d):
-    queue = _first(_items(spark, d)).select("url", "ord")
-    return FR.fetch_plan(queue, chunk=F.floor(F.col("ord") / 4096000000))
+    queue = Work(spark, "politeness").table("queue", _first(_items(spark, d)).select("url", "ord"))
+    return FR.fetch_plan(queue, HarvestConfig.blog().delay_seconds, chunk=F.floor(F.col("ord") / 4096000000))
 
 
 @query("frontier_take_fifo", fx.sql("select url, ord from first_items order by ord limit 100", "fx_items", more=(_FIRST,)))
@@ -123,7 +110,8 @@ select url, url_sha1, seed_id, depth, attempt,
  (select max(ord) from old_items) + 1 + ord - (select min(ord) from new_items) from new_items""",
     "fx_visited", more=(_FIRST, _NEW, _OLD)))
 def frontier_union(spark, d):
-    return FR.enqueue(_old(spark, d), _new(spark, d))
+    stored = Work(spark, "frontier")  # a queue is a table; its ends are read from there
+    return FR.enqueue(stored.table("old", _old(spark, d)), stored.table("new", _new(spark, d)))
 
 
 @query("visited_union", fx.sql("select url_sha1 from fx_visited union select url_sha1 from fx_items where walked = 0",
@@ -146,9 +134,9 @@ select url, url_sha1, seed_id, depth, attempt + 1,
  select * from (select url, url_sha1, seed_id, depth, ord, cast(1 + length(url) % 5 as integer) as attempt
  from old_items) t where attempt < 4)""")))
 def retry_requeue(spark, d):
-    queue = _old(spark, d)
+    queue = Work(spark, "retry").table("queue", _old(spark, d))
     failed = queue.withColumn("attempt", (F.lit(1) + F.length("url") % 5).cast("int"))
-    return FR.requeue(queue, failed)
+    return FR.requeue(queue, failed, HarvestConfig.blog().max_attempts)
 
 
 @query("retry_dead_letters", fx.sql("""

@@ -145,6 +145,14 @@ def page_kind(spark, d):
     return L.page_kind(fx.table(spark, d, "pages").select("page_id", "url"))
 
 
+@query("page_kind_custom", r"""
+select page_id, url, case when regexp_matches(url, '/(news|tag)/|[0-9]\.html$') then 0 else 1 end as detailed from pages""")
+def page_kind_custom(spark, d):
+    """A listing pattern that is given as data."""
+    pages = fx.table(spark, d, "pages").select("page_id", "url")
+    return L.page_kind(pages, pattern=r"/(news|tag)/|[0-9]\.html$")
+
+
 @query("page_title", f"""
 select page_id, {fx.unescape("regexp_extract(html, '(?is)<title[^>]*>([^<]+)', 1)")} as title from pages""")
 def page_title(spark, d):
@@ -180,12 +188,13 @@ def _rules(spark, d):
     return R.rules_from_seeds(fx.fx_seeds(spark, d))
 
 
-def _ruled(spark, d):
+def _ruled(spark, d, pages=None):
     """Parsed pages with the rules of their seed. The compiled rules are a stored table: its size on disk
     tells Spark whether to broadcast it."""
     stored = f"{work_dir(spark, 'rules')}/by_seed"
     R.seed_rules(_rules(spark, d)).write.parquet(stored)
-    pages = fx.fx_web(spark, d).withColumn("seed_id", fx.seed_id(F.col("host")))
+    pages = fx.fx_web(spark, d) if pages is None else pages
+    pages = pages.withColumn("seed_id", fx.seed_id(F.col("host")))
     return R.parse_for_rules(R.with_rules(pages, spark.read.parquet(stored)), ("page_id", "url", "seed_id", "rules"))
 
 
@@ -270,6 +279,27 @@ def main_image_clean(spark, d):
                       F.array_join(R.clean_image_list(F.col("url"), written), " ").alias("image_list"))
 
 
+# Some pages lose their images, some their prices.
+_BARE = """page_id, url, host, case when page_id % 3 = 1 then replace(html, '<img ', '<hr ') else html end as html"""
+_BARER = """page_id, url, host, case when page_id % 4 = 1 then replace(html, 'class="price"', 'class="none"') else html end as html"""
+
+
+@query("page_routing", fx.sql(f"""
+select page_id, pagetype, case pagetype when 3 then 'list' when 31 then 'detail' else 'ignore' end as route,
+ case when regexp_matches({_BODY}, '<img ') then 'store' when regexp_matches(html, '(?i)<title[^>]*>[^<]')
+  and regexp_matches({_BODY}, '<span class="price">[^<]') then 'retry' else 'drop' end as outcome
+from (select *, case when url like '%.html' then 31 when url like '%/' then 3 else 2 end as pagetype
+ from (select {_BARER} from (select {_BARE} from fx_web) a) b) c""", "fx_web"))
+def page_routing(spark, d):
+    """Route of each page, and its outcome from what the rules of its seed match."""
+    pages = fx.fx_web(spark, d).selectExpr(*fx._split_columns(_BARE)).selectExpr(*fx._split_columns(_BARER))
+    fields = R.extract_fields(_ruled(spark, d, pages))
+    hits = F.array_repeat(F.lit(1), F.col("title_hits")), F.array_repeat(F.lit(1), F.col("price_hits"))
+    kind = F.when(F.col("url").endswith(".html"), 31).when(F.col("url").endswith("/"), 3).otherwise(2)
+    return L.route(fields.withColumn("pagetype", kind)).select(
+        "page_id", "pagetype", "route", L.detail_outcome(F.col("main_images"), *hits).alias("outcome"))
+
+
 @query("ordered_distinct", fx.sql("""
 select page_id, array_to_string(list_filter(l, lambda x, i: x <> '' and list_position(l, x) = i), ' ') as words from (
  select page_id, array_agg(href order by pos) as l from raw_links group by page_id) t""", "raw_links"))

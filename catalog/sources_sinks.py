@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx, query
+from weblake.config import HarvestConfig
 from weblake.functions.text import erase_marks
-from weblake.functions.urls import domain, url_sha1
+from weblake.functions.urls import add_www, domain, url_sha1
 from weblake.operators import images as I, upsert as UP
 from weblake.operators.frontier import first_seen, status
-from weblake.operators.rules import rules_from_seeds
+from weblake.operators.rules import rejected_rules, rules_from_seeds
+from weblake.session import Work
 from weblake.sources.pages import read_pages
 from weblake.sources.seeds import read_seeds
-from weblake.sources.state import DROPPED
+from weblake.sources.state import load_state
 
 
 @query("seed_source_blog", fx.sql("""
@@ -43,11 +45,37 @@ def seed_rules_unpivot(spark, d):
     return rules_from_seeds(fx.fx_seeds(spark, d))
 
 
+_ODD_RULES = """case when length(host) % 2 = 0 then '//div[last()]/p/text()' else '//title' end"""
+
+
+@query("rules_rejected", fx.sql(f"""
+select id as seed_id, unnest(['title_xpath', 'price_xpath']) as field,
+ unnest([{_ODD_RULES}, '//b/following::i/text()']) as selector
+from fx_seeds""", "fx_seeds"))
+def rules_rejected(spark, d):
+    """Selectors outside the supported subset, per seed."""
+    seeds = fx.fx_seeds(spark, d).withColumn("title_xpath", F.expr(_ODD_RULES)).withColumn(
+        "price_xpath", F.lit("//b/following::i/text()"))
+    return rejected_rules(rules_from_seeds(seeds)).select("seed_id", "field", "selector")
+
+
+@query("url_add_www", r"""
+select page_id, case when starts_with(url, 'http://www') or starts_with(url, 'https://www') or starts_with(url, 'wwww') then url
+ else regexp_replace(url, '^(.*?)//', '\1//www.') end as url from pages""")
+def url_add_www(spark, d):
+    return fx.table(spark, d, "pages").select("page_id", add_www(F.col("url")).alias("url"))
+
+
 @query("page_source", "select page_id, url, html from pages where html is not null and html <> ''")
 def page_source(spark, d):
     return read_pages(spark, f"{d}/pages.parquet")
 
 
+# Columns of a product page that the log does not have, the same text for both engines.
+_MORE = {"description": "concat('about ', title)", "color": "concat('c', cast(event_id % 5 as string))",
+         "size": "case when event_id % 3 > 0 then cast(event_id % 7 as string) end",
+         "productid": "concat('p', cast(event_id as string))", "imageamount": "cast(event_id % 4 as int)"}
+
 # The log of views is the stored table, all other successful fetches are the updates.
 
 def _updates(spark, d, stored):
@@ -56,13 +84,13 @@ def _updates(spark, d, stored):
     return log.select(
         "event_id", "ts", F.col("url").alias("pageurl"), url_sha1(F.col("url")).alias("pageurlhash"),
         erase_marks(F.col("title")).alias("title"), F.col("pagetext"), "price",
-        F.col("event_type").alias("brand"), F.lit(1).alias("detailed"))
+        F.col("event_type").alias("brand"), F.lit(1).alias("detailed"), *(F.expr(sql).alias(name) for name, sql in _MORE.items()))
 
 
 _MARKS = "translate({}, '`~!@#$%^&*()_+-={{[}}]|:;''\"<,>./\\•', '" + " " * 32 + "')"
 _LOG = f"""log as (
  select event_id, ts, url as pageurl, sha1(url) as pageurlhash, {_MARKS.format('title')} as title, pagetext, price,
-  event_type as brand, 1 as detailed,
+  event_type as brand, 1 as detailed, {', '.join(f'{sql} as {name}' for name, sql in _MORE.items())},
   row_number() over (partition by url order by case when event_type = 'view' then 0 else 1 end, ts, event_id) as n_all,
   row_number() over (partition by url order by case when event_type = 'view' then 0 else 1 end desc, ts desc,
    event_id desc) as n_back,
@@ -86,13 +114,11 @@ def blog_upsert(spark, d):
     return _as_text(UP.upsert(target, _updates(spark, d, False), UP.BLOG_PAGE))
 
 
-_PRODUCT = UP.Merge("pageurlhash", ("pageurl", "brand", "price"), ("title", "pagetext"))
-
-
-@query("product_upsert", fx.sql(_UPSERTED.format(first="f.brand, f.price,"), "fx_fetch_log", more=(_LOG,)))
+@query("product_upsert", fx.sql(_UPSERTED.format(first="".join(f"f.{c}, " for c in ("brand", "price", *_MORE))),
+                               "fx_fetch_log", more=(_LOG,)))
 def product_upsert(spark, d):
-    target = UP.upsert(None, _updates(spark, d, True), _PRODUCT)
-    return _as_text(UP.upsert(target, _updates(spark, d, False), _PRODUCT))
+    target = UP.upsert(None, _updates(spark, d, True), UP.PRODUCT_PAGE)
+    return _as_text(UP.upsert(target, _updates(spark, d, False), UP.PRODUCT_PAGE))
 
 
 @query("first_last_merge", fx.sql(_UPSERTED.format(first="f.price,").replace("n_all", "n").replace("n_back", "n_rev"),
@@ -173,18 +199,15 @@ def state_reset_levels(spark, d):
         "visited": fx.fx_visited(spark, d),
         "images": fx.fx_images(spark, d).select(url_sha1(F.col("src")).alias("url_sha1")).distinct(),
     }
+    stored = Work(spark, "state")
+    tables = {name: stored.table(name, df) for name, df in tables.items()}
     counts = None
-    for name, df in tables.items():  # each table is counted once for all levels
-        n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        counts = n if counts is None else counts.unionByName(n)
-    levels = counts.select(F.explode(F.array(*(F.lit(level) for level in DROPPED))).alias("level"), "name", "n")
-
-    def kept(name):
-        levels_kept = [level for level in DROPPED if name not in DROPPED[level]]
-        return F.sum(F.when((F.col("name") == name) & F.col("level").isin(levels_kept), F.col("n")).otherwise(0))
-
-    return levels.groupBy("level").agg(kept("frontier").alias("frontier_rows"), kept("visited").alias("visited_rows"),
-                                       kept("images").alias("image_rows"))
+    for level in range(4):
+        for name, df in load_state(tables, HarvestConfig(init_level=level)).items():
+            n = df.agg(F.count("*").alias("n")).select(F.lit(level).alias("level"), F.lit(name).alias("name"), "n")
+            counts = n if counts is None else counts.unionByName(n)
+    return counts.groupBy("level").agg(*(F.sum(F.when(F.col("name") == name, F.col("n")).otherwise(0)).alias(f"{out}_rows")
+                                         for name, out in (("frontier", "frontier"), ("visited", "visited"), ("images", "image"))))
 
 
 @query("harvest_status", fx.sql("""

@@ -148,10 +148,12 @@ def test_dated_images_need_no_shuffle(spark):
 
 def test_selectors():
     for good in ("//title/text()", "/html/body//p[2]/text()", "//div[@class='a']//img/@src", "//*[contains(@id, \"x\")]/@href",
-                 "//a/@href | //area/@href", "//article//text()"):
+                 "//a/@href | //area/@href", "//article//text()", "//a[2][@rel='x' and starts-with(@id, \"y]\")]/@href",
+                 "//*[@role='a' or contains(@class,'b') and @type='c'][@id='d']/text()"):
         assert compile_selector(good)[2] is None, good
     for bad in ("//div", "title", "//div[last()]/text()", "//p[@style='x']/text()", "//a/@href | //b/text()",
-                "//div[@class='a'][2]/text()", "//following::p/text()", ""):
+                "//div[@class='a'][2]/text()", "//following::p/text()", "", "//p[@id='a' and]/text()",
+                "//p[@id='a')]/text()", "//p[contains(@id,'a']/text()", "//p[@id='a' xor @id='b']/text()"):
         assert compile_selector(bad)[2], bad
 
 
@@ -176,6 +178,19 @@ def test_extract_fields(spark):
     assert (unknown.title, unknown.mainimageurl, unknown.main_images) == ("", "", [])
 
 
+def test_conditions_of_predicates(spark):
+    html = ("<p id=a class='x y'>1</p><p id=ab class=y>2</p><p id=b role=main>3</p><p id=c class='x'>4</p>"
+            "<p role=main class=y>5</p>")
+    wanted = {"//p[@id='b' or contains(@class,'x')]/text()": "134", "//p[starts-with(@id,'a') and @class='y']/text()": "2",
+              "//p[@class='y' and @role='main' or @id='a']/text()": "15", "//p[contains(@class,'y')][@id='a' or @role='main']/text()": "15",
+              "//p[2][starts-with(@id, 'a')]/text()": "2", "//p[starts-with(@class,'y') or @id='q']/text()": "25"}
+    seeds = spark.createDataFrame([(i, s) for i, s in enumerate(wanted)], "id bigint, title_xpath string")
+    found = pages(spark, *[html] * len(wanted)).withColumn("seed_id", F.col("page_id"))
+    parsed = R.parse_for_rules(found, ("page_id", "url", "seed_id"))
+    got = R.extract_fields(R.with_rules(parsed, R.seed_rules(R.rules_from_seeds(seeds)))).orderBy("page_id").collect()
+    assert [r.title for r in got] == list(wanted.values())
+
+
 def test_list_links(spark):
     seeds = spark.createDataFrame([(1, "//ul//a/@href", "//a[@class='next']/@href")],
                                   "id bigint, detailurl_xpath string, nextpage_xpath string")

@@ -173,7 +173,7 @@ def test_seeds(spark):
 def test_state_levels(spark):
     one = spark.range(1)
     for level, kept in {0: 3, 1: 2, 2: 1, 3: 0, 9: 3}.items():
-        state = load_state({"frontier": one, "visited": one, "images": one}, level)
+        state = load_state({"frontier": one, "visited": one, "images": one}, HarvestConfig(init_level=level))
         assert sum(df.count() for df in state.values()) == kept
 
 

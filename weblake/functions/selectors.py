@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-PATH_ATTRS = ("class", "id", "itemprop", "name", "property")
+PATH_ATTRS = ("class", "id", "itemprop", "name", "property", "rel", "role", "type")
 
 _STEP = re.compile(r"(//?)(?:(text\(\))|@([\w:-]+)|([\w-]+(?::[\w-]+)*|\*))")
-_PREDICATE = re.compile(
-    r"\[\s*(?:(\d+)|@([\w:-]+)\s*=\s*(?:'([^']*)'|\"([^\"]*)\")"
-    r"|contains\(\s*@([\w:-]+)\s*,\s*(?:'([^']*)'|\"([^\"]*)\")\s*\))\s*\]")
+_POSITION = re.compile(r"\[\s*(\d+)\s*\]")
+_PREDICATE = re.compile(r"""\[((?:[^\]"']|'[^']*'|"[^"]*")*)\]""")
+_TEST = re.compile(r"""\s*(?:@([\w:-]+)\s*=\s*|(contains|starts-with)\(\s*@([\w:-]+)\s*,\s*)('[^']*'|"[^"]*")\s*(\)?)\s*""")
+_JOIN = re.compile(r"(and|or)\b")
 _ESCAPE = str.maketrans({"%": "%25", "/": "%2F", '"': "%22"})
 
 
@@ -17,6 +18,28 @@ def _literal(value):
     return re.escape(value.translate(_ESCAPE))
 
 
+def _condition(text):
+    """Look-aheads for tests of attributes joined by ``and`` and ``or``; ``and`` binds closer."""
+    ways, at = [""], 0
+    while True:
+        test = _TEST.match(text, at)
+        if not test or bool(test[2]) != bool(test[5]):
+            raise ValueError(f"a predicate is a leading position or tests of attributes, not [{text}]")
+        attr, how, at = (test[1] or test[3]).lower(), test[2], test.end()
+        if attr not in PATH_ATTRS:
+            raise ValueError(f"predicates may use {', '.join(PATH_ATTRS)}, not {attr}")
+        before, after = ("" if how != "contains" else '[^"]*'), ("" if not how else '[^"]*')
+        ways[-1] += f'(?=[^/]*@{attr}="{before}{_literal(test[4][1:-1])}{after}")'
+        if at == len(text):
+            return f"(?:{'|'.join(ways)})"
+        joined = _JOIN.match(text, at)
+        if not joined:
+            raise ValueError(f"not understood: {text[at:]!r}")
+        at = joined.end()
+        if joined[1] == "or":
+            ways.append("")
+
+
 def _alternative(text):
     """(attribute or "" for text, regular expression) of one selector without "|"."""
     at, pattern = 0, ""
@@ -32,23 +55,12 @@ def _alternative(text):
             if at != len(text) or not pattern:
                 raise ValueError("text() or @attribute must come last, below an element")
             return (attribute or "").lower(), pattern
-        position, tests, first = r"\d+", "", True
+        position, tests = r"\d+", ""
+        if (test := _POSITION.match(text, at)) is not None:
+            position, at = test.group(1), test.end()
         while (test := _PREDICATE.match(text, at)) is not None:
+            tests += _condition(test.group(1))
             at = test.end()
-            number, equal, single, double, part, part_single, part_double = test.groups()
-            if number:
-                if not first:
-                    raise ValueError("a position must be the first predicate")
-                position = number
-            else:
-                attr = (equal or part).lower()
-                if attr not in PATH_ATTRS:
-                    raise ValueError(f"predicates may use {', '.join(PATH_ATTRS)}, not {attr}")
-                value = _literal(next(v for v in (single, double, part_single, part_double)
-                                      if v is not None))
-                around = "" if equal else '[^"]*'
-                tests += f'(?=[^/]*@{attr}="{around}{value}{around}")'
-            first = False
         tag, both = (r"[^/\[]+", rf"\d+,{position}") if name == "*" else (
             re.escape(name.lower()), rf"{position},\d+")
         pattern += rf"/{tag}\[{both}\]{tests}[^/]*"

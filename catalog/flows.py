@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx, query
-from catalog.pages import _LISTING
+from catalog.pages import _FIELDS, _LISTING
 from catalog.sources_sinks import _LOG, _MARKS, _UPSERTED
 from weblake.config import HarvestConfig
 from weblake.functions.text import erase_marks
@@ -251,6 +251,34 @@ def stream_links(spark, d):
     return spark.read.schema(found.schema).parquet(f"{folder}/out")
 
 
+@query("stream_product_rows", fx.sql(f"""
+select page_id, {fx._host_id('host')} as seed_id, {_MARKS.format('title')} as title, {_MARKS.format('brand')} as brand,
+ {_MARKS.format('price')} as price, coalesce(full_srcs[1], '') as mainimageurl,
+ case when full_srcs[1] <> '' then 'store' when title <> '' and price <> '' then 'retry' else 'drop' end as outcome
+from absolute""", "fx_web", more=(_FIELDS,)))
+def stream_product_rows(spark, d):
+    folder = work_dir(spark, "rows")
+    seed_rules(rules_from_seeds(fx.fx_seeds(spark, d))).write.parquet(f"{folder}/rules")
+    pages = _stream(spark, d, "pages").filter("html <> ''").selectExpr("*", f"{fx.HOST} as host", f"{fx.ORIGIN} as origin")
+    pages = pages.selectExpr("page_id", "url", "host", f"{fx.WEB_HTML} as html").withColumn("seed_id", fx.seed_id(F.col("host")))
+    rows = ST.product_rows(pages, spark.read.parquet(f"{folder}/rules"))
+    found = rows.select("page_id", "seed_id", "title", "brand", "price", "mainimageurl", "outcome")
+    ST.run_append(found, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
+@query("stream_seed_refresh", fx.sql(_BLOG_SELECT, "fx_edges", "fx_web", more=_BLOG_WALK))
+def stream_seed_refresh(spark, d):
+    """Seeds come in two lots, the first lot comes again with the second; each lot is a round when the one before is idle."""
+    folder = work_dir(spark, "refresh")
+    pages, seeds = fx_linked(spark, d).select("page_id", "url", "html"), _origin_seeds(spark, d, 2)
+    for part in (seeds.filter("seed_id % 2 = 0"), seeds):
+        part.write.mode("append").parquet(f"{folder}/arrived")
+        arrived = ST.read_folder(spark, f"{folder}/arrived", seeds.schema)
+        items = ST.run_refresh(spark, arrived, pages, HarvestConfig.blog(), f"{folder}/state", f"{folder}/checkpoint")
+    return items.select(F.regexp_replace("url", "/$", "").alias("url"), "seed_id", "depth")
+
+
 @query("stream_retry", fx.sql("""
 select event_id, url, cast(least(user_failures + 1, 4) as integer) as attempt,
  case when user_failures < 4 then 'done' else 'dead' end as status

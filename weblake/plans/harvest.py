@@ -83,6 +83,11 @@ def product_pages(crawl: DataFrame, pages: DataFrame, by_seed: DataFrame) -> Dat
     kept = ("seed_id", "depth", "category", "category_1", "level", "ord", "pageurl", "pageurlhash")
     details = with_rules(_items(crawl).filter(F.col("pagetype") == PRODUCT_DETAIL), by_seed)
     parsed = parse_for_rules(_fetched(details, pages, False, (*kept, "rules")), ("page_id", "url", *kept, "rules"))
+    return product_fields(parsed, kept)
+
+
+def product_fields(parsed: DataFrame, kept) -> DataFrame:
+    """Fields and outcome of detail pages (parsed, with ``rules``), beside page_id, url and the ``kept`` columns."""
     fields = extract_fields(page_text(parsed, squeeze=False))
     # The outcome looks at how many matches a rule had, not at the joined text.
     hits = F.array_repeat(F.lit(1), F.col("title_hits")), F.array_repeat(F.lit(1), F.col("price_hits"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,7 +12,10 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from weblake.config import HarvestConfig
 from weblake.functions.urls import url_sha1
 from weblake.operators.links import canonicalize, filter_links, links, scope_test
+from weblake.operators.rules import parse_for_rules, with_rules
 from weblake.operators.upsert import Merge
+from weblake.plans.expand import ITEM_DDL, expand
+from weblake.plans.harvest import product_fields
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -92,6 +96,37 @@ def page_links(pages: DataFrame, seeds: DataFrame, config: HarvestConfig | None
     return scoped.withColumn("url_sha1", url_sha1(F.col("link"))).drop("seed_url")
 
 
+def product_rows(pages: DataFrame, by_seed: DataFrame) -> DataFrame:
+    """Fields and outcome of a stream of detail pages(page_id, url, html, seed_id). Stateless.
+
+    ``by_seed`` (of ``seed_rules``) is a static table and is read anew for each batch.
+    """
+    parsed = parse_for_rules(with_rules(pages, by_seed), ("page_id", "url", "seed_id", "rules"))
+    return product_fields(parsed, ("seed_id",))
+
+
+def run_refresh(spark: SparkSession, seeds: DataFrame, pages: DataFrame, config: HarvestConfig, folder: str,
+                checkpoint: str, rules: DataFrame | None = None) -> DataFrame:
+    """Walk from the seeds (of ``read_seeds``) that a stream brings, and return all items of all rounds.
+
+    Each batch is a round: what earlier rounds reached is visited, so seeds that come again and pages
+    known before start nothing. A run ends when no seed is left; the next one goes on from there. A
+    repeated batch walks in a folder of its own and overwrites its round.
+    """
+    rounds, schema = f"{folder}/rounds", f"{ITEM_DDL}, level int"
+
+    def walk(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/seeds/batch={number}")
+        new = spark.read.schema(batch.schema).parquet(f"{folder}/seeds/batch={number}")
+        earlier = spark.read.schema(f"{schema}, batch bigint").parquet(rounds).filter(F.col("batch") < number) if number else None
+        crawl = expand(spark, new, pages, config, f"{folder}/walk-{uuid.uuid4().hex}", rules,
+                       None if earlier is None else earlier.select("url_sha1"))
+        crawl.write.mode("overwrite").parquet(f"{rounds}/batch={number}")
+
+    _finish(seeds.writeStream.foreachBatch(walk).option("checkpointLocation", checkpoint))
+    return spark.read.schema(f"{schema}, batch bigint").parquet(rounds)
+
+
 def run_append(df: DataFrame, out: str, checkpoint: str) -> None:
     _finish(df.writeStream.format("parquet").option("path", out)
             .option("checkpointLocation", checkpoint).outputMode("append"))

@@ -1,0 +1,65 @@
+"""The near-duplicate stage against brute-force similarity of five-word shingles."""
+
+import itertools
+import random
+
+from tests.llm.edges import documents
+from weblake.llm import near_copies, simhash
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def shingles(text, k=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def plain_groups(texts):
+    """Index of a text → the least index that it reaches over pairs of similarity 0.8 or more."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] == sets[b] or both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return [find(x) for x in range(len(texts))]
+
+
+def planted():
+    """Texts and copies with 1 to 20 words exchanged, so that similarities lie on both sides of 0.8."""
+    random.seed(12)
+    words, texts = [f"w{i}" for i in range(5000)], []
+    for _ in range(40):
+        base = random.choices(words, k=random.choice([40, 120, 400]))
+        texts.append(" ".join(base))
+        for n in (1, 2, 3, 5, 8, 20):
+            copy = list(base)
+            for at in random.sample(range(len(base)), n):
+                copy[at] = random.choice(words)
+            texts.append(" ".join(copy).upper() if n == 2 else "\n ".join(copy))
+    return texts + ["w1 w2", "W1  W2", "w1 w2 w3", "", None, "  "]
+
+
+def test_groups_equal_brute_force(spark):
+    given = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
+    for texts in (planted(), given):
+        want = plain_groups(texts)
+        kept = simhash.keep_one(documents(spark, list(enumerate(texts))))
+        assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(want))
+
+
+def test_bands_meet_pairs_of_the_least_similarity():
+    """Of 300 pairs just at 0.8 all share a band and stay under the bound of differing bits."""
+    random.seed(13)
+    factors, words = near_copies._factors(), [f"w{i}" for i in range(100_000)]
+    for _ in range(300):
+        shared, rest = random.choices(words, k=160), [random.choices(words, k=22) for _ in range(2)]
+        texts = [" ".join(shared + r) for r in rest]
+        a, b = (near_copies.signature(t, 5, factors) for t in texts)
+        assert set(a[2]) & set(b[2])
+        assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[3:], b[3:])) <= near_copies.MAX_BITS

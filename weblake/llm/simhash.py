@@ -112,14 +112,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group.
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The document with the smallest id of each group of texts that share ``percent`` or more of their shingles.
 
-    Rows with a null doc_id stay, as no group can name them; of rows that repeat a doc_id the one
-    whose text hash is smallest stays.
+    Groups are those of :func:`near_copies.groups`, not of the fingerprints above. Rows with a null
+    doc_id stay, as no group can name them; of rows that repeat a doc_id the one whose text hash is
+    smallest stays.
     """
-    found = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "_keep"), F.col("doc_id") == F.col("_keep")).drop("_keep")
+    from weblake.llm import near_copies
+    members = near_copies.groups(docs.select("doc_id", "text"), words, percent)
+    found = members.groupBy("root").agg(F.min("doc_id").alias("_keep")).filter("_keep is not null").select("_keep").distinct()
+    kept = docs.join(found, F.col("doc_id") == F.col("_keep")).drop("_keep")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     one = kept.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
     return one.unionByName(docs.filter("doc_id is null"))

@@ -53,6 +53,14 @@ def test_groups_equal_brute_force(spark):
         assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(want))
 
 
+def test_repeated_ids_of_unlike_texts_are_kept_by_row(spark):
+    """Each group keeps one row, though the id that names both groups is the same."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    given = [(1, a), (2, a), (1, b), (3, b), (1, b), (2, c), (None, a)]
+    kept = simhash.keep_one(documents(spark, given)).select("doc_id", "text").collect()
+    assert sorted(kept, key=repr) == sorted([(1, a), (1, b), (2, c), (None, a)], key=repr)
+
+
 def test_bands_meet_pairs_of_the_least_similarity():
     """Of 300 pairs just at 0.8 all share a band and stay under the bound of differing bits."""
     random.seed(13)

@@ -113,16 +113,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest id of each group of texts that share ``percent`` or more of their shingles.
+    """The row smallest by (doc_id, text hash) of each group of texts that share ``percent`` or more of their shingles.
 
-    Groups are those of :func:`near_copies.groups`, not of the fingerprints above. Rows with a null
-    doc_id stay, as no group can name them; of rows that repeat a doc_id the one whose text hash is
-    smallest stays.
+    Groups are those of :func:`near_copies.groups`, not of the fingerprints above. A doc_id that is
+    repeated with unlike texts stays once in each of their groups where it is the smallest. Rows with
+    a null doc_id stay, as no group can name them.
     """
     from weblake.llm import near_copies
-    members = near_copies.groups(docs.select("doc_id", "text"), words, percent)
-    found = members.groupBy("root").agg(F.min("doc_id").alias("_keep")).filter("_keep is not null").select("_keep").distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("_keep")).drop("_keep")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = kept.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+    members = near_copies.groups(docs.select("doc_id", "text"), words, percent).filter("doc_id is not null")
+    found = members.groupBy("root").agg(F.min(F.struct("doc_id", "place")).alias("keep")).select(
+        F.col("keep.doc_id").alias("_keep"), F.col("keep.place").alias("_place"))
+    kept = docs.join(found, (F.col("doc_id") == F.col("_keep")) & (F.xxhash64("text") == F.col("_place"))).drop("_keep")
+    order = Window.partitionBy("doc_id", "_place").orderBy("_place")
+    one = kept.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank", "_place")
     return one.unionByName(docs.filter("doc_id is null"))

@@ -1,7 +1,8 @@
 """Rows that every operator must stand: nulls, empty and long texts, ties, repeats, clashing column names."""
 
 LONG = "lorem ipsum dolor sit amet " * 12_000
-CLASHING = "fp fingerprint component_id score predicted held_out base spans size target taken row key shard n_tokens part rank".split()
+CLASHING = """fp fingerprint component_id score predicted held_out base spans size target taken row key shard n_tokens part rank keep place _keep _place _rank
+_size _taken words_held words_taken base_found more_found best_rule _listed _before _part row_ key_ predicted_""".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 TEXTS = [

@@ -106,6 +106,17 @@ def test_pieces_hold_every_token(stages):
         assert set(totals) == set(rows) and all(used[i] == n for i, n in totals.items())
 
 
+def test_stages_stand_clashing_names_and_empty_tables(spark):
+    """Edge rows with columns named like the operators' own, and no rows at all, through every stage."""
+    for rows in (None, []):
+        docs = Work(spark, "edges").table("documents", documents(spark, rows))
+        for name, stage in corpus_pipeline.STAGES:
+            after = Work(spark, "edges").table(name, stage(spark, docs, SMALL))
+            assert name == "pack" or after.columns == docs.columns
+            assert (after.count() == 0) == (rows == [])
+            docs = after
+
+
 def test_run(spark):
     rows = entry.queries()["pipeline"](spark, SMALL)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 100

@@ -13,6 +13,7 @@ import __spark_entry__ as entry
 from tests.llm import brute
 from tests.llm.edges import TEXTS, documents
 from weblake.llm import mixing, packing, pii, secrets, simhash, tokens, toxicity
+from weblake.llm.spans import between
 from weblake.llm.components import components
 from weblake.session import Work
 
@@ -73,6 +74,9 @@ def test_simhash_edges(spark):
     kept = simhash.keep_one(documents(spark))
     assert kept.columns == documents(spark).columns
     ids = Counter(r.doc_id for r in kept.select("doc_id").collect())
+    twice = simhash.keep_one(documents(spark, [(1, "a b c d e"), (1, "completely other words stand here"), (2, "a b c d e"),
+                                               (3, "completely other words stand here"), (1, "a b c d e")]))
+    assert sorted(r.text for r in twice.collect()) == ["a b c d e", "completely other words stand here"]
     assert ids[1] == 1 and ids[2] == 0 and ids[6] == 1 and ids[7] == 0 and ids[None] == 2
 
 
@@ -168,7 +172,26 @@ def test_entropy_windows(spark):
     texts = ["key q7Zx9LmP2vRt8KwYb3Nd here", "q7Zx9LmP2vRt8KwYb3NdEXAMPLE", "internationalizationally", "550e8400-e29b-41d4-a716-446655440000",
              "password=q7Zx9LmP2vRt8KwYb3Nd"]
     spans = [r.spans for r in secrets.digest(secrets.scan(documents(spark, list(enumerate(texts))))).orderBy("doc_id").collect()]
-    assert spans == ["entropy:4:24", "", "", "", "assign:0:29"]
+    assert spans == ["entropy:4:24", "entropy:0:20", "", "", "assign:0:29"]
+
+
+def test_listed_words_suppress_their_own_windows_only(spark):
+    key = "q7Zx9LmP2vRt8KwYb3NdG5hJ"
+    texts = [key, f"/samples/v1/{key}", f"samples-{key}", f"{key}/0123456789", f"{key[:12]}example{key[12:]}",
+             "3f2504e0-4f89-41d3-9a0c-0305e82c3301", f"{key}sample{key}"]
+    spans = [r.spans for r in secrets.digest(secrets.scan(documents(spark, list(enumerate(texts))))).orderBy("doc_id").collect()]
+    inside = [[t[int(a):int(b)] for _, a, b in (s.split(":") for s in found.split(",") if s)] for t, found in zip(texts, spans)]
+    assert all(key in "".join(found) for found in inside[:4]) and inside[4:6] == [[], []] and inside[6] == [key, key]
+
+
+def test_pieces_between_matches(spark):
+    for text in ("", "xabyabz", "abab", "qqq", "éab😀"):
+        got = spark.createDataFrame([(text,)], "t string").selectExpr(f"{between('t', 'ab')} as p").first().p
+        want, at = [], 0
+        for gap in text.split("ab"):
+            want.append((at, gap))
+            at += len(gap) + 2
+        assert [tuple(p) for p in got] == want
 
 
 def test_pii_candidates_are_judged(spark):

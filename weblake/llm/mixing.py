@@ -9,7 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from weblake.llm.common import WORD, partitions, with_length
+from weblake.llm.common import WORD, free_names, partitions, with_length
 from weblake.session import Work
 
 #: Words of a shard, and how many shards a source has at most: both the shards of a source and the
@@ -157,6 +157,8 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     def run(text: pd.Series, size: pd.Series, taken: pd.Series) -> pd.Series:
         return pd.Series([cut(*x) for x in zip(text, size, taken)])
 
-    found = mix(docs, keep=docs.columns, **parameters).filter("taken > 0").select("row.*", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    changed = found.withColumn("text", F.when(F.col("_size") == F.col("_taken"), F.col("text")).otherwise(run("text", "_size", "_taken")))
+    size, taken = free_names(docs.columns, "words_held", "words_taken")
+    found = mix(docs, keep=docs.columns, **parameters).filter("taken > 0").select(
+        "row.*", F.col("size").alias(size), F.col("taken").alias(taken))
+    changed = found.withColumn("text", F.when(F.col(size) == F.col(taken), F.col("text")).otherwise(run("text", size, taken)))
     return with_length(changed).select(*docs.columns)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weblake.llm.spans import apart, count_kind, matches, ordered, quoted, written
+from weblake.llm.common import free_names
+from weblake.llm.spans import apart, between, count_kind, matches, ordered, quoted, written
 
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -26,10 +27,9 @@ CLASSES = (
 )
 # What is random by its letters and yet no secret.
 ALLOWED = (
-    "(?i)example|sample|dummy|placeholder|changeme|redacted|xxxx",
-    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    "(?i:example|sample|dummy|placeholder|changeme|redacted|xxxx)",
+    "(?<![0-9a-fA-F-])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F-])",
     "0123456789|abcdefghij|ABCDEFGHIJ",
-    r"^(.)\1+$",
 )
 
 
@@ -66,10 +66,16 @@ def windows(found: str) -> str:
 
 
 def entropy_spans(text: str) -> str:
-    """SQL of the candidate strings, cut to their random windows; allowed and classless strings have none."""
-    allowed = " or ".join(f"s.found rlike {quoted(form)}" for form in ALLOWED)
+    """SQL of the candidate strings, cut to their random windows; classless strings have none.
+
+    What the allow-list names suppresses the windows that overlap it and no others: the window slides
+    over each stretch between two listed parts by itself.
+    """
     known = " or ".join(f"s.found rlike {quoted(form)}" for _, form, _ in CLASSES)
-    cut = f"""transform(filter({matches(text, CANDIDATE, 3)}, s -> ({known}) and not ({allowed})),
+    free = f"""flatten(transform({matches(text, CANDIDATE, 3)}, c -> transform(
+      filter({between('c.found', '|'.join(ALLOWED))}, p -> char_length(p.found) >= {WINDOW}),
+      p -> named_struct('kind', c.kind, 'start', c.start + p.start, 'found', p.found))))"""
+    cut = f"""transform(filter({free}, s -> {known}),
       s -> element_at(transform(array({windows('s.found')}), w -> named_struct('kind', s.kind, 'start', s.start + w.first,
         'end', s.start + w.last, 'found', case when w.first >= 0 then substring(s.found, w.first + 1, w.last - w.first) end)), 1))"""
     return f"filter({cut}, s -> s.found is not null)"
@@ -79,13 +85,15 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with base and spans, arrays of struct<start, kind, end> ordered by start, then kind.
 
     ``base`` has the fixed forms, ``spans`` also the random strings that overlap none of them. Null
-    and empty texts have empty arrays; existing columns base and spans are replaced.
+    and empty texts have empty arrays; repeated rows are scanned each by itself, an empty table gives no
+    rows; existing columns base and spans are replaced.
     """
-    base = docs.withColumn("_base", F.expr(base_spans(text))).withColumn("_more", F.expr(entropy_spans(text)))
+    kept, more = free_names(docs.columns, "base_found", "more_found")
+    base = docs.withColumn(kept, F.expr(base_spans(text))).withColumn(more, F.expr(entropy_spans(text)))
     return base.withColumns({
-        "base": F.expr(ordered("_base", "start", "kind")),
-        "spans": F.expr(ordered(f"concat(_base, {apart('_more', '_base', False)})", "start", "kind")),
-    }).drop("_base", "_more")
+        "base": F.expr(ordered(kept, "start", "kind")),
+        "spans": F.expr(ordered(f"concat({kept}, {apart(more, kept, False)})", "start", "kind")),
+    }).drop(kept, more)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weblake.llm.common import free_names
 from weblake.llm.components import components
 from weblake.session import Work
 
@@ -93,7 +94,22 @@ def links(work: Work, fps: DataFrame, max_bits: int = 4) -> DataFrame:
     return stars.unionByName(work.table("close", rest))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 4) -> DataFrame:
+def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, place, fp) of ``docs`` and members (fp, component_id) of their distinct fingerprints."""
+    work = Work(docs.sparkSession, "simhash")
+    rows = work.table("rows", docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("place"),
+                                          fingerprints(F.col(text), words).alias("fp")))
+    fps = work.table("fps", rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct(
+        F.col("doc_id").isNull().alias("nameless"), "doc_id", "place")).alias("least")))
+    roots = components(work, links(work, fps.select("fp", "n"), max_bits), "groups")
+    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = work.table("named", named)
+    least = named.groupBy("root").agg(F.min("least").alias("least"))
+    return rows, named.select("fp", "root").join(least, "root").select("fp", F.col("least.doc_id").alias("component_id"),
+                                                                       F.col("least.place").alias("least_place"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fp (bigint) and component_id, the smallest doc_id reachable over links, of every row of ``docs``.
 
     Fingerprints are compared once however many documents share them. Null texts count as empty;
@@ -101,29 +117,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     back as often as they are given. A null doc_id is the smallest of nothing: it names a component
     only where no other id is there. Other columns of ``docs`` are not touched. An empty table gives no rows.
     """
-    work = Work(docs.sparkSession, "simhash")
-    rows = work.table("rows", docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
-    fps = work.table("fps", rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
-    roots = components(work, links(work, fps.select("fp", "n"), max_bits), "groups")
-    named = fps.join(roots, fps["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    rows, members = _grouped(docs, doc_id, text, words, max_bits)
     return rows.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The row smallest by (doc_id, text hash) of each group of texts that share ``percent`` or more of their shingles.
+def keep_one(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
+    """The row smallest by (doc_id, text hash) of each near-duplicate group of ``docs`` (doc_id, text, any others).
 
-    Groups are those of :func:`near_copies.groups`, not of the fingerprints above. A doc_id that is
-    repeated with unlike texts stays once in each of their groups where it is the smallest. Rows with
-    a null doc_id stay, as no group can name them.
+    Groups are those of :func:`near_duplicates`. A doc_id that is repeated with unlike texts stays
+    once in each of their groups where it is the smallest; of rows that repeat both doc_id and text one
+    stays. Null and empty texts are a group. Rows with a null doc_id all stay, as no group can name them.
+    Other columns come through whatever their names; an empty table gives no rows.
     """
-    from weblake.llm import near_copies
-    members = near_copies.groups(docs.select("doc_id", "text"), words, percent).filter("doc_id is not null")
-    found = members.groupBy("root").agg(F.min(F.struct("doc_id", "place")).alias("keep")).select(
-        F.col("keep.doc_id").alias("_keep"), F.col("keep.place").alias("_place"))
-    kept = docs.join(found, (F.col("doc_id") == F.col("_keep")) & (F.xxhash64("text") == F.col("_place"))).drop("_keep")
-    order = Window.partitionBy("doc_id", "_place").orderBy("_place")
-    one = kept.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank", "_place")
+    _, members = _grouped(docs, "doc_id", "text", words, max_bits)
+    keep, place, rank = free_names(docs.columns, "keep", "place", "rank")
+    found = members.filter("component_id is not null").select(
+        F.col("component_id").alias(keep), F.col("least_place").alias(place)).distinct()
+    kept = docs.join(found, (F.col("doc_id") == F.col(keep)) & (F.xxhash64("text") == F.col(place)))
+    order = Window.partitionBy(keep, place).orderBy(place)
+    one = kept.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*docs.columns)
     return one.unionByName(docs.filter("doc_id is null"))

@@ -30,6 +30,18 @@ def matches(text: str, pattern: str, kind: int) -> str:
         acc -> acc.spans) end), 1)"""
 
 
+def between(text: str, pattern: str) -> str:
+    """SQL of array<struct<start, found>>: what stands before, between and after the matches of ``pattern``."""
+    none = "cast(array() as array<struct<start: int, found: string>>)"
+    return f"""aggregate(
+      zip_with(split({text}, {quoted(pattern)}, -1), regexp_extract_all({text}, {quoted(pattern)}, 0),
+        (gap, hit) -> named_struct('gap', gap, 'hit', coalesce(hit, ''))),
+      named_struct('at', 0, 'parts', {none}),
+      (acc, x) -> named_struct('at', acc.at + char_length(x.gap) + char_length(x.hit),
+        'parts', concat(acc.parts, array(named_struct('start', acc.at, 'found', x.gap)))),
+      acc -> acc.parts)"""
+
+
 def apart(spans: str, others: str, same_kind: bool) -> str:
     """SQL of the ``spans`` that overlap none of ``others`` (of their own kind)."""
     kind = "o.kind = s.kind and " if same_kind else ""

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weblake.llm.common import free_names
 from weblake.session import Work
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -163,5 +164,6 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defau
         return F.struct(F.length(key).alias("length"), verdict.alias("verdict"), key.alias("rule"))
 
     best = F.array_max(F.filter(F.transform(rule_keys(shapes), judged), lambda x: x["verdict"].isNotNull()))
-    return (parts.withColumn("_best", best)
-            .withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best"))
+    name, = free_names(parts.columns, "best_rule")
+    return (parts.withColumn(name, best)
+            .withColumns({"rule": F.col(f"{name}.rule"), "verdict": F.coalesce(f"{name}.verdict", F.lit(default))}).drop(name))

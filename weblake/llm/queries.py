@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblake.llm import ann, mixing, packing, pii, secrets, simhash, tokens, topk, toxicity, url_filter
+from weblake.llm import alignment, ann, mixing, packing, pii, secrets, simhash, tokens, topk, toxicity, url_filter
 from weblake.llm.common import read_table
 
 QUERIES = {}
@@ -116,3 +116,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About the 20 nearest of every 20th vector."""
     return ann.approximate_top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_cross_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers on every document, scored by corpus-wide link counts."""
+    return alignment.digest(read_table(spark, sf_dir, "documents"))

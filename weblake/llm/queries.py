@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblake.llm import alignment, ann, mixing, packing, pii, secrets, simhash, tokens, topk, toxicity, url_filter
+from weblake.llm import alignment, ann, manifest, mixing, packing, pii, secrets, simhash, tokens, topk, toxicity, url_filter
 from weblake.llm.common import read_table
 
 QUERIES = {}
@@ -122,3 +122,58 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment of two tokenizers on every document, scored by corpus-wide link counts."""
     return alignment.digest(read_table(spark, sf_dir, "documents"))
+
+
+MANIFEST_ORACLE = """
+with recursive fields as (
+  select doc_id, coalesce('=' || lang, '') as tree, n_chars,
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') as head,
+    coalesce(strlen(text) || ':' || text, '-') as tail,
+    coalesce(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))),
+      4294967295) % 7 = 0, false) as tampered from documents),
+leaves as (
+  select *, row_number() over () as row, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos,
+    count(*) over (partition by tree) as n
+  from (select doc_id, tree, sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+      case when tampered then sha256(head || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || tail) end as other
+    from fields)),
+low as (
+  select 0 as level, tree, pos, n, leaf as h from leaves
+  union all
+  select level + 1, tree, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from low where n > 1 group by level, tree, pos // 2, n),
+subroots as (
+  select tree, h as subroot, row_number() over (order by tree) - 1 as pos, count(*) over () as n from low where n = 1),
+high as (
+  select 0 as level, pos, n, subroot as h from subroots
+  union all
+  select level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from high where n > 1 group by level, pos // 2, n),
+steps as (
+  select l.row, s.level, (l.pos >> s.level) & 1 as slot, b.h as sibling
+  from leaves l join (select distinct tree, level from low where n > 1) s on s.tree = l.tree
+  left join low b on b.tree = l.tree and b.level = s.level and b.pos = xor(l.pos >> s.level, 1::bigint)
+  union all
+  select l.row, 1000 + s.level, (r.pos >> s.level) & 1, b.h
+  from leaves l join subroots r on r.tree = l.tree cross join (select distinct level from high where n > 1) s
+  left join high b on b.level = s.level and b.pos = xor(r.pos >> s.level, 1::bigint)),
+ranked as (select *, row_number() over (partition by row order by level) as step from steps),
+folded as (
+  select row, 0 as step, coalesce(other, leaf) as h from leaves
+  union all
+  select f.row, r.step, sha256(case when r.slot = 1 then r.sibling || f.h else f.h || coalesce(r.sibling, '') end)
+  from folded f join ranked r on r.row = f.row and r.step = f.step + 1),
+proofs as (
+  select l.row, sha256(coalesce(string_agg(s.sibling, '' order by s.level), '')) as proof_sha256
+  from leaves l left join steps s on s.row = l.row group by l.row)
+select l.doc_id, l.leaf, s.subroot, r.h as root, p.proof_sha256, f.h as folded_root, f.h = r.h as verified
+from leaves l join subroots s on s.tree = l.tree join proofs p on p.row = l.row
+join (select row, arg_max(h, step) as h from folded group by row) f on f.row = l.row
+cross join (select h from high where n = 1) r
+"""
+
+
+@query("op11_merkle_manifest", MANIFEST_ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and check of every document in the manifest of all of them."""
+    return manifest.digest(read_table(spark, sf_dir, "documents"))

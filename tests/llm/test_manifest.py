@@ -86,7 +86,7 @@ def test_trees_of_every_shape(spark, monkeypatch, arity, levels):
     """Groups of 1 to 18 rows, in passes of few levels, so that chunks, passes and short runs all occur."""
     monkeypatch.setattr(manifest, "ARITY", arity)
     monkeypatch.setattr(manifest, "LEVELS", levels)
-    docs = Work(spark, "test").table("docs", mixed(spark, 19 if levels > 1 else 7))
+    docs = Work(spark, "test").table("docs", mixed(spark, 18 if levels > 1 else 6))
     assert found(manifest.digest(docs)) == plain_rows(read(docs), arity)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from weblake.llm.common import free_names, partitions
 from weblake.session import Work
 
-#: Levels that one window pass climbs: the rows below a node of the pass, ARITY ** LEVELS, share a task.
+#: Levels that one window pass climbs at most: the rows below a node of the pass, ARITY ** LEVELS, share a task.
 ARITY, LEVELS = 2, 12
 DIGEST = 64  # letters of a digest
 #: What a leaf hashes, in order.
@@ -48,18 +48,26 @@ def numbered(work: Work, name: str, rows: DataFrame, tree: str, order: Sequence[
             .withColumn("pos", F.col("pos") + F.col("first")).drop("tie", "range", "first"))
 
 
-def climbed(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (tree, pos, n, hash) with node_0 … node_LEVELS and siblings_0 … siblings_(LEVELS - 1).
+def height(n: int) -> int:
+    """Levels above the leaves of a tree of ``n`` of them."""
+    levels = 0
+    while ARITY ** levels < n:
+        levels += 1
+    return levels
+
+
+def climbed(nodes: DataFrame, levels: int) -> DataFrame:
+    """``nodes`` (tree, pos, n, hash) with node_0 … node_``levels`` and the siblings_ of each but the last.
 
     A node of level l is held by the row of its first leaf. Its run's other nodes are fixed numbers of
     rows away, so that lag and lead columns at those offsets, masked by the node's slot and, at the
     end of a tree, by the run's length, are its siblings; the first child's row hashes the parent. Rows that hold no
     node of a level have nulls there. A tree's last node goes up unhashed.
     """
-    span = ARITY ** LEVELS
+    span = ARITY ** levels
     order = W.partitionBy("tree", "chunk").orderBy("pos")
     out = nodes.withColumn("chunk", F.expr(f"pos div {span}L")).withColumn("node_0", F.col("hash"))
-    for level in range(LEVELS):
+    for level in range(levels):
         step, node = ARITY ** level, f"node_{level}"
         many, slot = f"{_exact('n', step)} > 1", f"(pos div {step}L) % {ARITY}"
         beside = {d: (F.lag if d < 0 else F.lead)(node, abs(d) * step).over(order) for d in range(1 - ARITY, ARITY) if d}
@@ -71,58 +79,56 @@ def climbed(nodes: DataFrame) -> DataFrame:
             f"siblings_{level}": F.concat_ws("", *names.values()),
             f"node_{level + 1}": F.expr(f"case when not {parent} then null when {many} "
                                         f"then sha2(concat_ws('', {node}, {', '.join(names[d] for d in names if d > 0)}), 256) else {node} end"),
-        }).drop(*names.values())
+        })
     return out
 
 
-def parents(nodes: DataFrame) -> DataFrame:
-    """The nodes LEVELS above: one row a chunk."""
-    span = ARITY ** LEVELS
-    return climbed(nodes).filter(f"pos % {span} = 0").select(
-        "tree", F.col("chunk").alias("pos"), F.expr(_exact("n", span)).alias("n"), F.col(f"node_{LEVELS}").alias("hash"))
+def parents(nodes: DataFrame, levels: int) -> DataFrame:
+    """The nodes so many ``levels`` above: one row a chunk."""
+    span = ARITY ** levels
+    return climbed(nodes, levels).filter(f"pos % {span} = 0").select(
+        "tree", F.col("chunk").alias("pos"), F.expr(_exact("n", span)).alias("n"), F.col(f"node_{levels}").alias("hash"))
 
 
-def with_paths(nodes: DataFrame, above: DataFrame | None, carried: Sequence[str]) -> DataFrame:
+def with_paths(nodes: DataFrame, above: DataFrame | None, levels: int, carried: Sequence[str]) -> DataFrame:
     """tree, pos, n, hash, ``carried`` and path, the siblings from each node up to its tree's top, in a row.
 
-    ``above`` (tree, pos, path) are the parents. A node's path is its siblings and its parent's path,
-    which the row of the run's first child holds: that many slots back.
+    ``above`` (tree, pos, path) are the parents ``levels`` up, None where these are the tops. A node's path
+    is its siblings and its parent's path, which the row of the run's first child holds: its slot's number of
+    nodes back.
     """
     order = W.partitionBy("tree", "chunk").orderBy("pos")
-    out, span = climbed(nodes), ARITY ** LEVELS
+    out, span = climbed(nodes, levels), ARITY ** levels
     if above is None:
-        out = out.withColumn(f"path_{LEVELS}", F.when(F.expr(f"pos % {span} = 0"), F.lit("")))
+        out = out.withColumn("top", F.lit(""))
     else:
-        tops = above.select(F.col("tree"), F.col("pos").alias("chunk"), F.col("path").alias("top"))
-        out = out.join(tops, ["tree", "chunk"]).withColumn(f"path_{LEVELS}", F.when(F.expr(f"pos % {span} = 0"), F.col("top")))
-    for level in reversed(range(LEVELS)):
+        out = out.join(above.select("tree", F.col("pos").alias("chunk"), F.col("path").alias("top")), ["tree", "chunk"])
+    out = out.withColumn(f"path_{levels}", F.when(F.expr(f"pos % {span} = 0"), F.col("top")))
+    for level in reversed(range(levels)):
         step = ARITY ** level
         back = [F.col(f"path_{level + 1}")] + [F.lag(f"path_{level + 1}", step * d).over(order) for d in range(1, ARITY)]
         names = [f"back_{level}_{d}" for d in range(ARITY)]
         slot = F.expr(f"cast((pos div {step}L) % {ARITY} as int)")
-        out = out.withColumns(dict(zip(names, back)))
-        out = out.withColumn(f"path_{level}", F.when(F.expr(f"pos % {step} = 0"), F.concat(
-            F.col(f"siblings_{level}"), F.element_at(F.array(*names), slot + 1)))).drop(*names)
+        out = out.withColumns(dict(zip(names, back))).withColumn(f"path_{level}", F.when(
+            F.expr(f"pos % {step} = 0"), F.concat(F.col(f"siblings_{level}"), F.element_at(F.array(*names), slot + 1))))
     return out.select("tree", "pos", "n", "hash", *carried, F.col("path_0").alias("path"))
 
 
 def hashed(work: Work, name: str, leaves: DataFrame, carried: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Paths of the ``leaves`` (tree, pos, n, hash, ``carried``) as of :func:`with_paths`, and tops (tree, hash).
 
-    Passes of LEVELS levels go up, each a written table as many times smaller, until every tree is one node.
+    Passes of at most LEVELS levels go up, each a written table as many times smaller, until every tree is one node.
     """
-    levels = [leaves]
-    while True:
-        up = work.table(f"{name}_{len(levels)}", parents(levels[-1]))
-        levels.append(up)
-        if not up.filter("n > 1").head(1):
-            break
-    tops, above = levels.pop(), None
-    for number, nodes in enumerate(reversed(levels)):
-        above = with_paths(nodes, above, carried if nodes is leaves else ())
-        if nodes is not leaves:
+    passes, nodes = [], leaves
+    while levels := min(LEVELS, height(nodes.agg(F.max("n")).first()[0] or 0)):
+        passes.append((nodes, levels))
+        nodes = work.table(f"{name}_{len(passes)}", parents(nodes, levels))
+    above = None if passes else with_paths(leaves, None, 0, carried)
+    for number, (level_nodes, levels) in reversed(list(enumerate(passes))):
+        above = with_paths(level_nodes, above, levels, () if number else carried)
+        if number:
             above = work.table(f"{name}_paths_{number}", above.select("tree", "pos", "path"))
-    return above, tops.select("tree", "hash")
+    return above, nodes.select("tree", "hash")
 
 
 def fold(hash_: str, pos: str, n: str, path: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblake.llm import alignment, ann, manifest, mixing, packing, pii, secrets, simhash, tokens, topk, toxicity, url_filter
+from weblake.llm import alignment, ann, html_blocks, manifest, mixing, packing, pii, secrets, simhash, tokens, topk, toxicity, url_filter
 from weblake.llm.common import read_table
 
 QUERIES = {}
@@ -177,3 +177,10 @@ cross join (select h from high where n = 1) r
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and check of every document in the manifest of all of them."""
     return manifest.digest(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_html_extraction")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_blocks.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))

@@ -93,6 +93,15 @@ def harvest_blog(spark, d):
     return crawl.select(F.regexp_replace("url", "/$", "").alias("url"), "seed_id", "depth")
 
 
+@query("harvest_resumed", fx.sql(_BLOG_SELECT, "fx_edges", "fx_web", more=_BLOG_WALK))
+def harvest_resumed(spark, d):
+    """A walk that is stopped after its second level, then after two more, and goes on to the end."""
+    pages, seeds, folder = fx_linked(spark, d).select("page_id", "url", "html"), _origin_seeds(spark, d, 2), work_dir(spark, "resumed")
+    for levels in (2, 2, None):
+        crawl = expand(spark, seeds, pages, HarvestConfig.blog(), folder, resume=True, levels=levels)
+    return crawl.select(F.regexp_replace("url", "/$", "").alias("url"), "seed_id", "depth")
+
+
 _REACHED = (f"reached as ({_BLOG_SELECT})", """got as (
  select p.page_id, p.url, r.seed_id from fx_linked p join reached r on regexp_replace(p.url, '/$', '') = r.url)""",
     "seen as (select count(distinct src) as n from fx_shown where page_id in (select page_id from got))")

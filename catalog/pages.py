@@ -265,18 +265,82 @@ def page_rule_join(spark, d):
 
 
 @query("main_image_clean", fx.sql("""
-select page_id, full_srcs[1] as main_image,
- root || '/img/' || cast(page_id % 37 as varchar) || '.jpg ' || root || '/logo.png' as image_list
-from absolute""", "fx_web", more=(_FIELDS,)))
+select page_id, coalesce(full_srcs[1], '') as main_image, array_to_string(list_distinct_in_order, ' ') as image_list
+from (select *, list_filter(full_srcs, lambda x, i: list_position(full_srcs, x) = i) as list_distinct_in_order from absolute) t""",
+    "fx_web", more=(_FIELDS,)))
 def main_image_clean(spark, d):
-    """Sources as a page script may write them: empty first, padded, quoted in a call, repeated."""
-    raw = fx.fx_urls(spark, d).withColumn("src", F.concat(F.lit("/img/"), (F.col("page_id") % 37).cast("string"),
-                                                          F.lit(".jpg")))
-    shown = F.array(F.lit(""), F.concat(F.lit("  "), "src", F.lit(" ")), F.lit("logo.png"))
-    written = F.array(F.concat(F.lit("zoom('"), "src", F.lit("','x')")), F.col("src"), F.lit("/logo.png"),
-                      F.lit("show('/logo.png')"))
-    return raw.select("page_id", F.array_join(R.clean_main_image(F.col("url"), shown), "").alias("main_image"),
-                      F.array_join(R.clean_image_list(F.col("url"), written), " ").alias("image_list"))
+    """Sources that the image rules of each page's seed match, cleaned; then once more as a page script writes them."""
+    found = R.selected(_ruled(spark, d), ["mainimageurl_xpath", "imageurl_xpath"])
+    shown = F.concat(F.array(F.lit("")), F.transform(R.matches("mainimageurl_xpath"), lambda v: F.concat(F.lit("  "), v, F.lit(" "))))
+    written = F.concat(F.transform(R.matches("imageurl_xpath"), lambda v: F.concat(F.lit("zoom('"), v, F.lit("','x')"))),
+                       R.matches("imageurl_xpath"))
+    return found.select("page_id", F.array_join(R.clean_main_image(F.col("url"), shown), "").alias("main_image"),
+                        F.array_join(R.clean_image_list(F.col("url"), written), " ").alias("image_list"))
+
+
+#: Selectors beyond child and descendant steps, and what SQL over the node table takes for each.
+_AXES = {
+    "title": "//li[last()]/a/@href", "brand": "//ul/li[position()<3]/a/text()", "color": "//a[not(@class)]/@href",
+    "price": "//h1/following-sibling::p[1]/text()", "size": "(//a)[1]/@href", "productid": "//li/..//a[text()][last()]/text()",
+    "description": "//p[b]/b/text() | //h1[count(../p) > 1]/text()", "category": "//article/p[position()=last()]/text()",
+}
+_AXES_SQL = """
+n as materialized (select * from ({nodes}) w),
+e as (
+ select *, row_number() over (partition by page_id, parent_no, tag order by ord) as nth,
+  count(*) over (partition by page_id, parent_no, tag) as many, row_number() over (partition by page_id, tag order by ord) as over_all
+ from n where kind = 'elem'),
+t as (select * from n where kind = 'text'),
+href as (select *, regexp_extract(attrs, '"href":"([^"]*)"', 1) as href from e where attrs like '%"href":"%'),
+taken as (
+ select a.page_id, 'title' as field, a.ord, a.href as v from href a join e l on l.page_id = a.page_id and l.node_no = a.parent_no
+  where a.tag = 'a' and l.tag = 'li' and l.nth = l.many
+ union all select t.page_id, 'brand', t.ord, t.text from t join e a on a.page_id = t.page_id and a.node_no = t.parent_no and a.tag = 'a'
+  join e l on l.page_id = a.page_id and l.node_no = a.parent_no and l.tag = 'li' and l.nth < 3
+  join e u on u.page_id = l.page_id and u.node_no = l.parent_no and u.tag = 'ul'
+ union all select page_id, 'color', ord, href from href where tag = 'a' and attrs not like '%"class":"%'
+ union all select t.page_id, 'price', t.ord, t.text from t join e p on p.page_id = t.page_id and p.node_no = t.parent_no and p.tag = 'p'
+  where exists (select 1 from e h where h.page_id = p.page_id and h.parent_no = p.parent_no and h.tag = 'h1' and h.ord < p.ord
+   and not exists (select 1 from e q where q.page_id = p.page_id and q.parent_no = p.parent_no and q.tag = 'p' and q.ord > h.ord and q.ord < p.ord))
+ union all select page_id, 'size', ord, href from href where tag = 'a' and over_all = 1
+ union all select t.page_id, 'productid', t.ord, t.text from t join (
+   select a.*, row_number() over (partition by a.page_id, a.parent_no order by a.ord desc) as back
+   from e a where a.tag = 'a' and exists (select 1 from t s where s.page_id = a.page_id and s.parent_no = a.node_no)) a
+  on a.page_id = t.page_id and a.node_no = t.parent_no and a.back = 1
+  where exists (select 1 from up where up.page_id = a.page_id and up.node_no = a.node_no and up.above in (
+   select l.parent_no from e l where l.page_id = a.page_id and l.tag = 'li'))
+ union all select t.page_id, 'description', t.ord, t.text from t join e b on b.page_id = t.page_id and b.node_no = t.parent_no and b.tag = 'b'
+  join e p on p.page_id = b.page_id and p.node_no = b.parent_no and p.tag = 'p'
+ union all select t.page_id, 'description', t.ord, t.text from t join e h on h.page_id = t.page_id and h.node_no = t.parent_no and h.tag = 'h1'
+  where (select count(*) from e p where p.page_id = h.page_id and p.parent_no = h.parent_no and p.tag = 'p') > 1
+ union all select t.page_id, 'category', t.ord, t.text from t join e p on p.page_id = t.page_id and p.node_no = t.parent_no
+  join e a on a.page_id = p.page_id and a.node_no = p.parent_no and a.tag = 'article'
+  where p.tag = 'p' and p.nth = p.many)
+select page_id, field, count(*) as n, string_agg({value}, ' ' order by ord) as taken from taken group by page_id, field"""
+
+
+def _axes_oracle():
+    """The node table's SQL with the selectors' parts behind it, as one statement."""
+    walk, last = _NODE_WALK.rsplit("\nselect w.page_id, w.i as ord", 1)
+    nodes = "select w.page_id, w.i as ord" + last
+    parts = _AXES_SQL.format(nodes=nodes, value=fx.unescape("v"))
+    up = "up(page_id, node_no, above) as (select page_id, node_no, parent_no from n where kind = 'elem' union all " \
+         "select up.page_id, up.node_no, n.parent_no from up join n on n.kind = 'elem' and n.page_id = up.page_id and n.node_no = up.above)"
+    head, rest = parts.split("e as (", 1)
+    return f"{walk},{head}{up},\ne as ({rest}"
+
+
+@query("rule_axes", _axes_oracle())
+def rule_axes(spark, d):
+    """What selectors with axes, positions from the end, groups and conditions on children take from every page."""
+    rules = spark.createDataFrame([(1, f"{field}_xpath", selector) for field, selector in _AXES.items()],
+                                  "seed_id bigint, field string, selector string")
+    pages = fx.fx_pages(spark, d).withColumn("seed_id", F.lit(1).cast("bigint"))
+    ruled = R.parse_for_rules(R.with_rules(pages, R.seed_rules(rules)), ("page_id", "rules"))
+    found = R.selected(ruled, [f"{field}_xpath" for field in _AXES])
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), R.matches(f"{f}_xpath").alias("m")) for f in _AXES)))
+    return found.select("page_id", each.alias("f")).filter("size(f.m) > 0").select(
+        "page_id", "f.field", F.size("f.m").cast("bigint").alias("n"), F.array_join("f.m", " ").alias("taken"))
 
 
 # Some pages lose their images, some their prices.

@@ -149,12 +149,48 @@ def test_dated_images_need_no_shuffle(spark):
 def test_selectors():
     for good in ("//title/text()", "/html/body//p[2]/text()", "//div[@class='a']//img/@src", "//*[contains(@id, \"x\")]/@href",
                  "//a/@href | //area/@href", "//article//text()", "//a[2][@rel='x' and starts-with(@id, \"y]\")]/@href",
-                 "//*[@role='a' or contains(@class,'b') and @type='c'][@id='d']/text()"):
-        assert compile_selector(good)[2] is None, good
-    for bad in ("//div", "title", "//div[last()]/text()", "//p[@style='x']/text()", "//a/@href | //b/text()",
-                "//div[@class='a'][2]/text()", "//following::p/text()", "", "//p[@id='a' and]/text()",
-                "//p[@id='a')]/text()", "//p[contains(@id,'a']/text()", "//p[@id='a' xor @id='b']/text()"):
-        assert compile_selector(bad)[2], bad
+                 "//*[@role='a' or contains(@class,'b') and @type='c'][@id='d']/text()", "//div[last()]/text()",
+                 "//p[@style='x']/text()", "//a/@href | //b/text()", "//div[@class='a'][2]/text()", "(//a)[1]/@href", "(//a/@href)[last()]",
+                 "//h1/following-sibling::p[1]/text()", "//b/../@id", "//li[not(@class) and a[@href]]/text()", "//a[text()='x']/@data-src"):
+        assert compile_selector(good)[1] is None, good
+    for bad in ("//div", "title", "//following::p/text()", "", "//p[@id='a' and]/text()", "//p[@id='a')]/text()",
+                "//p[contains(@id,'a']/text()", "//p[@id='a' xor @id='b']/text()", "//p[lang('de')]/text()", "//p[contains(@id)]/text()",
+                "//@id/text()", "(//a/@href | //b/@src)[1]", "//p[", "//text()/b/text()", "//p/text() x"):
+        assert compile_selector(bad)[1], bad
+
+
+def found_by(spark, html, selectors):
+    """What each selector takes from a page."""
+    seeds = spark.createDataFrame([(i, s) for i, s in enumerate(selectors)], "id bigint, title_xpath string")
+    assert R.rejected_rules(R.rules_from_seeds(seeds)).collect() == []
+    parsed = R.parse_for_rules(pages(spark, *[html] * len(selectors)).withColumn("seed_id", F.col("page_id")), ("page_id", "url", "seed_id"))
+    ruled = R.with_rules(parsed, R.seed_rules(R.rules_from_seeds(seeds)))
+    rows = R.selected(ruled, ["title_xpath"]).select("page_id", R.matches("title_xpath").alias("m")).orderBy("page_id").collect()
+    return dict(zip(selectors, (r.m for r in rows)))
+
+
+def test_axes_and_predicates(spark):
+    html = ("<html><body><h1 id=t>T<b>x</b></h1><p>1</p><p class=k>2 &amp; 3</p><ul id=u><li class=a><a href=l1>one</a></li>"
+            "<li><a href=l2 rel=n>two</a><i>i</i></li><li>three<ul><li>deep</li></ul></li></ul><div><p>4</p></div><p> 5 </p></body></html>")
+    want = {
+        "//li[last()]/text()": ["three", "deep"], "//ul/li[position()<3]/a/text()": ["one", "two"], "//p[@class]/text()": ["2 & 3"],
+        "//p[not(@class)]/text()": ["1", "4", " 5 "], "//li[i]/a/@href": ["l2"], "//b/../@id": ["t"], "//a[text()='two']/@href": ["l2"],
+        "//h1/following-sibling::p[1]/text()": ["1"], "//h1/following-sibling::p[last()]/text()": [" 5 "], "(//a)[1]/@href": ["l1"],
+        "(//p)[last()]/text()": [" 5 "], "(//a/@href)[2]": ["l2"], "//li[@class='a' or a/@rel]/a/text()": ["one", "two"],
+        "//ul[@id='u']/li[2]/*[1]/text()": ["two"], "//div/preceding-sibling::p[1]/text()": ["2 & 3"], "//i/ancestor::ul/@id": ["u"],
+        "//p[.='2 & 3']/@class": ["k"], "//h1[contains(., 'Tx')]/@id": ["t"], "//p[normalize-space()='5']/text()": [" 5 "],
+        "//li[count(a)=0]/text()": ["three", "deep"], "//ul//li[last()-1]/a/@href": ["l2"], "//body/*[3]/@class": ["k"],
+        "//a/@href | //b/text()": ["x", "l1", "l2"], "//li/a/@*": ["l1", "l2", "n"], "//descendant::li[4]/text()": ["deep"],
+        "//p[position()=2 and @class]/text()": ["2 & 3"], "//p[2][@class]/text()": ["2 & 3"], "//p[@class][2]/text()": [],
+        "//li//text()": ["one", "two", "i", "three", "deep"], "//li[.//i]/a/@rel": ["n"], "/html/body/div/p/text()": ["4"],
+    }
+    assert found_by(spark, html, list(want)) == want
+
+
+def test_selectors_reach_any_depth(spark):
+    html = "<div>" * 2000 + "<p id=x>deep</p>" + "</div>" * 2000
+    assert found_by(spark, html, ["//p/text()", "//div/p/@id", "//div[p]/p/text()"]) == {
+        "//p/text()": ["deep"], "//div/p/@id": ["x"], "//div[p]/p/text()": ["deep"]}
 
 
 def test_extract_fields(spark):

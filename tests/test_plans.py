@@ -182,13 +182,43 @@ def test_product_walk(spark):
     assert got["productphotopagerelation"].count() == got["productpageseedrelation"].count() == 1
 
 
-def test_link_nodes_keep_what_any_rule_takes(spark):
-    from weblake.plans.expand import link_nodes
-    pages, _ = tables(spark, {"http://s/": "<p class=k>t<a class=c href=x title=y>u</a></p>", "http://s/none": "<p>t</p>"}, (1, "x"))
-    got = link_nodes(pages, ["href"]).collect()
-    assert [(r.url, [(n.kind, n.attrs, n.text) for n in r.nodes]) for r in got] == [("http://s/", [("elem", {"href": "x"}, None)])]
-    got = {r.url: [n.text for n in r.nodes] for r in link_nodes(pages, ["", "href"]).collect()}
-    assert got == {"http://s/": ["t", None, "u"], "http://s/none": ["t"]}
+def test_a_stopped_walk_goes_on(spark):
+    """Stopped after any level, or cut off within one, and resumed, a walk gives what it gives in one go."""
+    links = {f"http://s/{i}": "".join(f'<a href="/{j}">x</a>' for j in (2 * i + 1, 2 * i + 2) if j < 15) for i in range(15)}
+    pages, seeds = tables(spark, links, (1, "http://s/0"))
+    rows = lambda crawl: sorted((r.url, r.depth, r.seed_id) for r in crawl.collect())
+    go = lambda folder, **how: expand(spark, read_seeds(seeds), pages, how.pop("config", HarvestConfig.blog(scope="none")), folder, **how)
+    want = rows(go(work_dir(spark, "t")))
+    assert len(want) == 15
+    for stop in (1, 2, 3):
+        folder = work_dir(spark, "t")
+        assert max(d for _, d, _ in rows(go(folder, levels=stop))) == stop
+        spark.range(3).write.parquet(f"{folder}/crawl/level={stop + 1}/part")  # what a lost driver may leave: no mark
+        assert rows(go(folder, resume=True, levels=1)) and rows(go(folder, resume=True)) == want
+        assert rows(go(folder, resume=True)) == want  # a finished walk stays as it is
+    dropped = rows(go(folder, resume=True, config=HarvestConfig.blog(scope="none", init_level=1)))
+    assert dropped == want  # the frontier is gone, all is visited
+    assert rows(go(folder, resume=True, config=HarvestConfig.blog(scope="none", init_level=2), levels=2)) == [r for r in want if r[1] <= 2]
+
+
+def test_pages_move_only_if_they_are_reached(spark):
+    """With a crawl too large to broadcast, the page scan is filtered by a Bloom filter before its exchange."""
+    from weblake.plans.harvest import blog_pages
+    folder = work_dir(spark, "t")
+    spark.range(2000).selectExpr("id as page_id", "concat('http://s/', id) as url", "repeat('<p>x</p>', 200) as html").write.parquet(f"{folder}/pages")
+    spark.range(50).selectExpr("concat('http://s/', id) as url", "sha1(concat('http://s/', id)) as url_sha1", "1L as seed_id", "1 as level", "id as ord").write.parquet(f"{folder}/crawl")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+            "spark.sql.optimizer.runtime.bloomFilter.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = blog_pages(spark.read.parquet(f"{folder}/crawl"), spark.read.parquet(f"{folder}/pages"))
+        assert "might_contain" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert found.count() == 50
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_reach_equals_breadth_first_search(spark):

@@ -25,12 +25,12 @@ def tokens(pages: DataFrame) -> DataFrame:
                     H.token_tag(F.col("token")).alias("tag"), "token"))
 
 
-def parse(pages: DataFrame, keep=("page_id", "url"), path_attrs=()) -> DataFrame:
+def parse(pages: DataFrame, keep=("page_id", "url"), path_attrs=None) -> DataFrame:
     """One row per page with its ``nodes`` array in document order.
 
     The array stays with its page, so what follows (text, dates, images, rule fields) is a
     projection: no shuffle and no re-grouping by page. ``path_attrs`` name the attributes that the
-    node paths carry; only rules need them.
+    node paths carry; without them there are no paths.
     """
     shredded = pages.select(*keep, H.tokens(F.col("html")).alias("tokens"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shredded.schema.fields[:-1])

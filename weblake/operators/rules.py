@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weblake.config import PRODUCT_DETAIL, PRODUCT_LIST
 from weblake.functions import selectors, urls as U
-from weblake.functions.text import decode_all, first_nonempty, first_quoted, let, ordered_distinct, trim_space
+from weblake.functions.text import decode_all, first_nonempty, first_quoted, ordered_distinct, trim_space
+from weblake.operators import selection
 from weblake.operators.links import canonicalize, filter_links
 from weblake.operators.nodes import parse
 
+# Workers get the selectors with the task, so the package need not be installed on them.
 cloudpickle.register_pickle_by_value(selectors)
+cloudpickle.register_pickle_by_value(selection)
 
 # The per-seed settings that go into the rule table.
 RULE_FIELDS = (
@@ -35,34 +40,30 @@ def rules_from_seeds(seeds: DataFrame) -> DataFrame:
             .unpivot("seed_id", present, "field", "selector").filter(F.col("selector").isNotNull()))
 
 
-def compiled(rules: DataFrame) -> DataFrame:
-    """rules plus attribute, pattern and error of each selector."""
-    def run(batches):
-        for batch in batches:
-            done = [selectors.compile_selector(s) for s in batch["selector"]]
-            yield pd.concat([batch, pd.DataFrame(done, columns=["attribute", "pattern", "error"],
-                                                 index=batch.index, dtype="object")], axis=1)
+def _checked(rules: DataFrame) -> DataFrame:
+    """The selectors among ``rules`` with an error where one is not understood."""
+    @F.pandas_udf("string")
+    def problem(found: pd.Series) -> pd.Series:
+        return pd.Series([selectors.compile_selector(s)[1] for s in found], dtype="object")
 
     wanted = rules.filter(F.col("field").endswith("_xpath") & (F.col("selector") != ""))
-    return wanted.select("seed_id", "field", "selector").mapInPandas(
-        run, "seed_id bigint, field string, selector string, attribute string, pattern string, error string")
+    return wanted.select("seed_id", "field", "selector", problem("selector").alias("error"))
 
 
 def rejected_rules(rules: DataFrame) -> DataFrame:
-    """Selectors outside the supported subset, with their seed and the reason."""
-    return compiled(rules).filter(F.col("error").isNotNull()).select("seed_id", "field", "selector", "error")
+    """Selectors that are not understood, with their seed and the reason."""
+    return _checked(rules).filter(F.col("error").isNotNull())
 
 
 def seed_rules(rules: DataFrame) -> DataFrame:
-    """One row per seed: rules map<field, struct<attribute, pattern>>."""
-    return (compiled(rules).filter(F.col("pattern").isNotNull()).groupBy("seed_id")
-            .agg(F.map_from_entries(F.collect_list(
-                F.struct("field", F.struct("attribute", "pattern")))).alias("rules")))
+    """One row per seed: rules map<field, selector>, of the selectors that are understood."""
+    return (_checked(rules).filter(F.col("error").isNull()).groupBy("seed_id")
+            .agg(F.map_from_entries(F.collect_list(F.struct("field", "selector"))).alias("rules")))
 
 
 def parse_for_rules(pages: DataFrame, keep) -> DataFrame:
-    """Parse pages with the attributes that selectors may test in the node paths."""
-    return parse(pages, keep, selectors.PATH_ATTRS)
+    """Pages with the ``nodes`` that :func:`selected` asks for."""
+    return parse(pages, keep)
 
 
 def with_rules(items: DataFrame, by_seed: DataFrame) -> DataFrame:
@@ -74,16 +75,30 @@ def with_rules(items: DataFrame, by_seed: DataFrame) -> DataFrame:
     return items.join(by_seed, "seed_id", "left")
 
 
-def matches(field: str) -> Column:
-    """What the selector of a field takes from a page (columns ``nodes``, ``rules``), in document order.
+def selected(ruled: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Pages (``nodes``, ``rules``) with ``found`` map<field, array<string>> in their place: what the selector of
+    each of ``fields`` takes, in document order.
 
-    All nodes of a page meet the same pattern in a row, so it is compiled once per page and field.
+    A page's elements become number arrays once and all its rules run on them, a step for all its nodes
+    at a time. Pages without rules find nothing. Nothing is shuffled.
     """
-    found = let(F.expr(f"try_element_at(rules, '{field}')"), """rule -> transform(
-      filter(nodes, n -> case rule.attribute when '' then n.kind = 'text'
-        else try_element_at(n.attrs, rule.attribute) is not null end
-        and regexp_extract(n.path, rule.pattern, 0) <> ''),
-      n -> case rule.attribute when '' then n.text else try_element_at(n.attrs, rule.attribute) end)""")
+    kept = [c for c in ruled.columns if c not in ("nodes", "rules", "found")]
+    schema = ", ".join(f"`{c}` {ruled.schema[c].dataType.simpleString()}" for c in kept)
+    fields = list(fields)
+
+    def run(batches):
+        return selection.found_arrays(batches, fields)
+
+    wanted = F.array(*(F.try_element_at("rules", F.lit(f)) for f in fields))
+    cut = F.expr("transform(nodes, n -> named_struct('ord', n.ord, 'elem', n.kind = 'elem', 'parent_no', n.parent_no, 'tag', n.tag, "
+                 "'attrs', n.attrs, 'text', case when n.kind = 'text' then n.text end))")
+    rows = ruled.select(*(F.col(f"`{c}`") for c in kept), wanted.alias("wanted"), cut.alias("nodes"))
+    return rows.mapInArrow(run, ", ".join([*filter(None, [schema]), "found map<string, array<string>>"]))
+
+
+def matches(field: str) -> Column:
+    """What the selector of a field takes from a page (column ``found`` of :func:`selected`), decoded."""
+    found = F.expr(f"try_element_at(found, '{field}')")
     return F.coalesce(decode_all(found), F.array().cast("array<string>"))
 
 
@@ -103,7 +118,7 @@ def extract_fields(ruled: DataFrame) -> DataFrame:
     """Product fields of detail pages (pages with ``nodes`` and ``rules``): a projection, no shuffle."""
     wanted = {**TEXT_FIELDS, "_main": "mainimageurl_xpath", "_images": "imageurl_xpath"}
     kept = [c for c in ruled.columns if c not in ("nodes", "rules")]
-    found = ruled.select(*kept, F.explode(F.array(F.struct(*(
+    found = selected(ruled, list(wanted.values())).select(*kept, F.explode(F.array(F.struct(*(
         matches(field).alias(name) for name, field in wanted.items())))).alias("m"))
     return found.select(
         *kept,
@@ -124,7 +139,8 @@ def extract_list_links(ruled: DataFrame, deny_extensions=None, deny_hosts=None)
             i.alias("pos"), v.alias("href")))
 
     found = F.concat(tagged("detailurl_xpath", PRODUCT_DETAIL, 0), tagged("nextpage_xpath", PRODUCT_LIST, 1))
-    rows = ruled.select(*kept, F.explode(found).alias("l")).select(*kept, "l.*")
+    picked = selected(ruled, ["detailurl_xpath", "nextpage_xpath"])
+    rows = picked.select(*kept, F.explode(found).alias("l")).select(*kept, "l.*")
     lists = {k: v for k, v in (("deny_extensions", deny_extensions), ("deny_hosts", deny_hosts))
              if v is not None}
     return filter_links(canonicalize(rows, blog=False), **lists)

@@ -32,12 +32,12 @@ IMPLIED_END = {
         "article", "section", "nav", "footer", "header", "aside", *_HEADINGS)},
 }
 
-# Paths of elements below this depth end in DEEP, which no selector takes: they stay short on broken pages.
+# Paths are for readers of the node table; below this depth they end in DEEP, so that they stay short on broken pages.
 PATH_DEPTH = 256
 DEEP = "/!"
 # Class or id of a block that holds reader comments contains one of these.
 COMMENT_WORDS = ("comment", "feedback")
-# An output batch is closed after this many nodes or characters of paths.
+# An output batch is closed after this many nodes or characters of paths or texts.
 BATCH_NODES, BATCH_CHARS = 20_000, 16_000_000
 
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
@@ -72,7 +72,7 @@ def page_rows(tokens, path_attrs):
     """Rows [ord, kind, node_no, parent_no, depth, tag, attrs, text, path, in_comment] in document order.
 
     ``text`` of a text row is that text node; of an element row, all its own text nodes joined.
-    ``in_comment`` looks at the elements around a node, not at the node itself.
+    Without ``path_attrs`` there are no paths. ``in_comment`` looks at the elements around a node, not at the node itself.
     """
     rows, own_text = [], {}
     stack = []  # (node_no, tag, path, {tag: count of children}, [count of children], comment block)
@@ -89,7 +89,8 @@ def page_rows(tokens, path_attrs):
                              owner[2], owner[5]])
                 own_text.setdefault(owner[0], []).append(token)
             elif token.strip():  # outside all elements: text of the body that the page leaves out
-                rows.append([position, "text", -1, -1, 1, "body", None, token, "/body[1,1]", False])
+                rows.append([position, "text", -1, -1, 1, "body", None, token,
+                             None if path_attrs is None else "/body[1,1]", False])
             continue
         match = _NAME.match(token)
         tag = match.group(1).lower()
@@ -115,8 +116,10 @@ def page_rows(tokens, path_attrs):
             head, content = token[:cut], token[cut:]
             content = re.sub(rf"(?i)</{tag}\s*>$", "", content)
         attrs, closes = _attributes(head, match.end())
-        path = stack[-1][2] if stack else ""
-        if len(stack) < PATH_DEPTH:
+        path = None if path_attrs is None else stack[-1][2] if stack else ""
+        if path is None:
+            pass
+        elif len(stack) < PATH_DEPTH:
             path += f"/{tag}[{by_tag[tag]},{total[0]}]" + "".join(
                 f'@{a}="{attrs[a].translate(_ESCAPE)}"' for a in path_attrs if a in attrs)
         elif len(stack) == PATH_DEPTH:
@@ -186,7 +189,7 @@ def node_arrays(batches, path_attrs):
             page = page_rows(tokens[i].as_py() or (), path_attrs)
             pages.append(page)
             nodes += len(page)
-            chars += sum(len(row[8]) for row in page)
+            chars += sum(len(row[8] or row[7] or "") for row in page)
             if nodes >= BATCH_NODES or chars >= BATCH_CHARS:
                 yield _batch(head, done, pages)
                 done, pages, nodes, chars = i + 1, [], 0, 0

@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weblake.config import HarvestConfig, PRODUCT_LIST
-from weblake.functions.urls import strip_slash, url_sha1
+from weblake.functions.urls import url_sha1
 from weblake.operators.frontier import first_seen, in_order, unseen
 from weblake.operators.links import below_depth, canonicalize, filter_links, links, scope_test
 from weblake.operators.rules import extract_list_links, parse_for_rules, rejected_rules, seed_rules, with_rules
+from weblake.sources.state import load_state
+from weblake.sources.versions import listed, put_mark, remove
 
 ITEM_DDL = ("url string, url_sha1 string, seed_id bigint, seed_url string, depth int, pagetype int, "
             "category string, category_1 string, ord bigint")
@@ -18,8 +20,11 @@ _ITEM = [part.split()[0] for part in ITEM_DDL.split(", ")]
 
 
 def page_key(url: Column, blog: bool) -> Column:
-    """Key under which a frontier item finds its page; blog links carry no trailing "/"."""
-    return url_sha1(strip_slash(url) if blog else url)
+    """Key under which a frontier item finds its page; blog links carry no trailing "/".
+
+    Without a regular expression, as Spark filters a scan by the keys of a join only where they are cheap.
+    """
+    return url_sha1(F.when(url.endswith("/"), F.left(url, F.length(url) - 1)).otherwise(url) if blog else url)
 
 
 def blog_edges(pages: DataFrame, config: HarvestConfig) -> DataFrame:
@@ -30,25 +35,6 @@ def blog_edges(pages: DataFrame, config: HarvestConfig) -> DataFrame:
     return found.select("page_key", "pos", "link", url_sha1(F.col("link")).alias("link_sha1"))
 
 
-def link_attributes(by_seed: DataFrame) -> list[str]:
-    """Names of the attributes that link rules take ("" for text): a handful, whatever the number of seeds."""
-    rule = F.explode(F.array(*(F.try_element_at("rules", F.lit(f)) for f in ("detailurl_xpath", "nextpage_xpath"))))
-    names = by_seed.select(rule.alias("r")).select("r.attribute").filter(F.col("attribute").isNotNull()).distinct()
-    return sorted(row.attribute for row in names.collect())
-
-
-def link_nodes(pages: DataFrame, taken: list[str]) -> DataFrame:
-    """page_key, url and the nodes that some link rule may take, cut to what the rules look at."""
-    keyed = pages.withColumn("page_key", page_key(F.col("url"), False))
-    names = ", ".join(f"'{name}'" for name in taken)
-    cut = F.expr(f"""transform(filter(nodes, n -> case when n.kind = 'text' then array_contains(array({names}), '')
-        else exists(map_keys(n.attrs), k -> k in ({names})) end),
-      n -> named_struct('kind', n.kind, 'attrs', map_filter(n.attrs, (k, v) -> k in ({names})),
-        'text', case when n.kind = 'text' then n.text end, 'path', n.path))""")
-    parsed = parse_for_rules(keyed, ("page_key", "url")).select("page_key", "url", F.explode(F.array(cut)).alias("nodes"))
-    return parsed.filter(F.size("nodes") > 0)
-
-
 def bucket_count(spark: SparkSession, df: DataFrame, bucket_bytes: int = 128 << 20) -> int:
     """Buckets for a table derived from ``df``: the session's partitions, more where the files that ``df``
     reads need them, as bucketed scans are not split.
@@ -96,18 +82,37 @@ class Expansion:
 
     def _bucketed(self, name: str, df: DataFrame, key: str) -> DataFrame:
         """A table that every level joins on ``key``: shuffled here once, and not again per level."""
-        table = f"weblake_{name}_{uuid.uuid4().hex}"
+        name = f"{name}-{uuid.uuid4().hex}"
+        table = f"weblake_{name.replace('-', '_')}"
         (df.repartition(self.buckets, key).write.bucketBy(self.buckets, key).option("path", f"{self.folder}/{name}")
          .saveAsTable(table))
         self.tables.append(table)
         return self.spark.table(table)
 
     def _level(self, number: int, items: DataFrame) -> DataFrame:
-        return self._table(f"crawl/level={number}", items.select(*_ITEM))
+        """Write a level, then its mark: a level without one was cut off and is written anew."""
+        items = self._table(f"crawl/level={number}", items.select(*_ITEM))
+        put_mark(self.spark, f"{self.folder}/marks/{number}")
+        return items
+
+    def last_level(self) -> int:
+        """Number of the last level that was written whole; 0: none."""
+        return max((int(path.rsplit("/", 1)[1]) for path in listed(self.spark, f"{self.folder}/marks/*")), default=0)
+
+    def _kept(self) -> tuple[int, DataFrame, DataFrame]:
+        """Last level, its items, and the keys of the items before them, as far as ``config.init_level`` keeps them."""
+        number = self.last_level()
+        whole = self.crawled()
+        state = load_state({"frontier": whole.filter(F.col("level") == number).select(*_ITEM),
+                            "visited": whole.select("url_sha1", "level")}, self.config)
+        if self.config.init_level == 0:
+            state["visited"] = state["visited"].filter(F.col("level") < number)
+        return number, state["frontier"], state["visited"]
 
     def crawled(self) -> DataFrame:
-        """All items reached so far."""
-        return self.spark.read.schema(f"{ITEM_DDL}, level int").parquet(f"{self.folder}/crawl")
+        """All items reached so far, of levels that are whole."""
+        found = self.spark.read.schema(f"{ITEM_DDL}, level int").parquet(f"{self.folder}/crawl")
+        return found.filter(F.col("level") <= self.last_level())
 
     def _follow_edges(self, items: DataFrame, edges: DataFrame) -> DataFrame:
         keyed = items.withColumn("page_key", page_key(F.col("url"), True))
@@ -118,26 +123,34 @@ class Expansion:
             (F.col("depth") + 1).alias("depth"), "pagetype", "category", "category_1",
             F.col("ord").alias("parent_ord"), F.lit(0).alias("priority"), "pos")
 
-    def _follow_rules(self, items: DataFrame, parsed: DataFrame, by_seed: DataFrame) -> DataFrame:
-        lists = items.filter(F.col("pagetype") == PRODUCT_LIST).withColumn("page_key", page_key(F.col("url"), False))
-        pages = with_rules(lists.drop("url", "url_sha1"), by_seed).join(parsed, "page_key")
-        found = extract_list_links(pages, self.config.deny_extensions, self.config.deny_hosts)
+    def _follow_rules(self, lists: DataFrame, pages: DataFrame, by_seed: DataFrame) -> DataFrame:
+        """Links of the list pages among a level's items. Only their html is parsed: the items, narrow and of
+        known size, meet the page scan as a broadcast or, where they are too many, behind a Bloom filter
+        that Spark sends to the scan before anything is shuffled."""
+        lists = lists.withColumn("page_key", page_key(F.col("url"), False)).drop("url", "url_sha1")
+        fetched = pages.select(page_key(F.col("url"), False).alias("page_key"), "url", "html").join(with_rules(lists, by_seed), "page_key")
+        kept = [c for c in fetched.columns if c not in ("html", "page_key")]
+        found = extract_list_links(parse_for_rules(fetched, kept), self.config.deny_extensions, self.config.deny_hosts)
         return found.select(
             F.col("link").alias("url"), url_sha1(F.col("link")).alias("url_sha1"), "seed_id", "seed_url",
             (F.col("depth") + 1).alias("depth"), "pagetype", "category", "category_1",
             F.col("ord").alias("parent_ord"), "priority", "pos")
 
     def run(self, seeds: DataFrame, pages: DataFrame, rules: DataFrame | None = None,
-            visited: DataFrame | None = None) -> DataFrame:
+            visited: DataFrame | None = None, resume: bool = False, levels: int | None = None) -> DataFrame:
         """Walk from ``seeds`` (of ``read_seeds``); ``visited`` holds the keys of earlier harvests.
 
+        ``levels`` is how many levels this run writes at most. With ``resume`` a walk that was stopped, or whose driver
+        was lost, goes on in its folder: at start level 0 from the last whole level, at 1 from the seeds with
+        what was visited kept, at 2 and 3 from nothing. Give it the same pages, rules and ``visited``.
+
         Rules whose selector is not understood are written to ``rejected_rules`` in the work folder, with
         ``walks`` false where their seed is left without a link rule.
         """
         self.buckets = bucket_count(self.spark, pages)
-        self.seen = KeyLog(self.spark, f"{self.folder}/seen", "url_sha1", self.buckets)
+        self.seen = KeyLog(self.spark, f"{self.folder}/seen-{uuid.uuid4().hex}", "url_sha1", self.buckets)
         try:
-            return self._walk(seeds, pages, rules, visited)
+            return self._walk(seeds, pages, rules, visited, resume, levels)
         finally:
             self.seen.close()
             for table in self.tables:  # the entries only; the files stay in the folder
@@ -148,22 +161,37 @@ class Expansion:
         rejected = rejected_rules(rules).join(walks, "seed_id", "left")
         self._table("rejected_rules", rejected.withColumn("walks", F.coalesce("_walks", F.lit(False))).drop("_walks"))
 
-    def _walk(self, seeds, pages, rules, visited):
+    def _walk(self, seeds, pages, rules, visited, resume, levels):
         if self.blog:
             edges = self._bucketed("edges", blog_edges(pages, self.config), "page_key")
         else:
             by_seed = self._table("rules", seed_rules(rules))
             self._reject(rules, by_seed)
-            taken = link_attributes(by_seed) or ["href"]
-            parsed = self._bucketed("parsed", link_nodes(pages, taken), "page_key")
-        start = seeds if visited is None else unseen(seeds, visited)
-        number = 1
-        items = self._level(number, first_seen(start.withColumn("ord", F.col("seed_id")), ["url_sha1"], ["ord"]))
-        while not items.isEmpty():
+        number, keep = self.last_level() if resume else 0, self.config.init_level
+        if number and keep in (2, 3):
+            remove(self.spark, f"{self.folder}/crawl", f"{self.folder}/marks")
+            number = 0
+        done = number
+        if number:
+            number, items, earlier = self._kept()
+            self.seen.add(earlier)
+        if not number or keep == 1:
+            start = seeds if visited is None else unseen(seeds, visited)
+            start = first_seen(start.withColumn("ord", F.col("seed_id")), ["url_sha1"], ["ord"])
+            number += 1
+            items = self._level(number, start if number == 1 else unseen(start, self.seen.keys()))
+        last = None if levels is None else done + levels
+        while number != last and not items.isEmpty():
             self.seen.add(items)
             open_items = below_depth(items, self.config.depth_limit)
-            found = (self._follow_edges(open_items, edges) if self.blog
-                     else self._follow_rules(open_items, parsed, by_seed))
+            if self.blog:
+                found = self._follow_edges(open_items, edges)
+            else:
+                lists = open_items.filter(F.col("pagetype") == PRODUCT_LIST)
+                if lists.isEmpty():
+                    items = self._level(number + 1, items.limit(0))
+                    break
+                found = self._follow_rules(lists, pages, by_seed)
             new = unseen(first_seen(found, ["url_sha1"], ["parent_ord", "priority", "pos"]), self.seen.keys())
             if visited is not None:
                 new = unseen(new, visited)
@@ -173,9 +201,10 @@ class Expansion:
 
 
 def expand(spark: SparkSession, seeds: DataFrame, pages: DataFrame, config: HarvestConfig, folder: str,
-           rules: DataFrame | None = None, visited: DataFrame | None = None) -> DataFrame:
-    """Every item the harvest reaches, each with the depth and seed of its first sighting."""
-    return Expansion(spark, config, folder).run(seeds, pages, rules, visited)
+           rules: DataFrame | None = None, visited: DataFrame | None = None, resume: bool = False,
+           levels: int | None = None) -> DataFrame:
+    """Every item the harvest reaches, each with the depth and seed of its first sighting. See :meth:`Expansion.run`."""
+    return Expansion(spark, config, folder).run(seeds, pages, rules, visited, resume, levels)
 
 
 def reach(spark: SparkSession, starts: DataFrame, edges: DataFrame, depth_limit: int | None, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,7 +29,8 @@ MERGES = {
 
 
 def _fetched(crawl: DataFrame, pages: DataFrame, blog: bool, columns) -> DataFrame:
-    keyed = crawl.select(page_key(F.col("url"), blog).alias("page_key"), *columns)
+    # The test of the URL, which no item fails, lets Spark send a Bloom filter of the keys to the page scan.
+    keyed = crawl.filter(F.col("url") != "").select(page_key(F.col("url"), blog).alias("page_key"), *columns)
     return pages.withColumn("page_key", page_key(F.col("url"), blog)).join(keyed, "page_key").drop("page_key")
 
 
@@ -62,7 +64,7 @@ def blog_tables(extracted: DataFrame, sizes: DataFrame | None = None, mode: str
 
     ``sizes(photo_sha1, width, height)`` switches the gate on.
     """
-    at = (F.current_timestamp() if at is None else at).alias("ts")
+    at = (F.lit(datetime.now(timezone.utc)) if at is None else at).alias("ts")  # one time for all tables, however often they are written
     dated = I.dated_images(extracted, F.col("images"), F.col("dates"), ("page_id", "url", "pageurlhash", "level", "ord"))
     photos = I.first_page_of_image(dated, ["level", "ord", "page_id", "node_no"], mode)  # in crawl order
     if sizes is not None:
@@ -113,7 +115,7 @@ def not_stored(crawl: DataFrame, pages: DataFrame, blog: bool) -> DataFrame:
 def product_tables(extracted: DataFrame, at: Column | None = None) -> dict[str, DataFrame]:
     """Product tables as input of :func:`merged`, for a harvest at time ``at`` (now, if not given), and
     the items to retry, ready for ``requeue``."""
-    at = (F.current_timestamp() if at is None else at).alias("ts")
+    at = (F.lit(datetime.now(timezone.utc)) if at is None else at).alias("ts")  # one time for all tables, however often they are written
     order = (at, "level", "ord", "page_id")
     stored = extracted.filter(F.col("outcome") == "store")
     photo = url_sha1(F.col("mainimageurl"))

@@ -7,14 +7,32 @@ from pyspark.sql import DataFrame, SparkSession
 _READY = "_READY"
 
 
-def _folders(spark: SparkSession, pattern: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return [status.getPath().toString() for status in found or ()]
+def _place(spark: SparkSession, path: str):
+    """A path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a pattern."""
+    path, files = _place(spark, pattern)
+    return [status.getPath().toString() for status in files.globStatus(path) or ()]
+
+
+def put_mark(spark: SparkSession, path: str) -> None:
+    """An empty file that says that something is complete."""
+    path, files = _place(spark, path)
+    files.create(path).close()
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        path, files = _place(spark, path)
+        files.delete(path, True)
 
 
 def _numbers(spark: SparkSession, root: str, below: str = "") -> list[int]:
-    return [int(path.split("/version=")[1].split("/")[0]) for path in _folders(spark, f"{root}/version=*{below}")]
+    return [int(path.split("/version=")[1].split("/")[0]) for path in listed(spark, f"{root}/version=*{below}")]
 
 
 def write_version(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
@@ -26,8 +44,7 @@ def write_version(spark: SparkSession, root: str, tables: dict[str, DataFrame])
     number = max(_numbers(spark, root), default=0) + 1
     for name, df in tables.items():
         df.write.parquet(f"{root}/version={number}/{name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version={number}/{_READY}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path).close()
+    put_mark(spark, f"{root}/version={number}/{_READY}")
     return number
 
 
@@ -37,5 +54,5 @@ def read_version(spark: SparkSession, root: str, number: int | None = None) -> d
     number = max(ready, default=None) if number is None else number
     if number not in ready:
         return {}
-    names = [path.rsplit("/", 1)[1] for path in _folders(spark, f"{root}/version={number}/[!_]*")]
+    names = [path.rsplit("/", 1)[1] for path in listed(spark, f"{root}/version={number}/[!_]*")]
     return {name: spark.read.parquet(f"{root}/version={number}/{name}") for name in names}

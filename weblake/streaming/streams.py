@@ -137,6 +137,7 @@ def run_retries(spark: SparkSession, folder: str, failed: Callable[[], Column],
     """Work off a frontier folder; failed items come back with attempt + 1 as new files in it.
 
     Rounds go on until one brings nothing back. Writes ``status`` done or dead per item to ``out``.
+    An item with a null attempt has used up its tries, one with a null outcome has failed, so none is lost.
     A batch is tried once: what came of it is written first, and both the ended and the returning
     items are read from there. Each batch overwrites its own folders, so a repeat changes nothing.
     """
@@ -145,9 +146,9 @@ def run_retries(spark: SparkSession, folder: str, failed: Callable[[], Column],
     returned = []
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_failed", failed()).write.mode("overwrite").parquet(f"{out}/tried/batch={batch_id}")
+        batch.withColumn("_failed", F.coalesce(failed(), F.lit(True))).write.mode("overwrite").parquet(f"{out}/tried/batch={batch_id}")
         tried = spark.read.schema(with_outcome).parquet(f"{out}/tried/batch={batch_id}")
-        spent = F.col("attempt") >= max_attempts
+        spent = F.coalesce(F.col("attempt") >= max_attempts, F.lit(True))
         ended = tried.filter(~F.col("_failed") | spent).withColumn(
             "status", F.when(F.col("_failed"), "dead").otherwise("done"))
         ended.drop("_failed").write.mode("overwrite").parquet(f"{out}/ended/batch={batch_id}")

@@ -188,14 +188,14 @@ def _rules(spark, d):
     return R.rules_from_seeds(fx.fx_seeds(spark, d))
 
 
-def _ruled(spark, d, pages=None):
-    """Parsed pages with the rules of their seed. The compiled rules are a stored table: its size on disk
+def _ruled(spark, d, pages=None, fields=R.DETAIL_FIELDS):
+    """Pages with what the rules of their seed take. The compiled rules are a stored table: its size on disk
     tells Spark whether to broadcast it."""
     stored = f"{work_dir(spark, 'rules')}/by_seed"
     R.seed_rules(_rules(spark, d)).write.parquet(stored)
     pages = fx.fx_web(spark, d) if pages is None else pages
     pages = pages.withColumn("seed_id", fx.seed_id(F.col("host")))
-    return R.parse_for_rules(R.with_rules(pages, spark.read.parquet(stored)), ("page_id", "url", "seed_id", "rules"))
+    return R.parse_for_rules(R.with_rules(pages, spark.read.parquet(stored)), ("page_id", "url", "seed_id"), fields, nodes=False)
 
 
 _DISTINCT = "array_to_string(list_filter({l}, lambda x, i: x <> '' and list_position({l}, x) = i), '')"
@@ -241,7 +241,7 @@ _LIST_LINKS = ",\n".join((
 select page_id, pagetype, priority, pos, href, link from canon where not regexp_matches(link, '{fx._VALID}')""",
     "fx_web", more=(_LIST_LINKS,)))
 def rule_extract_links(spark, d):
-    found = R.extract_list_links(_ruled(spark, d))
+    found = R.extract_list_links(_ruled(spark, d, fields=R.LIST_FIELDS))
     return found.select("page_id", "pagetype", "priority", "pos", "href", "link")
 
 
@@ -249,7 +249,7 @@ def rule_extract_links(spark, d):
 select page_id, count_if(pagetype = 31) as detail_links, count_if(pagetype = 3) as list_links
 from canon where not regexp_matches(link, '{fx._VALID}') group by page_id""", "fx_web", more=(_LIST_LINKS,)))
 def page_link_counts(spark, d):
-    return L.link_counts(R.extract_list_links(_ruled(spark, d)))
+    return L.link_counts(R.extract_list_links(_ruled(spark, d, fields=R.LIST_FIELDS)))
 
 
 @query("page_rule_join", fx.sql(f"""
@@ -270,7 +270,7 @@ from (select *, list_filter(full_srcs, lambda x, i: list_position(full_srcs, x)
     "fx_web", more=(_FIELDS,)))
 def main_image_clean(spark, d):
     """Sources that the image rules of each page's seed match, cleaned; then once more as a page script writes them."""
-    found = R.selected(_ruled(spark, d), ["mainimageurl_xpath", "imageurl_xpath"])
+    found = _ruled(spark, d, fields=("mainimageurl_xpath", "imageurl_xpath"))
     shown = F.concat(F.array(F.lit("")), F.transform(R.matches("mainimageurl_xpath"), lambda v: F.concat(F.lit("  "), v, F.lit(" "))))
     written = F.concat(F.transform(R.matches("imageurl_xpath"), lambda v: F.concat(F.lit("zoom('"), v, F.lit("','x')"))),
                        R.matches("imageurl_xpath"))
@@ -336,8 +336,7 @@ def rule_axes(spark, d):
     rules = spark.createDataFrame([(1, f"{field}_xpath", selector) for field, selector in _AXES.items()],
                                   "seed_id bigint, field string, selector string")
     pages = fx.fx_pages(spark, d).withColumn("seed_id", F.lit(1).cast("bigint"))
-    ruled = R.parse_for_rules(R.with_rules(pages, R.seed_rules(rules)), ("page_id", "rules"))
-    found = R.selected(ruled, [f"{field}_xpath" for field in _AXES])
+    found = R.parse_for_rules(R.with_rules(pages, R.seed_rules(rules)), ("page_id",), [f"{field}_xpath" for field in _AXES], nodes=False)
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), R.matches(f"{f}_xpath").alias("m")) for f in _AXES)))
     return found.select("page_id", each.alias("f")).filter("size(f.m) > 0").select(
         "page_id", "f.field", F.size("f.m").cast("bigint").alias("n"), F.array_join("f.m", " ").alias("taken"))

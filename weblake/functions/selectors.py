@@ -214,20 +214,40 @@ class Page:
         n = len(tags) + 1
         self.n, self.attrs, self.texts = n, [{}, *attrs], texts
         self.tag = np.array(["", *tags], object)
-        self.parent = np.concatenate([[-1], np.asarray(parents, np.int64) + 1, np.asarray(owners, np.int64) + 1]).astype(np.int64)
-        end, up = list(range(n)), self.parent[:n].tolist()
-        for i in range(n - 1, 0, -1):
+        self.parent = np.array([-2, *parents, *owners], np.int64) + 1
+        self.place = np.array([-1, *places], np.int64) * 2
+        self.place[n:] += 1  # the text of a script stands at its element's token
+        self.by_tag, self.tests = {}, {}
+        for i, tag in enumerate(tags, 1):
+            self.by_tag.setdefault(tag, []).append(i)
+
+    @functools.cached_property
+    def end(self):
+        """Last descendant of each element."""
+        end, up = list(range(self.n)), self.parent[:self.n].tolist()
+        for i in range(self.n - 1, 0, -1):
             if end[i] > end[up[i]]:
                 end[up[i]] = end[i]
-        self.end = np.array(end, np.int64)
-        self.place = np.concatenate([[-1], np.asarray(places, np.int64)]) * 2
-        self.place[n:] += 1  # the text of a script stands at its element's token
-        order = np.lexsort((self.place, self.parent))[1:]  # children of each element in document order
-        self.children = order
-        self.first = np.searchsorted(self.parent[order], np.arange(n))
-        self.size = np.searchsorted(self.parent[order], np.arange(n), "right") - self.first
-        self.rank = np.empty(len(self.parent), np.int64)
-        self.rank[order] = np.arange(len(order))
+        return np.array(end, np.int64)
+
+    @functools.cached_property
+    def children(self):
+        """Children of each element in document order, those of an element from ``first``, ``size`` of them."""
+        return np.lexsort((self.place, self.parent))[1:]
+
+    @functools.cached_property
+    def first(self):
+        return np.searchsorted(self.parent[self.children], np.arange(self.n))
+
+    @functools.cached_property
+    def size(self):
+        return np.searchsorted(self.parent[self.children], np.arange(self.n), "right") - self.first
+
+    @functools.cached_property
+    def rank(self):
+        rank = np.empty(len(self.parent), np.int64)
+        rank[self.children] = np.arange(len(self.children))
+        return rank
 
     @functools.cached_property
     def inner(self):
@@ -300,27 +320,69 @@ class Page:
         good = self.tested(found, test)
         return owners[good], found[good]
 
+    def of(self, test):
+        """All nodes that pass a test, in document order."""
+        if test not in self.tests:
+            self.tests[test] = np.arange(self.n, len(self.parent)) if test == "text()" else np.array(
+                self.by_tag.get(test, ()) if test != "*" else range(1, self.n), np.int64)
+        return self.tests[test]
+
+    def children_of(self, nodes, test, below: bool):
+        """Children of the context ``nodes`` (distinct, in order), or of these and all elements below them, that pass a test."""
+        found = self.of(test)
+        up = self.parent[found]
+        if below:
+            if len(nodes) == 1 and nodes[0] == 0:
+                return found
+            _, nodes = self.covering(np.zeros(len(nodes), np.int64), nodes, "descendant-or-self")
+            if not len(nodes):
+                return nodes
+            spot = np.searchsorted(nodes, up, "right") - 1
+            return found[(spot >= 0) & (up <= self.end[nodes[spot]])]
+        if len(nodes) == 1:
+            return found[up == nodes[0]]
+        known = np.zeros(len(self.parent), bool)
+        known[nodes] = True
+        return found[known[up]]
+
+    def thinned(self, predicates, owners, found):
+        """The (owner, node) pairs that pass all predicates; entries of an owner stand together."""
+        for predicate in predicates:
+            position, last = _counted(owners) if _looks_at_position(predicate) else (owners, owners)
+            kept = self.true(predicate, found, position, last)
+            owners, found = owners[kept], found[kept]
+        return owners, found
+
     def walk(self, steps, origins, nodes):
         """(origin, node) pairs that a path leads to, distinct, by origin in document order."""
-        for axis, test, predicates in steps:
+        at = 0
+        while at < len(steps) and len(nodes):
+            axis, test, predicates = steps[at]
+            at += 1
+            if axis == "root":
+                origins, nodes = self.distinct(origins, np.zeros(len(origins), np.int64))
+                continue
+            below = axis == "descendant-or-self" and test == "node()" and not predicates and at < len(steps) and steps[at][0] == "child"
+            if (below or axis == "child") and origins[0] == origins[-1] and (steps[at] if below else steps[at - 1])[1] != "node()":
+                if below:
+                    axis, test, predicates = steps[at]
+                    at += 1
+                found = self.children_of(nodes, test, below)
+                if predicates and any(map(_looks_at_position, predicates)):
+                    found = found[np.argsort(self.parent[found], kind="stable")]
+                    found = np.sort(self.thinned(predicates, self.parent[found], found)[1])
+                elif predicates:
+                    found = self.thinned(predicates, found, found)[1]
+                origins, nodes = np.full(len(found), origins[0]), found
+                continue
             if axis == "group":
                 parts = [self.walk(path, origins, nodes) for path in test]
-                origins, nodes = self.distinct(*(np.concatenate(x) for x in zip(*parts)))
-                owners, found = origins, nodes
-                where = None
-            elif axis == "root":
-                origins, nodes = self.distinct(origins, np.zeros(len(origins), np.int64))
+                origins, nodes = self.thinned(predicates, *self.distinct(*(np.concatenate(x) for x in zip(*parts))))
                 continue
-            else:
-                if not any(map(_looks_at_position, predicates)):
-                    origins, nodes = self.covering(origins, nodes, axis)
-                owners, found = self.step(nodes, axis, test)
-                where = origins
-            for predicate in predicates:
-                position, last = _counted(owners)
-                kept = self.true(predicate, found, position, last)
-                owners, found = owners[kept], found[kept]
-            origins, nodes = self.distinct(owners if where is None else where[owners], found)
+            if not any(map(_looks_at_position, predicates)):
+                origins, nodes = self.covering(origins, nodes, axis)
+            owners, found = self.thinned(predicates, *self.step(nodes, axis, test))
+            origins, nodes = self.distinct(origins[owners], found)
         return origins, nodes
 
     def covering(self, origins, nodes, axis):

@@ -9,9 +9,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weblake.config import PRODUCT_DETAIL, PRODUCT_LIST
-from weblake.functions import selectors, urls as U
+from weblake.functions import html as H, selectors, urls as U
 from weblake.functions.text import decode_all, first_nonempty, first_quoted, ordered_distinct, trim_space
-from weblake.operators import selection
+from weblake.operators import selection, treepass
 from weblake.operators.links import canonicalize, filter_links
 from weblake.operators.nodes import parse
 
@@ -31,6 +31,9 @@ TEXT_FIELDS = {
     "productid": "productid_xpath", "color": "color_xpath", "price": "price_xpath",
     "size": "size_xpath",
 }
+#: What :func:`extract_fields` and :func:`extract_list_links` look at.
+DETAIL_FIELDS = (*TEXT_FIELDS.values(), "mainimageurl_xpath", "imageurl_xpath")
+LIST_FIELDS = ("detailurl_xpath", "nextpage_xpath")
 
 
 def rules_from_seeds(seeds: DataFrame) -> DataFrame:
@@ -61,9 +64,21 @@ def seed_rules(rules: DataFrame) -> DataFrame:
             .agg(F.map_from_entries(F.collect_list(F.struct("field", "selector"))).alias("rules")))
 
 
-def parse_for_rules(pages: DataFrame, keep) -> DataFrame:
-    """Pages with the ``nodes`` that :func:`selected` asks for."""
-    return parse(pages, keep)
+def parse_for_rules(pages: DataFrame, keep, fields: Sequence[str] = (), nodes: bool = True) -> DataFrame:
+    """Pages parsed. With ``fields``, whose selectors are in ``rules``, also what these take (``found``, as of
+    :func:`selected`), in the same pass; then ``nodes`` may be left out."""
+    if not fields:
+        return parse(pages, keep)
+    fields = list(fields)
+    wanted = F.array(*(F.try_element_at("rules", F.lit(f)) for f in fields))
+    shredded = pages.select(*keep, wanted.alias("wanted"), H.tokens(F.col("html")).alias("tokens"))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in shredded.schema.fields[:-2]]
+    schema += [f"nodes {treepass.NODE_DDL}"] * nodes + ["found map<string, array<string>>"]
+
+    def run(batches):
+        return selection.page_arrays(batches, fields, nodes)
+
+    return shredded.mapInArrow(run, ", ".join(schema))
 
 
 def with_rules(items: DataFrame, by_seed: DataFrame) -> DataFrame:
@@ -80,9 +95,11 @@ def selected(ruled: DataFrame, fields: Sequence[str]) -> DataFrame:
     each of ``fields`` takes, in document order.
 
     A page's elements become number arrays once and all its rules run on them, a step for all its nodes
-    at a time. Pages without rules find nothing. Nothing is shuffled.
+    at a time. Pages without rules find nothing. Nothing is shuffled. Pages that have ``found`` keep it.
     """
-    kept = [c for c in ruled.columns if c not in ("nodes", "rules", "found")]
+    if "found" in ruled.columns:
+        return ruled.drop("nodes", "rules")
+    kept = [c for c in ruled.columns if c not in ("nodes", "rules")]
     schema = ", ".join(f"`{c}` {ruled.schema[c].dataType.simpleString()}" for c in kept)
     fields = list(fields)
 
@@ -117,8 +134,8 @@ def clean_image_list(base: Column, values: Column) -> Column:
 def extract_fields(ruled: DataFrame) -> DataFrame:
     """Product fields of detail pages (pages with ``nodes`` and ``rules``): a projection, no shuffle."""
     wanted = {**TEXT_FIELDS, "_main": "mainimageurl_xpath", "_images": "imageurl_xpath"}
-    kept = [c for c in ruled.columns if c not in ("nodes", "rules")]
-    found = selected(ruled, list(wanted.values())).select(*kept, F.explode(F.array(F.struct(*(
+    kept = [c for c in ruled.columns if c not in ("nodes", "rules", "found")]
+    found = selected(ruled, DETAIL_FIELDS).select(*kept, F.explode(F.array(F.struct(*(
         matches(field).alias(name) for name, field in wanted.items())))).alias("m"))
     return found.select(
         *kept,
@@ -131,7 +148,7 @@ def extract_fields(ruled: DataFrame) -> DataFrame:
 
 def extract_list_links(ruled: DataFrame, deny_extensions=None, deny_hosts=None) -> DataFrame:
     """Links of list pages: detail links (pagetype 31) come before next-list links (pagetype 3)."""
-    kept = [c for c in ruled.columns if c not in ("nodes", "rules", "pagetype")]
+    kept = [c for c in ruled.columns if c not in ("nodes", "rules", "found", "pagetype")]
 
     def tagged(field, pagetype, priority):
         return F.transform(matches(field), lambda v, i: F.struct(
@@ -139,7 +156,7 @@ def extract_list_links(ruled: DataFrame, deny_extensions=None, deny_hosts=None)
             i.alias("pos"), v.alias("href")))
 
     found = F.concat(tagged("detailurl_xpath", PRODUCT_DETAIL, 0), tagged("nextpage_xpath", PRODUCT_LIST, 1))
-    picked = selected(ruled, ["detailurl_xpath", "nextpage_xpath"])
+    picked = selected(ruled, LIST_FIELDS)
     rows = picked.select(*kept, F.explode(found).alias("l")).select(*kept, "l.*")
     lists = {k: v for k, v in (("deny_extensions", deny_extensions), ("deny_hosts", deny_hosts))
              if v is not None}

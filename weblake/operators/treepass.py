@@ -39,6 +39,7 @@ DEEP = "/!"
 COMMENT_WORDS = ("comment", "feedback")
 # An output batch is closed after this many nodes or characters of paths or texts.
 BATCH_NODES, BATCH_CHARS = 20_000, 16_000_000
+CHARS_A_NODE = BATCH_CHARS // BATCH_NODES
 
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:_-]*)")

@@ -10,7 +10,7 @@ from weblake.config import HarvestConfig, PRODUCT_LIST
 from weblake.functions.urls import url_sha1
 from weblake.operators.frontier import first_seen, in_order, unseen
 from weblake.operators.links import below_depth, canonicalize, filter_links, links, scope_test
-from weblake.operators.rules import extract_list_links, parse_for_rules, rejected_rules, seed_rules, with_rules
+from weblake.operators.rules import LIST_FIELDS, extract_list_links, parse_for_rules, rejected_rules, seed_rules, with_rules
 from weblake.sources.state import load_state
 from weblake.sources.versions import listed, put_mark, remove
 
@@ -130,7 +130,7 @@ class Expansion:
         lists = lists.withColumn("page_key", page_key(F.col("url"), False)).drop("url", "url_sha1")
         fetched = pages.select(page_key(F.col("url"), False).alias("page_key"), "url", "html").join(with_rules(lists, by_seed), "page_key")
         kept = [c for c in fetched.columns if c not in ("html", "page_key")]
-        found = extract_list_links(parse_for_rules(fetched, kept), self.config.deny_extensions, self.config.deny_hosts)
+        found = extract_list_links(parse_for_rules(fetched, kept, LIST_FIELDS, nodes=False), self.config.deny_extensions, self.config.deny_hosts)
         return found.select(
             F.col("link").alias("url"), url_sha1(F.col("link")).alias("url_sha1"), "seed_id", "seed_url",
             (F.col("depth") + 1).alias("depth"), "pagetype", "category", "category_1",

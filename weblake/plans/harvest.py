@@ -13,7 +13,7 @@ from weblake.functions.urls import url_sha1
 from weblake.operators import images as I
 from weblake.operators.links import detail_outcome, page_kind
 from weblake.operators.nodes import page_text, parse
-from weblake.operators.rules import extract_fields, parse_for_rules, with_rules
+from weblake.operators.rules import DETAIL_FIELDS, extract_fields, parse_for_rules, with_rules
 from weblake.operators.upsert import BLOG_PAGE, BLOG_PHOTO, PRODUCT_PAGE, PRODUCT_PHOTO, insert_ignore, upsert
 from weblake.plans.expand import page_key
 from weblake.sources.versions import read_version, write_version
@@ -84,12 +84,12 @@ def product_pages(crawl: DataFrame, pages: DataFrame, by_seed: DataFrame) -> Dat
     """One row per reached detail page with its fields and outcome (store, retry, drop)."""
     kept = ("seed_id", "depth", "category", "category_1", "level", "ord", "pageurl", "pageurlhash")
     details = with_rules(_items(crawl).filter(F.col("pagetype") == PRODUCT_DETAIL), by_seed)
-    parsed = parse_for_rules(_fetched(details, pages, False, (*kept, "rules")), ("page_id", "url", *kept, "rules"))
+    parsed = parse_for_rules(_fetched(details, pages, False, (*kept, "rules")), ("page_id", "url", *kept), DETAIL_FIELDS)
     return product_fields(parsed, kept)
 
 
 def product_fields(parsed: DataFrame, kept) -> DataFrame:
-    """Fields and outcome of detail pages (parsed, with ``rules``), beside page_id, url and the ``kept`` columns."""
+    """Fields and outcome of detail pages (parsed, with ``rules`` or ``found``), beside page_id, url and the ``kept`` columns."""
     fields = extract_fields(page_text(parsed, squeeze=False))
     # The outcome looks at how many matches a rule had, not at the joined text.
     hits = F.array_repeat(F.lit(1), F.col("title_hits")), F.array_repeat(F.lit(1), F.col("price_hits"))

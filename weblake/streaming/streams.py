@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from weblake.config import HarvestConfig
 from weblake.functions.urls import url_sha1
 from weblake.operators.links import canonicalize, filter_links, links, scope_test
-from weblake.operators.rules import parse_for_rules, with_rules
+from weblake.operators.rules import DETAIL_FIELDS, parse_for_rules, with_rules
 from weblake.operators.upsert import Merge
 from weblake.plans.expand import ITEM_DDL, expand
 from weblake.plans.harvest import product_fields
@@ -101,7 +101,7 @@ def product_rows(pages: DataFrame, by_seed: DataFrame) -> DataFrame:
 
     ``by_seed`` (of ``seed_rules``) is a static table and is read anew for each batch.
     """
-    parsed = parse_for_rules(with_rules(pages, by_seed), ("page_id", "url", "seed_id", "rules"))
+    parsed = parse_for_rules(with_rules(pages, by_seed), ("page_id", "url", "seed_id"), DETAIL_FIELDS)
     return product_fields(parsed, ("seed_id",))
 
 

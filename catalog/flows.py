@@ -135,7 +135,7 @@ _FIRST_AT, _AGAIN_AT = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 
 def _stored_twice(spark, root, tables_at, kind):
     for at in (_FIRST_AT, _AGAIN_AT):
-        stored = store_harvest(spark, root, tables_at(F.to_timestamp(F.lit(at))), kind)
+        stored = store_harvest(spark, root, tables_at(F.to_timestamp(F.lit(at))), kind, buckets=8)
     return stored
 
 
@@ -193,7 +193,8 @@ def harvest_product(spark, d):
 
 
 def _product_extract(spark, d, folder):
-    pages = fx_linked(spark, d).select("page_id", "url", "html")
+    fx_linked(spark, d).select("page_id", "url", "html").write.parquet(f"{folder}/pages")  # each level reads its list pages
+    pages = spark.read.parquet(f"{folder}/pages")
     rules = rules_from_seeds(fx.fx_seeds(spark, d).withColumn(
         "detailurl_xpath", F.lit('//li[@class="item"]/a/@href')).withColumn(
         "nextpage_xpath", F.lit('//nav//li[@class="next"]/a/@href')))

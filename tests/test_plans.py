@@ -13,6 +13,7 @@ from weblake.operators.rules import rules_from_seeds
 from weblake.plans.expand import expand, reach
 from weblake.plans.harvest import blog_pages, blog_tables, not_stored, product_pages, product_tables, store_harvest
 from weblake.session import work_dir, work_root
+from weblake.sources.buckets import BucketStore, Change
 from weblake.sources.seeds import read_seeds
 from weblake.sources.versions import read_version, write_version
 from weblake.streaming import streams as ST
@@ -120,7 +121,7 @@ def test_an_image_belongs_to_the_page_met_first(spark):
 def test_a_second_harvest_changes_only_what_an_upsert_changes(spark):
     pages, crawl = blog_walk(spark)
     root = f"{work_dir(spark, 't')}/store"
-    assert read_version(spark, root) == {}
+    assert BucketStore(spark, root).tables() == {}
 
     def store(extracted, at):
         return store_harvest(spark, root, blog_tables(extracted, at=F.to_timestamp(F.lit(at))), "blog")
@@ -131,10 +132,18 @@ def test_a_second_harvest_changes_only_what_an_upsert_changes(spark):
     assert {n: df.count() for n, df in after.items()} == {n: len(rows) for n, rows in before.items()}
     titles = {r.pageurl: (r.title, str(r.dateinsert), str(r.daterefresh)) for r in after["blogpage"].collect()}
     assert titles["http://a.com/1"] == ("Won", "2024-01-01 00:00:00", "2024-02-01 00:00:00")
-    first = read_version(spark, root, 1)["blogpage"]
+    first = BucketStore(spark, root).read("blogpage", 1)
     assert sorted(first.collect()) == sorted(before["blogpage"]) and {r.daterefresh for r in first.collect()} == {None}
 
 
+def test_null_attempts_and_outcomes_are_not_lost(spark):
+    folder = work_dir(spark, "t")
+    spark.createDataFrame([(1, 1), (2, None), (3, 4), (4, 1)], "id long, attempt int").write.parquet(f"{folder}/frontier/start")
+    failed = lambda: F.when(F.col("id") == 4, F.lit(None).cast("boolean")).otherwise(F.col("id") > 1)
+    ended = ST.run_retries(spark, f"{folder}/frontier", failed, f"{folder}/out", f"{folder}/checkpoint")
+    assert sorted((r.id, r.attempt, r.status) for r in ended.fillna(-1).collect()) == [(1, 1, "done"), (2, -1, "dead"), (3, 4, "dead"), (4, 4, "dead")]
+
+
 def test_unfinished_versions_are_not_read(spark, tmp_path):
     root, table = f"{tmp_path}/store", spark.range(3)
     assert write_version(spark, root, {"t": table}) == 1
@@ -144,6 +153,35 @@ def test_unfinished_versions_are_not_read(spark, tmp_path):
     assert read_version(spark, root)["t"].count() == 6
 
 
+def test_a_merge_touches_its_buckets_only(spark, tmp_path, monkeypatch):
+    """Buckets without a changed key keep their files, relations only grow, and the rows are those of whole-table merges."""
+    import weblake.sources.buckets as buckets
+    monkeypatch.setattr(buckets, "MOST_FOLDERS", 3)
+    store, plain = BucketStore(spark, f"{tmp_path}/s", 8), {}
+    def newest(old, new):
+        rows = new if old is None else old.unionByName(new)
+        return rows.groupBy("k").agg(F.max("v").alias("v"))
+    def added(old, new):
+        return UP.insert_ignore(new.limit(0) if old is None else old, new, ["k", "v"])
+    links = set()
+    for step, keys in enumerate([range(100), range(100, 103), range(101, 102), [101], [101, 5], [], [101]]):
+        new = spark.createDataFrame([(f"k{i}", step) for i in keys], "k string, v int")
+        before = store.manifest()
+        number = store.merge({"t": Change(new, ["k"], newest), "r": Change(new, ["k"], added, appends=True)})
+        plain.update({f"k{i}": step for i in keys})
+        links |= {(f"k{i}", step) for i in keys if step}
+        assert number == step + 1
+        assert {r.k: r.v for r in store.read("t").collect()} == plain
+        assert {(r.k, r.v) for r in store.read("r").collect()} == links
+        now = store.manifest()
+        moved = {b for b in now["t"] if now["t"][b] != before.get("t", {}).get(b)}
+        assert len(moved) <= len(keys) and all(len(f) == 1 for f in now["t"].values())
+        assert all(len(f) <= 3 for f in now["r"].values())
+        for b, folders in before.get("r", {}).items():
+            assert now["r"][b][:len(folders)] == folders or len(folders) >= 3
+    assert {r.k: r.v for r in store.read("t", 1).collect()} == {f"k{i}": 0 for i in range(100)}  # older versions stay readable
+
+
 SHOP = {
     "http://s.com/l1/": "<ul><a href='p1'>1</a><a href='p2'>2</a><a href='/l2/'>both</a></ul><i class='next'><a href='/l2/'>n</a><a href='/l3/'>n</a></i>",
     "http://s.com/l2/": "<ul><a href='/p9'>9</a></ul>",

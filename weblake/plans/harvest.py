@@ -16,7 +16,7 @@ from weblake.operators.nodes import page_text, parse
 from weblake.operators.rules import DETAIL_FIELDS, extract_fields, parse_for_rules, with_rules
 from weblake.operators.upsert import BLOG_PAGE, BLOG_PHOTO, PRODUCT_PAGE, PRODUCT_PHOTO, insert_ignore, upsert
 from weblake.plans.expand import page_key
-from weblake.sources.versions import read_version, write_version
+from weblake.sources.buckets import BucketStore, Change
 
 #: Order in which a harvest at time ``ts`` brings its rows: as the crawl met their pages.
 _ORDER = ("ts", "level", "ord", "page_id")
@@ -149,7 +149,25 @@ def merged(stored: dict[str, DataFrame], tables: dict[str, DataFrame], kind: str
     return out
 
 
-def store_harvest(spark: SparkSession, root: str, tables: dict[str, DataFrame], kind: str) -> dict[str, DataFrame]:
-    """Merge a harvest into the latest version below ``root`` and write the next one, which is returned."""
-    write_version(spark, root, merged(read_version(spark, root), tables, kind))
-    return read_version(spark, root)
+def changes(tables: dict[str, DataFrame], kind: str) -> dict[str, Change]:
+    """What a harvest changes in a :class:`BucketStore`: pages and photos by their key, relations by their page."""
+    out = {}
+    for name, df in tables.items():
+        if name in MERGES[kind]:
+            merge = MERGES[kind][name]
+            out[name] = Change(df, [merge.key], lambda old, new, merge=merge: upsert(old, new, merge))
+        elif name.endswith("relation"):
+            out[name] = Change(df, df.columns[:1], lambda old, new: insert_ignore(new.limit(0) if old is None else old, new, new.columns),
+                               appends=True)
+    return out
+
+
+def store_harvest(spark: SparkSession, root: str, tables: dict[str, DataFrame], kind: str, buckets: int = 64) -> dict[str, DataFrame]:
+    """Merge a harvest into the latest version below ``root``; the next one is returned.
+
+    Only the buckets that the harvest's keys fall into are read and written, and relations only grow, so
+    a harvest costs what it changes.
+    """
+    store = BucketStore(spark, root, buckets)
+    store.merge(changes(tables, kind))
+    return store.tables()

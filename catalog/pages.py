@@ -333,9 +333,9 @@ def _axes_oracle():
 @query("rule_axes", _axes_oracle())
 def rule_axes(spark, d):
     """What selectors with axes, positions from the end, groups and conditions on children take from every page."""
-    rules = spark.createDataFrame([(1, f"{field}_xpath", selector) for field, selector in _AXES.items()],
-                                  "seed_id bigint, field string, selector string")
-    pages = fx.fx_pages(spark, d).withColumn("seed_id", F.lit(1).cast("bigint"))
+    each = F.explode(F.array(*(F.struct(F.lit(f"{f}_xpath").alias("field"), F.lit(s).alias("selector")) for f, s in _AXES.items())))
+    rules = fx.fx_seeds(spark, d).select(F.col("id").alias("seed_id"), each.alias("r")).select("seed_id", "r.*")
+    pages = fx.fx_pages(spark, d).withColumn("seed_id", fx.seed_id(F.col("host")))
     found = R.parse_for_rules(R.with_rules(pages, R.seed_rules(rules)), ("page_id",), [f"{field}_xpath" for field in _AXES], nodes=False)
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), R.matches(f"{f}_xpath").alias("m")) for f in _AXES)))
     return found.select("page_id", each.alias("f")).filter("size(f.m) > 0").select(

@@ -45,7 +45,7 @@ def seed_rules_unpivot(spark, d):
     return rules_from_seeds(fx.fx_seeds(spark, d))
 
 
-_ODD_RULES = """case when length(host) % 2 = 0 then '//div[last()]/p/text()' else '//title' end"""
+_ODD_RULES = """case when length(host) % 2 = 0 then '//div[lang("de")]/p/text()' else '//title' end"""
 
 
 @query("rules_rejected", fx.sql(f"""

@@ -168,9 +168,19 @@ class _Parser:
         return "path", self.path()
 
 
-@functools.lru_cache(maxsize=8192)
+_COMPILED = {}
+
+
 def compile_selector(selector):
     """(paths, error): the paths of a selector, or why it is none. A path ends in text() or @attribute."""
+    if selector not in _COMPILED:
+        if len(_COMPILED) >= 8192:
+            _COMPILED.clear()
+        _COMPILED[selector] = _compiled(selector)
+    return _COMPILED[selector]
+
+
+def _compiled(selector):
     try:
         parser = _Parser(selector)
         paths = parser.union()

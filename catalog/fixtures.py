@@ -49,6 +49,14 @@ SEED_COLUMNS = """
  '//nav//li/a/@href | //a[@id="more"]/@href' as detailurl_xpath, '//nav/a/@href' as nextpage_xpath,
  cast(null as string) as color_xpath"""
 
+# Rules of a seed change six times; a page was fetched on some day before, between or after.
+RULE_CHANGES = """
+ id as seed_id, case when k % 3 = 0 then 'price_xpath' when k % 3 = 1 then 'title_xpath' else 'brand_xpath' end as field,
+ case when k = 0 then '//article//span[@class="price"]/text()' when k = 1 then '//title/text()' when k in (2, 3) then '//article/h1/text()'
+  when k = 4 then cast(null as string) else '//title/text()' end as selector,
+ date '2024-01-01' + cast(20 * k + length(host) % 7 as int) as since"""
+FETCHED = "date '2024-01-01' + cast((page_id * 13) % 150 as int)"
+
 FETCH_LOG = """
  event_id, ts, event_type,
  concat('http://site', cast(user_id % 40 as string), '.example.org/p/', cast(user_id as string)) as url,
@@ -96,6 +104,11 @@ def fx_seeds(spark, d) -> DataFrame:
         "host", "id", *_split_columns(SEED_COLUMNS))
 
 
+def fx_rule_changes(spark, d) -> DataFrame:
+    """changes(seed_id, field, selector, since) of the rules of every seed."""
+    return fx_seeds(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).selectExpr(*_split_columns(RULE_CHANGES))
+
+
 def _split_columns(text):
     parts, depth, start = [], 0, 0
     for i, char in enumerate(text):
@@ -220,6 +233,7 @@ CTES = {
     "fx_web": (("fx_pages",), f"fx_web as (select page_id, url, host, origin, {WEB_HTML} as html from fx_pages)"),
     "fx_seeds": (("fx_pages",), f"fx_seeds as (select host, {_host_id('host')} as id, {SEED_COLUMNS} "
                                 "from (select distinct host from fx_pages) h)"),
+    "fx_rule_changes": (("fx_seeds",), f"fx_rule_changes as (select {RULE_CHANGES} from fx_seeds, range(6) r(k))"),
     "raw_links": (("fx_pages",), tag_scan("raw_links_t", "fx_pages", "a", "page_id, url, host") + f""",
 raw_links as (select page_id, url, host, pos, {attr('t', 'href')} as href from raw_links_t)"""),
     "fx_links": (("fx_web",), tag_scan("fx_links_t", "fx_web", "a", "page_id, url, host") + f""",

@@ -10,6 +10,7 @@ from catalog.sources_sinks import _LOG, _MARKS, _UPSERTED
 from weblake.config import HarvestConfig
 from weblake.functions.text import erase_marks
 from weblake.functions.urls import url_sha1
+from weblake.operators.rule_history import rule_history
 from weblake.operators.rules import rules_from_seeds, seed_rules
 from weblake.operators.upsert import Merge
 from weblake.plans.expand import expand, reach
@@ -229,6 +230,11 @@ def _stream(spark, d, name):
     return spark.readStream.schema(fx.table(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
 
 
+def _web_stream(spark, d):
+    pages = _stream(spark, d, "pages").filter("html <> ''").selectExpr("*", f"{fx.HOST} as host", f"{fx.ORIGIN} as origin")
+    return pages.selectExpr("page_id", "url", "host", f"{fx.WEB_HTML} as html").withColumn("seed_id", fx.seed_id(F.col("host")))
+
+
 def _log_stream(spark, d):
     return _stream(spark, d, "events").selectExpr(*fx._split_columns(fx.FETCH_LOG))
 
@@ -269,14 +275,27 @@ from absolute""", "fx_web", more=(_FIELDS,)))
 def stream_product_rows(spark, d):
     folder = work_dir(spark, "rows")
     seed_rules(rules_from_seeds(fx.fx_seeds(spark, d))).write.parquet(f"{folder}/rules")
-    pages = _stream(spark, d, "pages").filter("html <> ''").selectExpr("*", f"{fx.HOST} as host", f"{fx.ORIGIN} as origin")
-    pages = pages.selectExpr("page_id", "url", "host", f"{fx.WEB_HTML} as html").withColumn("seed_id", fx.seed_id(F.col("host")))
-    rows = ST.product_rows(pages, spark.read.parquet(f"{folder}/rules"))
+    rows = ST.product_rows(_web_stream(spark, d), spark.read.parquet(f"{folder}/rules"))
     found = rows.select("page_id", "seed_id", "title", "brand", "price", "mainimageurl", "outcome")
     ST.run_append(found, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(found.schema).parquet(f"{folder}/out")
 
 
+@query("stream_rule_as_of", fx.sql(f"""
+select page_id, {_MARKS.format("case when day between 20 and 79 then title else '' end")} as title,
+ {_MARKS.format("case when day between 40 and 99 then brand when day >= 100 then title else '' end")} as brand,
+ {_MARKS.format("case when day between 0 and 59 then price when day >= 60 then brand else '' end")} as price
+from (select *, (page_id * 13) % 150 - length(host) % 7 as day from fields) f""", "fx_web", more=(_FIELDS,)))
+def stream_rule_as_of(spark, d):
+    """Detail pages of a stream, each read by the rules in force when it was fetched."""
+    folder = work_dir(spark, "as-of")
+    rule_history(fx.fx_rule_changes(spark, d)).write.parquet(f"{folder}/history")
+    pages = _web_stream(spark, d).withColumn("fetched", F.expr(fx.FETCHED))
+    found = ST.product_rows(pages, spark.read.parquet(f"{folder}/history"), "fetched").select("page_id", "title", "brand", "price")
+    ST.run_append(found, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
 @query("stream_seed_refresh", fx.sql(_BLOG_SELECT, "fx_edges", "fx_web", more=_BLOG_WALK))
 def stream_seed_refresh(spark, d):
     """Seeds come in two lots, the first lot comes again with the second; each lot is a round when the one before is idle."""

@@ -8,6 +8,7 @@ from catalog import fixtures as fx, query
 from weblake.functions import html as H
 from weblake.functions.text import decode_entities, erase_marks, ordered_distinct
 from weblake.operators import images as I, links as L, nodes as N, rules as R
+from weblake.operators.rule_history import rule_history, with_rules_at
 from weblake.operators.treepass import IMPLIED_END, VOID
 from weblake.session import work_dir
 
@@ -264,6 +265,21 @@ def page_rule_join(spark, d):
     return pages.join(_rules(spark, d).filter(F.col("field").endswith("_xpath")), "seed_id")
 
 
+@query("rule_as_of", fx.sql(f"""
+select p.page_id, p.field, c.selector from (
+ select page_id, {fx._host_id('host')} as seed_id, {fx.FETCHED} as fetched,
+  unnest(['title_xpath', 'brand_xpath', 'price_xpath']) as field from fx_pages) p
+asof join fx_rule_changes c on p.seed_id = c.seed_id and p.field = c.field and p.fetched >= c.since
+where c.selector is not null""", "fx_pages", "fx_rule_changes"))
+def rule_as_of(spark, d):
+    """The rules in force when each page was fetched; the history is a stored table, as its size decides the join."""
+    stored = f"{work_dir(spark, 'history')}/history"
+    rule_history(fx.fx_rule_changes(spark, d)).write.parquet(stored)
+    pages = fx.fx_urls(spark, d).select("page_id", fx.seed_id(F.col("host")).alias("seed_id"), F.expr(fx.FETCHED).alias("fetched"))
+    ruled = with_rules_at(pages, spark.read.parquet(stored), "fetched")
+    return ruled.select("page_id", F.explode("rules").alias("field", "selector"))
+
+
 @query("main_image_clean", fx.sql("""
 select page_id, coalesce(full_srcs[1], '') as main_image, array_to_string(list_distinct_in_order, ' ') as image_list
 from (select *, list_filter(full_srcs, lambda x, i: list_position(full_srcs, x) = i) as list_distinct_in_order from absolute) t""",

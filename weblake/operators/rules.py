@@ -43,14 +43,19 @@ def rules_from_seeds(seeds: DataFrame) -> DataFrame:
             .unpivot("seed_id", present, "field", "selector").filter(F.col("selector").isNotNull()))
 
 
-def _checked(rules: DataFrame) -> DataFrame:
-    """The selectors among ``rules`` with an error where one is not understood."""
+def selector_problem(selector) -> Column:
+    """Why a selector is not understood; null where it is, or where there is none."""
     @F.pandas_udf("string")
     def problem(found: pd.Series) -> pd.Series:
-        return pd.Series([selectors.compile_selector(s)[1] for s in found], dtype="object")
+        return pd.Series([selectors.compile_selector(s)[1] if s else None for s in found], dtype="object")
+
+    return problem(selector)
 
+
+def _checked(rules: DataFrame) -> DataFrame:
+    """The selectors among ``rules`` with an error where one is not understood."""
     wanted = rules.filter(F.col("field").endswith("_xpath") & (F.col("selector") != ""))
-    return wanted.select("seed_id", "field", "selector", problem("selector").alias("error"))
+    return wanted.select("seed_id", "field", "selector", selector_problem("selector").alias("error"))
 
 
 def rejected_rules(rules: DataFrame) -> DataFrame:

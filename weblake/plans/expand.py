@@ -11,6 +11,7 @@ from weblake.functions.urls import url_sha1
 from weblake.operators.frontier import first_seen, in_order, unseen
 from weblake.operators.links import below_depth, canonicalize, filter_links, links, scope_test
 from weblake.operators.rules import LIST_FIELDS, extract_list_links, parse_for_rules, rejected_rules, seed_rules, with_rules
+from weblake.operators.rule_history import rule_history, with_rules_at
 from weblake.sources.state import load_state
 from weblake.sources.versions import listed, put_mark, remove
 
@@ -27,6 +28,20 @@ def page_key(url: Column, blog: bool) -> Column:
     return url_sha1(F.when(url.endswith("/"), F.left(url, F.length(url) - 1)).otherwise(url) if blog else url)
 
 
+def fetched_at(items: DataFrame, pages: DataFrame, history: DataFrame, at: str) -> DataFrame:
+    """Stored pages of product ``items`` (one row per item and page), with ``rules`` as of each page's time ``at``.
+
+    The items meet the pages' keys and times first, narrow rows both, and then the rules; html joins only them.
+    """
+    key = page_key(F.col("url"), False).alias("page_key")
+    narrow = items.filter(F.col("url") != "").withColumn("page_key", key).drop("url")
+    times = narrow.join(pages.select(key, F.col(f"`{at}`").alias("_at")), "page_key").distinct()
+    ruled = with_rules_at(times, history, "_at")
+    stored = pages.withColumn("page_key", key).withColumnRenamed(at, "_fetched")
+    same = (stored["page_key"] == ruled["page_key"]) & stored["_fetched"].eqNullSafe(ruled["_at"])
+    return stored.join(ruled, same).drop("page_key", "_at", "_fetched")
+
+
 def blog_edges(pages: DataFrame, config: HarvestConfig) -> DataFrame:
     """edges(page_key, pos, link, link_sha1): extracted once for all pages, without their html."""
     keyed = pages.select(page_key(F.col("url"), True).alias("page_key"), "url", "html")
@@ -70,8 +85,8 @@ class KeyLog:
 class Expansion:
     """One harvest walk. Each level is a written folder, so a lost executor never replays earlier levels."""
 
-    def __init__(self, spark: SparkSession, config: HarvestConfig, folder: str):
-        self.spark, self.config, self.folder = spark, config, folder
+    def __init__(self, spark: SparkSession, config: HarvestConfig, folder: str, at: str | None = None):
+        self.spark, self.config, self.folder, self.at = spark, config, folder, at
         self.blog = config.kind == "blog"
         self.tables: list[str] = []
 
@@ -127,8 +142,11 @@ class Expansion:
         """Links of the list pages among a level's items. Only their html is parsed: the items, narrow and of
         known size, meet the page scan as a broadcast or, where they are too many, behind a Bloom filter
         that Spark sends to the scan before anything is shuffled."""
-        lists = lists.withColumn("page_key", page_key(F.col("url"), False)).drop("url", "url_sha1")
-        fetched = pages.select(page_key(F.col("url"), False).alias("page_key"), "url", "html").join(with_rules(lists, by_seed), "page_key")
+        if self.at is not None:
+            fetched = fetched_at(lists.drop("url_sha1"), pages.select("url", "html", self.at), by_seed, self.at)
+        else:
+            lists = lists.withColumn("page_key", page_key(F.col("url"), False)).drop("url", "url_sha1")
+            fetched = pages.select(page_key(F.col("url"), False).alias("page_key"), "url", "html").join(with_rules(lists, by_seed), "page_key")
         kept = [c for c in fetched.columns if c not in ("html", "page_key")]
         found = extract_list_links(parse_for_rules(fetched, kept, LIST_FIELDS, nodes=False), self.config.deny_extensions, self.config.deny_hosts)
         return found.select(
@@ -144,6 +162,9 @@ class Expansion:
         was lost, goes on in its folder: at start level 0 from the last whole level, at 1 from the seeds with
         what was visited kept, at 2 and 3 from nothing. Give it the same pages, rules and ``visited``.
 
+        With ``at``, the column of ``pages`` with their fetch times, ``rules`` are changes (seed_id, field, selector,
+        since), and a list is read by the rules in force when it was fetched; ``rules`` in the folder is their history.
+
         Rules whose selector is not understood are written to ``rejected_rules`` in the work folder, with
         ``walks`` false where their seed is left without a link rule.
         """
@@ -157,7 +178,9 @@ class Expansion:
                 self.spark.sql(f"drop table if exists {table}")
 
     def _reject(self, rules: DataFrame, by_seed: DataFrame) -> None:
-        walks = by_seed.select("seed_id", F.exists(F.map_keys("rules"), lambda f: f.isin("detailurl_xpath", "nextpage_xpath")).alias("_walks"))
+        follows = lambda held: F.exists(F.map_keys(held), lambda f: f.isin(*LIST_FIELDS))
+        ever = follows("rules") if self.at is None else F.exists("versions", lambda v: follows(v["rules"]))
+        walks = by_seed.groupBy("seed_id").agg(F.bool_or(ever).alias("_walks"))
         rejected = rejected_rules(rules).join(walks, "seed_id", "left")
         self._table("rejected_rules", rejected.withColumn("walks", F.coalesce("_walks", F.lit(False))).drop("_walks"))
 
@@ -165,7 +188,7 @@ class Expansion:
         if self.blog:
             edges = self._bucketed("edges", blog_edges(pages, self.config), "page_key")
         else:
-            by_seed = self._table("rules", seed_rules(rules))
+            by_seed = self._table("rules", seed_rules(rules) if self.at is None else rule_history(rules))
             self._reject(rules, by_seed)
         number, keep = self.last_level() if resume else 0, self.config.init_level
         if number and keep in (2, 3):
@@ -202,9 +225,9 @@ class Expansion:
 
 def expand(spark: SparkSession, seeds: DataFrame, pages: DataFrame, config: HarvestConfig, folder: str,
            rules: DataFrame | None = None, visited: DataFrame | None = None, resume: bool = False,
-           levels: int | None = None) -> DataFrame:
+           levels: int | None = None, at: str | None = None) -> DataFrame:
     """Every item the harvest reaches, each with the depth and seed of its first sighting. See :meth:`Expansion.run`."""
-    return Expansion(spark, config, folder).run(seeds, pages, rules, visited, resume, levels)
+    return Expansion(spark, config, folder, at).run(seeds, pages, rules, visited, resume, levels)
 
 
 def reach(spark: SparkSession, starts: DataFrame, edges: DataFrame, depth_limit: int | None, folder: str) -> DataFrame:

@@ -15,7 +15,7 @@ from weblake.operators.links import detail_outcome, page_kind
 from weblake.operators.nodes import page_text, parse
 from weblake.operators.rules import DETAIL_FIELDS, extract_fields, parse_for_rules, with_rules
 from weblake.operators.upsert import BLOG_PAGE, BLOG_PHOTO, PRODUCT_PAGE, PRODUCT_PHOTO, insert_ignore, upsert
-from weblake.plans.expand import page_key
+from weblake.plans.expand import fetched_at, page_key
 from weblake.sources.buckets import BucketStore, Change
 
 #: Order in which a harvest at time ``ts`` brings its rows: as the crawl met their pages.
@@ -80,12 +80,22 @@ def blog_tables(extracted: DataFrame, sizes: DataFrame | None = None, mode: str
     }
 
 
-def product_pages(crawl: DataFrame, pages: DataFrame, by_seed: DataFrame) -> DataFrame:
-    """One row per reached detail page with its fields and outcome (store, retry, drop)."""
+def product_pages(crawl: DataFrame, pages: DataFrame, by_seed: DataFrame, at: str | None = None) -> DataFrame:
+    """One row per reached detail page with its fields and outcome (store, retry, drop).
+
+    With ``at``, the column of ``pages`` that says when a page was fetched, ``by_seed`` is a history (of
+    ``rule_history``) and each page is read by the rules in force then.
+    """
     kept = ("seed_id", "depth", "category", "category_1", "level", "ord", "pageurl", "pageurlhash")
-    details = with_rules(_items(crawl).filter(F.col("pagetype") == PRODUCT_DETAIL), by_seed)
-    parsed = parse_for_rules(_fetched(details, pages, False, (*kept, "rules")), ("page_id", "url", *kept), DETAIL_FIELDS)
-    return product_fields(parsed, kept)
+    details = _items(crawl).filter(F.col("pagetype") == PRODUCT_DETAIL)
+    fetched = _fetched_ruled(details, pages, by_seed, at, kept)
+    return product_fields(parse_for_rules(fetched, ("page_id", "url", *kept), DETAIL_FIELDS), kept)
+
+
+def _fetched_ruled(items: DataFrame, pages: DataFrame, by_seed: DataFrame, at: str | None, kept) -> DataFrame:
+    if at is None:
+        return _fetched(with_rules(items, by_seed), pages, False, (*kept, "rules"))
+    return fetched_at(items.select("url", *kept), pages, by_seed, at)
 
 
 def product_fields(parsed: DataFrame, kept) -> DataFrame:

@@ -13,6 +13,7 @@ from weblake.config import HarvestConfig
 from weblake.functions.urls import url_sha1
 from weblake.operators.links import canonicalize, filter_links, links, scope_test
 from weblake.operators.rules import DETAIL_FIELDS, parse_for_rules, with_rules
+from weblake.operators.rule_history import with_rules_at
 from weblake.operators.upsert import Merge
 from weblake.plans.expand import ITEM_DDL, expand
 from weblake.plans.harvest import product_fields
@@ -96,12 +97,14 @@ def page_links(pages: DataFrame, seeds: DataFrame, config: HarvestConfig | None
     return scoped.withColumn("url_sha1", url_sha1(F.col("link"))).drop("seed_url")
 
 
-def product_rows(pages: DataFrame, by_seed: DataFrame) -> DataFrame:
+def product_rows(pages: DataFrame, by_seed: DataFrame, at: str | None = None) -> DataFrame:
     """Fields and outcome of a stream of detail pages(page_id, url, html, seed_id). Stateless.
 
-    ``by_seed`` (of ``seed_rules``) is a static table and is read anew for each batch.
+    ``by_seed`` (of ``seed_rules``) is a static table and is read anew for each batch. With ``at``, the time
+    of a page, it is a history (of ``rule_history``), and a page is read by the rules in force then.
     """
-    parsed = parse_for_rules(with_rules(pages, by_seed), ("page_id", "url", "seed_id"), DETAIL_FIELDS)
+    ruled = with_rules(pages, by_seed) if at is None else with_rules_at(pages, by_seed, at)
+    parsed = parse_for_rules(ruled, ("page_id", "url", "seed_id"), DETAIL_FIELDS)
     return product_fields(parsed, ("seed_id",))
 
 

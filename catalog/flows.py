@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx, query
+from catalog.frontier import _FIRST
 from catalog.pages import _FIELDS, _LISTING
 from catalog.sources_sinks import _LOG, _MARKS, _UPSERTED
 from weblake.config import HarvestConfig
 from weblake.functions.text import erase_marks
 from weblake.functions.urls import url_sha1
+from weblake.operators.frontier import first_seen
 from weblake.operators.rule_history import rule_history
 from weblake.operators.rules import rules_from_seeds, seed_rules
 from weblake.operators.upsert import Merge
@@ -296,6 +298,25 @@ def stream_rule_as_of(spark, d):
     return spark.read.schema(found.schema).parquet(f"{folder}/out")
 
 
+@query("stream_politeness", fx.sql("""
+select url, regexp_extract(url, '^https?://([^/?#]*)', 1) as host, ord,
+ cast((row_number() over (partition by regexp_extract(url, '^https?://([^/?#]*)', 1) order by ord) - 1) * 0.25
+  as double) as start_at from first_items""", "fx_items", more=(_FIRST,)))
+def stream_politeness(spark, d):
+    """The queue replayed: what the stream lets go, and when, is what the batch plan says."""
+    folder, begin = work_dir(spark, "polite"), F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    queue = first_seen(fx.fx_items(spark, d), ["url_sha1"], ["ord"]).select("url", "ord", F.lit(1).alias("attempt"), begin.alias("at"))
+    queue.write.parquet(f"{folder}/queue")
+    queue = spark.read.parquet(f"{folder}/queue")
+    # The clock goes on until the last request of a queue that has one host only.
+    clock = queue.agg(F.timestamp_seconds(F.unix_timestamp(begin) + F.count("*")).alias("at"))
+    clock.select(F.lit(None).cast("string").alias("url"), F.lit(0).cast("bigint").alias("ord"), F.lit(1).alias("attempt"), "at").write.mode(
+        "append").parquet(f"{folder}/queue")
+    released = ST.run_polite(spark, ST.read_folder(spark, f"{folder}/queue", queue.schema), f"{folder}/out", f"{folder}/checkpoint",
+                             delay=HarvestConfig.blog().delay_seconds)
+    return released.select("url", "host", "ord", ((F.unix_millis("start_at") - F.unix_millis(begin)) / 1000).alias("start_at"))
+
+
 @query("stream_seed_refresh", fx.sql(_BLOG_SELECT, "fx_edges", "fx_web", more=_BLOG_WALK))
 def stream_seed_refresh(spark, d):
     """Seeds come in two lots, the first lot comes again with the second; each lot is a round when the one before is idle."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -17,6 +18,7 @@ from weblake.operators.rule_history import with_rules_at
 from weblake.operators.upsert import Merge
 from weblake.plans.expand import ITEM_DDL, expand
 from weblake.plans.harvest import product_fields
+from weblake.streaming.politeness import polite
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -45,21 +47,47 @@ def dedup_urls(items: DataFrame, watermark: tuple[str, str] | None = None) -> Da
     return items.withWatermark(*watermark).dropDuplicatesWithinWatermark(["url_sha1"])
 
 
-def run_url_dedup(spark: SparkSession, items: DataFrame, out: str, checkpoint: str) -> DataFrame:
+@contextmanager
+def _rocksdb(spark: SparkSession):
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKSDB)
     try:
-        unique = dedup_urls(items.select("url", "url_sha1"))
-        _finish(unique.writeStream.format("parquet").option("path", out)
-                .option("checkpointLocation", checkpoint).outputMode("append"))
+        yield
     finally:
         if before is None:
             spark.conf.unset(_PROVIDER)
         else:
             spark.conf.set(_PROVIDER, before)
+
+
+def run_url_dedup(spark: SparkSession, items: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    unique = dedup_urls(items.select("url", "url_sha1"))
+    with _rocksdb(spark):
+        run_append(unique, out, checkpoint)
     return spark.read.schema(unique.schema).parquet(out)
 
 
+def run_polite(spark: SparkSession, items: DataFrame, out: str, checkpoint: str, **how) -> DataFrame:
+    """Replay a recorded queue (:func:`polite` by its own times), append what is let go to ``out`` and return all of ``out``.
+
+    What is not due stays in the state, and the next run with the same checkpoint goes on with it.
+    """
+    released = polite(items, clock="event", **how)
+    with _rocksdb(spark):
+        run_append(released, out, checkpoint)
+    return spark.read.schema(released.schema).parquet(out)
+
+
+def start_polite(spark: SparkSession, items: DataFrame, out: str, checkpoint: str, every: str = "1 second", **how):
+    """Start the job that lets go of a live queue (:func:`polite` by the clock on the wall) and return its query.
+
+    It never ends by itself, as timers may always come; stopped and started again, it goes on.
+    """
+    with _rocksdb(spark):
+        return (polite(items, **how).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+                .outputMode("append").trigger(processingTime=every).start())
+
+
 def run_upsert(updates: DataFrame, merge: Merge, log: str, checkpoint: str) -> None:
     """Append each batch, merged per key, to a log folder.
 

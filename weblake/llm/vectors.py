@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Rows and queries of a block, about.
-ROWS, QUERIES = 8192, 1024
+#: Rows and queries of a block, about: as many queries as rows, so a block of rows, and what is made of it,
+#: goes to few tasks.
+ROWS, QUERIES = 8192, 8192
 
 
 def valid(vector: str) -> Column:

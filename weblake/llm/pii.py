@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -118,8 +119,24 @@ def _tree_sql(node, names: list[str]) -> str:
     return f"(case when $.{names[split.featureIndex()]} <= {split.threshold()!r}d then {left} else {right} end)"
 
 
-def fit(docs: DataFrame, max_candidates: int = 20_000, trees: int = 10, depth: int = 3, share: float = 0.5) -> SpanModel:
-    """Train on at most ``max_candidates`` candidates, taken in hash order over all documents.
+def counted_candidates(docs: DataFrame) -> DataFrame:
+    """All candidates of ``docs`` as counted rows: kind, label, the columns of :func:`features`, whether they are of the fifth ``left_out``, n.
+
+    What is learned depends on a candidate's numbers alone, and these are counts and tests of a few characters
+    around it: the table has a row per combination that occurs, however many candidates there are.
+    """
+    rows = docs.filter("text rlike '[@0-9]'").select(
+        "doc_id", "text", F.expr(base_spans("text")).alias("base"), F.explode(F.expr(candidate_spans("text"))).alias("c"))
+    rows = rows.select("doc_id", "c", "text", "base", F.expr("exists(base, b -> b.kind = c.kind and b.start < c.end and c.start < b.end)")
+                       .cast("double").alias("label"), F.xxhash64("doc_id", "c.start", "c.kind").alias("place"))
+    rows = rows.filter("label = 1 or not exists(base, b -> b.start < c.end and c.start < b.end)")
+    numbers = rows.select(F.expr("pmod(place, 5) = 0").alias("left_out"), F.col("c.kind").alias("kind"), "label",
+                          *(F.expr(sql).alias(n) for n, sql in features("text").items()))
+    return numbers.groupBy(*numbers.columns).agg(F.count("*").cast("double").alias("n"))
+
+
+def fit(docs: DataFrame, trees: int = 10, depth: int = 3, share: float = 0.5) -> SpanModel:
+    """Train on the candidates of all documents, as :func:`counted_candidates` weighs them.
 
     A candidate is known where a fixed form of its kind overlaps it; the others are not negative but
     unlabelled, save those that overlap a fixed form of another kind, which are left out. The trees learn
@@ -130,23 +147,19 @@ def fit(docs: DataFrame, max_candidates: int = 20_000, trees: int = 10, depth: i
     """
     work = Work(docs.sparkSession, "pii")
     names = list(features("text"))
-    rows = docs.filter("text rlike '[@0-9]'").select(
-        "doc_id", "text", F.expr(base_spans("text")).alias("base"), F.explode(F.expr(candidate_spans("text"))).alias("c"))
-    rows = rows.select("doc_id", "c", "text", "base", F.expr("exists(base, b -> b.kind = c.kind and b.start < c.end and c.start < b.end)")
-                       .cast("double").alias("label"), F.xxhash64("doc_id", "c.start", "c.kind").alias("place"))
-    rows = rows.filter("label = 1 or not exists(base, b -> b.start < c.end and c.start < b.end)")
-    numbers = rows.select("place", F.col("c.kind").alias("kind"), "label", *(F.expr(sql).alias(n) for n, sql in features("text").items()))
-    sample = work.table("candidates", numbers.orderBy("place", *names, "label").limit(max_candidates))
-    train = VectorAssembler(inputCols=names, outputCol="features").transform(sample.filter("pmod(place, 5) > 0"))
-    seen = {row.label for row in train.select("label").distinct().collect()}
+    every = counted_candidates(docs)
+    counted = work.table("candidates", every.orderBy(*(c for c in every.columns if c != "n")))
+    train = VectorAssembler(inputCols=names, outputCol="features").transform(counted.filter("not left_out"))
+    seen = {row.label: row["count"] for row in train.groupBy("label").count().collect()}
     if len(seen) < 2:
         return SpanModel("0d", ())
-    model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=42, cacheNodeIds=False).fit(train)
+    # Splits are looked for among all rows, not a sample, where the square of maxBins is no less than the rows.
+    bins = max(32, isqrt(sum(seen.values())) + 1)
+    model = GBTClassifier(labelCol="label", weightCol="n", maxIter=trees, maxDepth=depth, maxBins=bins, seed=42, cacheNodeIds=False).fit(train)
     margin = " + ".join(f"{w!r}d * {_tree_sql(t._call_java('rootNode'), names)}" for w, t in zip(model.treeWeights, model.trees))
     draft = SpanModel(margin, ())
-    every = F.struct(*names).alias("f")
-    known = sample.filter("pmod(place, 5) = 0 and label = 1").select("kind", every)
-    means = {r.kind: r.mean for r in known.rollup("kind").agg(F.expr(f"avg({draft.score('f')})").alias("mean")).collect()}
+    known = counted.filter("left_out and label = 1").select("kind", "n", F.struct(*names).alias("f"))
+    means = {r.kind: r.mean for r in known.rollup("kind").agg(F.expr(f"sum(n * {draft.score('f')}) / sum(n)").alias("mean")).collect()}
     thresholds = [2.0 if means.get(None) is None else share * means.get(kind, means[None]) for kind in range(len(KINDS))]
     return SpanModel(margin, tuple(thresholds))
 

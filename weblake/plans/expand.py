@@ -85,8 +85,8 @@ class KeyLog:
 class Expansion:
     """One harvest walk. Each level is a written folder, so a lost executor never replays earlier levels."""
 
-    def __init__(self, spark: SparkSession, config: HarvestConfig, folder: str, at: str | None = None):
-        self.spark, self.config, self.folder, self.at = spark, config, folder, at
+    def __init__(self, spark: SparkSession, config: HarvestConfig, folder: str, at: str | None = None, edges: DataFrame | None = None):
+        self.spark, self.config, self.folder, self.at, self.edges = spark, config, folder, at, edges
         self.blog = config.kind == "blog"
         self.tables: list[str] = []
 
@@ -139,14 +139,16 @@ class Expansion:
             F.col("ord").alias("parent_ord"), F.lit(0).alias("priority"), "pos")
 
     def _follow_rules(self, lists: DataFrame, pages: DataFrame, by_seed: DataFrame) -> DataFrame:
-        """Links of the list pages among a level's items. Only their html is parsed: the items, narrow and of
-        known size, meet the page scan as a broadcast or, where they are too many, behind a Bloom filter
-        that Spark sends to the scan before anything is shuffled."""
+        """Links of the list pages among a level's items. Only their html is parsed, and only their html moves: the keys, a
+        written table of known size, meet the page scan before the rules do. Beside the rules the items have no size that Spark
+        knows, so it would shuffle all pages at every level. Keys too many to broadcast are a good part of the pages."""
         if self.at is not None:
             fetched = fetched_at(lists.drop("url_sha1"), pages.select("url", "html", self.at), by_seed, self.at)
         else:
             lists = lists.withColumn("page_key", page_key(F.col("url"), False)).drop("url", "url_sha1")
-            fetched = pages.select(page_key(F.col("url"), False).alias("page_key"), "url", "html").join(with_rules(lists, by_seed), "page_key")
+            keyed = pages.select(page_key(F.col("url"), False).alias("page_key"), "url", "html")
+            reached = keyed.join(self._table("list_keys", lists.select("page_key").distinct()), "page_key", "left_semi")
+            fetched = reached.join(with_rules(lists, by_seed), "page_key")
         kept = [c for c in fetched.columns if c not in ("html", "page_key")]
         found = extract_list_links(parse_for_rules(fetched, kept, LIST_FIELDS, nodes=False), self.config.deny_extensions, self.config.deny_hosts)
         return found.select(
@@ -186,7 +188,7 @@ class Expansion:
 
     def _walk(self, seeds, pages, rules, visited, resume, levels):
         if self.blog:
-            edges = self._bucketed("edges", blog_edges(pages, self.config), "page_key")
+            edges = self._bucketed("edges", blog_edges(pages, self.config) if self.edges is None else self.edges, "page_key")
         else:
             by_seed = self._table("rules", seed_rules(rules) if self.at is None else rule_history(rules))
             self._reject(rules, by_seed)
@@ -225,9 +227,12 @@ class Expansion:
 
 def expand(spark: SparkSession, seeds: DataFrame, pages: DataFrame, config: HarvestConfig, folder: str,
            rules: DataFrame | None = None, visited: DataFrame | None = None, resume: bool = False,
-           levels: int | None = None, at: str | None = None) -> DataFrame:
-    """Every item the harvest reaches, each with the depth and seed of its first sighting. See :meth:`Expansion.run`."""
-    return Expansion(spark, config, folder, at).run(seeds, pages, rules, visited, resume, levels)
+           levels: int | None = None, at: str | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """Every item the harvest reaches, each with the depth and seed of its first sighting. See :meth:`Expansion.run`.
+
+    ``edges``, written :func:`blog_edges` of the same pages and settings, saves a blog walk their extraction.
+    """
+    return Expansion(spark, config, folder, at, edges).run(seeds, pages, rules, visited, resume, levels)
 
 
 def reach(spark: SparkSession, starts: DataFrame, edges: DataFrame, depth_limit: int | None, folder: str) -> DataFrame:

@@ -15,7 +15,7 @@ from weblake.operators.frontier import first_seen
 from weblake.operators.rule_history import rule_history
 from weblake.operators.rules import rules_from_seeds, seed_rules
 from weblake.operators.upsert import Merge
-from weblake.plans.expand import expand, reach
+from weblake.plans.expand import blog_edges, expand, reach
 from weblake.plans.harvest import blog_pages, blog_tables, product_pages, product_tables, store_harvest
 from weblake.session import work_dir
 from weblake.sources.seeds import read_seeds
@@ -322,10 +322,12 @@ def stream_seed_refresh(spark, d):
     """Seeds come in two lots, the first lot comes again with the second; each lot is a round when the one before is idle."""
     folder = work_dir(spark, "refresh")
     pages, seeds = fx_linked(spark, d).select("page_id", "url", "html"), _origin_seeds(spark, d, 2)
+    blog_edges(pages, HarvestConfig.blog()).write.parquet(f"{folder}/edges")
+    edges = spark.read.parquet(f"{folder}/edges")  # for the rounds of both lots
     for part in (seeds.filter("seed_id % 2 = 0"), seeds):
         part.write.mode("append").parquet(f"{folder}/arrived")
         arrived = ST.read_folder(spark, f"{folder}/arrived", seeds.schema)
-        items = ST.run_refresh(spark, arrived, pages, HarvestConfig.blog(), f"{folder}/state", f"{folder}/checkpoint")
+        items = ST.run_refresh(spark, arrived, pages, HarvestConfig.blog(), f"{folder}/state", f"{folder}/checkpoint", edges=edges)
     return items.select(F.regexp_replace("url", "/$", "").alias("url"), "seed_id", "depth")
 
 

@@ -137,12 +137,13 @@ def product_rows(pages: DataFrame, by_seed: DataFrame, at: str | None = None) ->
 
 
 def run_refresh(spark: SparkSession, seeds: DataFrame, pages: DataFrame, config: HarvestConfig, folder: str,
-                checkpoint: str, rules: DataFrame | None = None) -> DataFrame:
+                checkpoint: str, rules: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
     """Walk from the seeds (of ``read_seeds``) that a stream brings, and return all items of all rounds.
 
     Each batch is a round: what earlier rounds reached is visited, so seeds that come again and pages
     known before start nothing. A run ends when no seed is left; the next one goes on from there. A
-    repeated batch walks in a folder of its own and overwrites its round.
+    repeated batch walks in a folder of its own and overwrites its round. ``edges``, written :func:`blog_edges` of the
+    same pages, save every round their extraction.
     """
     rounds, schema = f"{folder}/rounds", f"{ITEM_DDL}, level int"
 
@@ -151,7 +152,7 @@ def run_refresh(spark: SparkSession, seeds: DataFrame, pages: DataFrame, config:
         new = spark.read.schema(batch.schema).parquet(f"{folder}/seeds/batch={number}")
         earlier = spark.read.schema(f"{schema}, batch bigint").parquet(rounds).filter(F.col("batch") < number) if number else None
         crawl = expand(spark, new, pages, config, f"{folder}/walk-{uuid.uuid4().hex}", rules,
-                       None if earlier is None else earlier.select("url_sha1"))
+                       None if earlier is None else earlier.select("url_sha1"), edges=edges)
         crawl.write.mode("overwrite").parquet(f"{rounds}/batch={number}")
 
     _finish(seeds.writeStream.foreachBatch(walk).option("checkpointLocation", checkpoint))
